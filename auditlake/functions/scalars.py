@@ -117,9 +117,7 @@ def truncate_middle(text: Column | str, limit: int) -> Column:
     """Texts over ``limit`` keep their first and last half around a marker."""
     c = col(text)
     half = limit // 2
-    marker = F.concat(
-        F.lit("\n\n... [TRUNCATED "), (F.length(c) - limit).cast("string"), F.lit(" chars] ...\n\n")
-    )
+    marker = F.lit("\n\n... [TRUNCATED] ...\n\n")
     return F.when(
         F.length(c) > limit, F.concat(F.left(c, F.lit(half)), marker, F.right(c, F.lit(half)))
     ).otherwise(c)

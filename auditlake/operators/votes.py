@@ -172,7 +172,8 @@ def recheck_selection(verdicts: DataFrame, drafts: DataFrame, margin: float = 0.
     joined = verdicts.join(drafts.select("draft_id", "severity"), "draft_id")
     return (
         joined.withColumn(
-            "is_close", F.abs(F.col("real_score") - F.col("false_positive_score")) < margin
+            "is_close",
+            F.round(F.abs(F.col("real_score") - F.col("false_positive_score")), 6) < margin,
         )
         .withColumn(
             "is_high_severity_reject",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("verdicts",)
+MODULES = ("verdicts", "reports")
 
 
 def load_queries() -> dict:

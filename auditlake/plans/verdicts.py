@@ -133,11 +133,7 @@ def hybrid_recheck(t):
     second = t.verified.selectExpr(
         "draft_id", "confidence AS agent_confidence", "confidence % 2 = 0 AS agent_verified"
     )
-    # Scores are sums of hundredths: round them so that a margin of exactly 0.5 is not close.
-    verdicts = V.majority(t.votes).withColumns(
-        {c: F.round(c, 2) for c in ("real_score", "false_positive_score")}
-    )
-    selected = V.recheck_selection(verdicts, t.drafts, margin=0.499)
+    selected = V.recheck_selection(V.majority(t.votes), t.drafts)
     return V.apply_second_pass(selected, second).select(
         "draft_id", "severity", "is_close", "is_high_severity_reject", "recheck", "final_verified"
     )
