@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("verdicts", "reports")
+MODULES = ("verdicts", "reports", "evaluation")
 
 
 def load_queries() -> dict:
