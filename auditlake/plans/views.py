@@ -62,7 +62,10 @@ _DECISION = (
     "WHEN 2 THEN 'WEAKNESS' WHEN 3 THEN 'NEEDS_VERIFIED' ELSE 'ABSTAIN' END"
 )
 _TRIPLE = "CASE o_custkey % 3 WHEN 0 THEN 'REAL' WHEN 1 THEN 'FALSE_POSITIVE' ELSE 'WEAKNESS' END"
-_EXT = "CASE doc_id % 5 WHEN 0 THEN 'py' WHEN 1 THEN 'c' WHEN 2 THEN 'cpp' WHEN 3 THEN 'h' ELSE 'js' END"
+_EXT = (
+    "CASE doc_id % 8 WHEN 0 THEN 'py' WHEN 1 THEN 'c' WHEN 2 THEN 'cpp' WHEN 3 THEN 'h' "
+    "WHEN 4 THEN 'js' WHEN 5 THEN 'py' WHEN 6 THEN 'md' ELSE 'HPP' END"
+)
 _DIR = (
     "CASE doc_id % 7 WHEN 0 THEN 'tests' WHEN 1 THEN 'auth' WHEN 2 THEN 'core' "
     "WHEN 3 THEN 'vendor' WHEN 4 THEN 'src/parse' WHEN 5 THEN '.cache' ELSE 'lib' END"
@@ -121,17 +124,50 @@ _CODE = _both(
         "split(text, '\\n')",
         "array_join(transform({lines}, (x, i) -> {body}), '\\n')",
         "i",
-        "doc_id % 5 = 0",
+        "doc_id % 8 IN (0, 5)",
     ),
     _code_content(
         "string_split(text, chr(10))",
         "array_to_string(list_transform({lines}, lambda x, i: {body}), chr(10))",
         "(i - 1)",
-        "doc_id % 5 = 0",
+        "doc_id % 8 IN (0, 5)",
     ),
 )
 
-_N_LINES = _both("size(split(text, '\\n'))", "len(string_split(text, chr(10)))")
+# Model answers with drafts in every shape the extraction job meets.
+_RESPONSE = (
+    "CASE o_orderkey % 9 "
+    "WHEN 0 THEN concat('*DRAFT: ', {t}, ' in parser', {n}, '*TYPE: CWE-', o_custkey % 12, {n}, '*SEVERITY: High', {n}, "
+    "'*LINE: ', {l}, {n}, '*SNIPPET: copy(buf)', {n}, '*REASON: unchecked', {n}, '*END_DRAFT', {n}, "
+    "'*DRAFT: Second issue', {n}, '*TYPE: CWE-79', {n}, '*LINE: line 7 of 9', {n}, '*END_DRAFT') "
+    "WHEN 1 THEN concat('DRAFT: ', {t}, ' without stars', {n}, 'TYPE: CWE-', o_custkey % 12, {n}, 'SEVERITY: low', {n}, 'LINE: ', {l}) "
+    "WHEN 2 THEN concat('**DRAFT: ', {t}, {n}, '*TYPE: CWE-20', {n}, '**SEVERITY:** Low', {n}, '**LINE:** ', {l}) "
+    "WHEN 3 THEN concat('[{{\"title\": \"', {t}, '\", \"type\": \"CWE-1\", \"severity\": \"Low\", \"line\": ', {l}, '}}]') "
+    "WHEN 4 THEN concat('Here it is: [{{\"name\": \"', {t}, '\", \"cwe\": \"CWE-2\", \"risk\": \"High\", \"lineno\": ', {l}, ',}},]') "
+    "WHEN 5 THEN concat('<think>hm', {n}, 'DRAFT: no</think>', {n}, '## DRAFT: ', {t}, {n}, '*CWE: CWE-5', {n}, '*LINE_NUMBER: ', {l}, {n}, '*END_DRAFT') "
+    "WHEN 6 THEN '*DRAFT:NONE' "
+    "WHEN 7 THEN concat('I found a ', {t}, ' issue near line ', {l}, '. Also an Injection at ', {l} + 1, '.') "
+    "ELSE concat('The order ', o_orderkey, ' looks odd') END"
+).format(t=_DRAFT_TYPE, n="chr(10)", l="(o_orderkey % 12 + 1)")
+
+_VOTE_TEXT = (
+    "CASE l_linenumber "
+    "WHEN 1 THEN concat('*VOTE: ', {d}, {n}, '*CONFIDENCE: ', {c}, {n}, '*REASONING: seen in line ', l_partkey, {n}, '*END_VERIFIED') "
+    "WHEN 2 THEN concat('**VERDICT**: ', lower({d}), {n}, '**CONFIDENCE**: ', {c}, '%', {n}, 'REASON: because', {n}, 'ATTACK: none') "
+    "WHEN 3 THEN concat('{{\"vote\": \"', {d}, '\", \"confidence\": ', {c}, ', \"reasoning\": \"json says so\"}}') "
+    "WHEN 4 THEN concat('<think>REAL?</think>Vote: ', replace({d}, '_', ' '), {n}, 'Confidence is ', {c} + 50) "
+    "WHEN 5 THEN concat('REJECTED: part ', l_partkey, {n}, '*REASON: not reachable', {n}, '*END_REJECTED') "
+    "WHEN 6 THEN concat('*VERIFIED: part ', l_partkey, {n}, '*CONFIDENCE: ', {c}, {n}, '*ATTACK_VECTOR: network', {n}, '*ADJUSTED_SEVERITY: High', {n}, '*END') "
+    "ELSE concat('I think this is a real problem of supplier ', l_suppkey) END"
+).format(d=_DECISION, n="chr(10)", c="((l_partkey * 13 + l_suppkey * 17) % 101)")
+
+_ENRICHED_TEXT = (
+    "CASE o_orderkey % 3 "
+    "WHEN 0 THEN concat('*FINDING: ', {t}, {n}, '*CATEGORY: CWE-', o_custkey % 12, {n}, '*SEVERITY: High', {n}, '*CVSS: 7.', o_custkey % 10, {n}, "
+    "'*DETAILS: first', {n}, 'second line', {n}, '*POC: run it', {n}, '*REMEDIATION: fix it', {n}, '*REFERENCES: none', {n}, '*END_FINDING') "
+    "WHEN 1 THEN concat('## TITLE: ', {t}, {n}, '**TYPE:** CWE-', o_custkey % 12, {n}, '**RISK:** Low', {n}, 'DESCRIPTION: plain', {n}, '**EXPLOIT:** none') "
+    "ELSE concat('Vulnerability: ', {t}, {n}, 'Score: ', o_custkey % 10, {n}, 'Code: x = 1', {n}, 'Fix: x = 2', {n}, 'Links: a, b') END"
+).format(t=_DRAFT_TYPE, n="chr(10)")
 
 VIEWS: dict[str, View] = {
     "files": View(
@@ -338,6 +374,120 @@ VIEWS: dict[str, View] = {
         },
         where="n_nationkey < 5",
     ),
+    "responses": View(
+        "orders",
+        {
+            "response_id": "o_orderkey",
+            "scan_id": "o_orderkey % 50",
+            "model": "concat('m', o_custkey % 7)",
+            "text": _RESPONSE,
+        },
+    ),
+    "talk": View(
+        "conversations",
+        {"response_id": "-1 - (conv_id * 1000 + turn)", "text": "text"},
+        where="role = 'assistant'",
+    ),
+    "vote_texts": View(
+        "lineitem",
+        {
+            "vote_id": (
+                "concat_ws('-', lpad(CAST(l_orderkey AS STRING), 12, '0'), CAST(l_linenumber AS STRING), "
+                "lpad(CAST(l_partkey AS STRING), 12, '0'), lpad(CAST(l_suppkey AS STRING), 12, '0'))"
+            ),
+            "draft_id": "l_orderkey",
+            "model_name": "concat('m', l_suppkey % 7)",
+            "text": _VOTE_TEXT,
+        },
+    ),
+    "enriched_texts": View("orders", {"draft_id": "o_orderkey", "text": _ENRICHED_TEXT}),
+    "enriched": View(
+        "orders",
+        {
+            "draft_id": "o_orderkey",
+            "finding": _DRAFT_TYPE,
+            "category": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('CWE-', o_custkey % 12) END",
+            "severity": f"CASE WHEN o_orderkey % 4 = 0 THEN '  ' ELSE {_SEVERITY} END",
+            "vulnerability_details": "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'details' END",
+            "proof_of_concept": "CASE WHEN o_custkey % 2 = 0 THEN '' ELSE 'poc' END",
+            "remediation_steps": "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE 'fix' END",
+        },
+    ),
+    "changes": View(
+        "orders",
+        {
+            "change_id": "o_orderkey",
+            "watcher_id": "o_custkey % 20",
+            "iid": "o_orderkey % 500",
+            "target_branch": (
+                "CASE o_custkey % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'release/1.2' "
+                "WHEN 2 THEN 'feature/x' WHEN 3 THEN 'mainline' ELSE 'hotfix' END"
+            ),
+            "labels": _both(
+                "CASE o_orderkey % 3 WHEN 0 THEN array('Security', 'bug') WHEN 1 THEN array('docs') "
+                "ELSE cast(array() AS array<string>) END",
+                "CASE o_orderkey % 3 WHEN 0 THEN ['Security', 'bug'] WHEN 1 THEN ['docs'] ELSE [] END",
+            ),
+            "status": "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END",
+            "reviewed_at": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END",
+            "created_at": "o_orderdate",
+        },
+    ),
+    "diffs": View(
+        "documents",
+        {
+            "change_id": "doc_id",
+            "diff": _both(
+                "array_join(transform(split(text, '\\n'), (x, i) -> CASE i % 7 "
+                "WHEN 0 THEN concat('@@ -', i + 1, ',6 +', i * 2 + 1, CASE WHEN i % 2 = 0 THEN ',6' ELSE '' END, ' @@ part ', i) "
+                "WHEN 1 THEN concat(' ', x) WHEN 2 THEN concat('-', x) WHEN 3 THEN concat('+', x) "
+                "WHEN 4 THEN concat('+', x) WHEN 5 THEN concat('---', x) ELSE concat('+++', x) END), '\\n')",
+                "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 7 "
+                "WHEN 0 THEN concat('@@ -', i, ',6 +', (i - 1) * 2 + 1, CASE WHEN (i - 1) % 2 = 0 THEN ',6' ELSE '' END, ' @@ part ', i - 1) "
+                "WHEN 1 THEN concat(' ', x) WHEN 2 THEN concat('-', x) WHEN 3 THEN concat('+', x) "
+                "WHEN 4 THEN concat('+', x) WHEN 5 THEN concat('---', x) ELSE concat('+++', x) END), chr(10))",
+            ),
+        },
+    ),
+    "pipe_records": View(
+        "orders",
+        {
+            "record_id": "o_orderkey",
+            "line": (
+                "concat(CASE o_custkey % 15 WHEN 0 THEN 'CWE-22' WHEN 1 THEN 'CWE-78' WHEN 2 THEN 'CWE-89' WHEN 3 THEN 'CWE-120' "
+                "WHEN 4 THEN 'CWE-134' WHEN 5 THEN 'CWE-190' WHEN 6 THEN 'CWE-269' WHEN 7 THEN 'CWE-327' WHEN 8 THEN 'CWE-415' "
+                "WHEN 9 THEN 'CWE-416' WHEN 10 THEN 'CWE-749' WHEN 11 THEN 'CWE-789' WHEN 12 THEN 'CWE-798' WHEN 13 THEN 'CWE-824' "
+                "ELSE 'CWE-999' END, '|/app/src/f', o_custkey, '.c|', o_orderkey % 40 - 1, '|sink', o_custkey % 9, '|a | b | c', o_orderkey)"
+            ),
+        },
+    ),
+    "alert_findings": View(
+        "orders",
+        {
+            "finding_id": "o_orderkey",
+            "scan_id": "o_orderkey % 50",
+            "title": _DRAFT_TYPE,
+            "severity": f"upper({_SEVERITY})",
+            "snippet": (
+                "CASE o_custkey % 11 WHEN 0 THEN 'spawn reverse shell' WHEN 1 THEN 'add crontab entry' "
+                "WHEN 2 THEN 'read /etc/shadow' WHEN 3 THEN 'sudo ALL NOPASSWD' WHEN 4 THEN 'join monero pool, send it to the server' "
+                "WHEN 5 THEN 'eval(base64 text)' WHEN 6 THEN 'chmod u+s x' ELSE 'plain text' END"
+            ),
+        },
+    ),
+    "subscriptions": View(
+        "nation",
+        {
+            "webhook_id": "n_nationkey",
+            "webhook_name": "n_name",
+            "events": _both(
+                "CASE n_nationkey % 3 WHEN 0 THEN array('finding', 'scan_complete') WHEN 1 THEN array('finding') ELSE array('scan_complete') END",
+                "CASE n_nationkey % 3 WHEN 0 THEN ['finding', 'scan_complete'] WHEN 1 THEN ['finding'] ELSE ['scan_complete'] END",
+            ),
+            "min_severity": "CASE n_regionkey WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' ELSE NULL END",
+            "enabled": "n_nationkey <> 4",
+        },
+    ),
     "edges": View(
         "lineitem",
         {
