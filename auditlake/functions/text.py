@@ -274,7 +274,7 @@ def vote_token(text: Column | str) -> Column:
 
 def clamp_confidence(text: Column | str, default: int = 50) -> Column:
     number = capture(col(text), r"(\d+)").try_cast("bigint")
-    return F.coalesce(F.least(F.lit(100), F.greatest(F.lit(0), number)), F.lit(default)).cast("int")
+    return F.least(F.lit(100), F.coalesce(number, F.lit(default))).cast("int")
 
 
 def malicious_categories(*texts: Column | str) -> Column:
@@ -388,7 +388,7 @@ def agent_verdict(answer: Column | str) -> Column:
     number = capture(a, r"(?i)CONFIDENCE:\s*(\d+)").try_cast("bigint")
     return F.struct(
         F.upper(a).contains("REAL").alias("verified"),
-        F.coalesce(F.least(F.lit(100), number), F.lit(50)).cast("int").alias("confidence"),
+        F.least(F.lit(100), F.coalesce(number, F.lit(50))).cast("int").alias("confidence"),
         F.coalesce(
             strip_spaces(capture(a, r"(?is)REASONING:\s*(.+?)(?:ATTACK_PATH:|$)")),
             F.lit("Analysis incomplete"),

@@ -91,10 +91,11 @@ def draft_field_patterns(alias: str) -> list[str]:
 
 def _field(section: Column, aliases: list[str]) -> Column:
     tries = []
+    low = F.lower(section)
     for alias in aliases:
         for pattern in draft_field_patterns(alias):
             value = F.regexp_replace(strip_spaces(F.regexp_extract(section, pattern, 1)), END_MARKER, "")
-            tries.append(F.nullif(strip_spaces(value), F.lit("")))
+            tries.append(F.when(low.contains(alias), F.nullif(strip_spaces(value), F.lit(""))))
     return F.coalesce(*tries)
 
 
@@ -279,47 +280,53 @@ def _clean_marker(value: Column) -> Column:
     return F.regexp_replace(out, r"^\"(.*)\"$", "$1")
 
 
-def parse_fields(text: Column, fields: dict[str, list[str]]) -> tuple[Column, dict[str, Column]]:
-    """Format (json, marker, unknown) and one column per field of a preprocessed text."""
-    obj = F.coalesce(
-        F.when(text.startswith("{"), F.from_json(text, "map<string,string>")),
-        F.from_json(capture(text, JSON_OBJECT), "map<string,string>"),
-    )
-    from_json = {
-        name: F.coalesce(*[obj[a] for a in aliases]) for name, aliases in fields.items()
-    }
-    from_marker = {
-        name: F.coalesce(
-            *[
-                F.nullif(_clean_marker(strip_spaces(F.regexp_extract(text, pattern(a), 1))), F.lit(""))
-                for a in aliases
-                for pattern in (marker_pattern, inline_pattern)
-            ]
+def _from_marker(text: Column, low: Column, aliases: list[str]) -> Column:
+    """First alias with a value; a cheap substring test spares the regexes of absent aliases."""
+    tries = [
+        F.when(
+            low.contains(alias),
+            F.nullif(_clean_marker(strip_spaces(F.regexp_extract(text, pattern(alias), 1))), F.lit("")),
         )
-        for name, aliases in fields.items()
-    }
-    any_marker = F.coalesce(*from_marker.values()).isNotNull()
-    kind = F.when(obj.isNotNull(), "json").when(any_marker, "marker").otherwise("unknown")
-    columns = {
-        name: F.when(obj.isNotNull(), from_json[name]).otherwise(from_marker[name]) for name in fields
-    }
-    return kind, columns
+        for alias in aliases
+        for pattern in (marker_pattern, inline_pattern)
+    ]
+    return F.coalesce(*tries)
 
 
 def parse_generic(responses: DataFrame, fields: dict[str, list[str]], required: list[str]) -> DataFrame:
     """Fields of an answer with the format found, the required ones missing, and needs_cleanup."""
-    staged = responses.withColumn("_t", X.preprocess("text"))
-    kind, columns = parse_fields(F.col("_t"), fields)
     keep = [c for c in responses.columns if c != "text"]
+    t, obj = F.col("_t"), F.col("_obj")
+    parsed_object = F.coalesce(
+        F.when(t.startswith("{"), F.from_json(t, "map<string,string>")),
+        F.when(t.contains("{"), F.from_json(capture(t, JSON_OBJECT), "map<string,string>")),
+    )
+    staged = (
+        responses.withColumn("_t", X.preprocess("text"))
+        .withColumn("_low", F.lower("_t"))
+        .withColumn("_obj", parsed_object)
+    )
+    values = {
+        name: F.when(obj.isNotNull(), F.coalesce(*[obj[a] for a in aliases])).otherwise(
+            _from_marker(t, F.col("_low"), aliases)
+        )
+        for name, aliases in fields.items()
+    }
     parsed = staged.select(
-        *keep, (F.col("_t") == "").alias("_empty"), kind.alias("format_detected"), *[c.alias(n) for n, c in columns.items()]
+        *keep, (t == "").alias("_empty"), obj.isNotNull().alias("_json"), *[c.alias(n) for n, c in values.items()]
     )
     missing = F.array_compact(F.array(*[F.when(F.col(r).isNull(), F.lit(r)) for r in required]))
+    kind = (
+        F.when(F.col("_json"), "json")
+        .when(F.coalesce(*[F.col(n) for n in fields]).isNotNull(), "marker")
+        .otherwise("unknown")
+    )
     return (
-        parsed.withColumn("missing", missing)
+        parsed.withColumn("format_detected", kind)
+        .withColumn("missing", missing)
         .withColumn("parse_success", (F.col("format_detected") != "unknown") & (F.size("missing") == 0))
         .withColumn("needs_cleanup", ~F.col("parse_success") & ~F.col("_empty"))
-        .drop("_empty")
+        .drop("_empty", "_json")
     )
 
 
@@ -371,7 +378,10 @@ def extract_loose_votes(responses: DataFrame) -> DataFrame:
     return staged.select(
         *keep,
         F.coalesce(last(F.transform("_lines", category)), fallback).alias("vote"),
-        F.least(F.lit(100), last(F.transform("_lines", number))).cast("int").alias("confidence"),
+        F.when(last(F.transform("_lines", number)) > 100, F.lit(100))
+        .otherwise(last(F.transform("_lines", number)))
+        .cast("int")
+        .alias("confidence"),
         F.left(strip_spaces(reasoning), F.lit(500)).alias("reasoning"),
     )
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalars as S
+from auditlake.functions.text import malicious_categories
+from auditlake.operators.scale import first_n
 
 # Severities of the progress view.
 PROGRESS_SEVERITIES = ["Critical", "High", "Medium", "Low", "Weakness"]
@@ -179,13 +181,11 @@ def nested_profiles(profiles: DataFrame, analyzers: DataFrame, models: DataFrame
 
 def scan_completion(findings: DataFrame) -> DataFrame:
     """Counts per scan for the completion message, with findings of malicious intent."""
-    from auditlake.functions.text import malicious_categories
-
     hit = F.size(malicious_categories("title", "description")) > 0
-    severity = F.col("severity")
+    severity = F.upper("severity")
     return findings.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.count_if(severity == s).alias(s.lower()) for s in ("Critical", "High", "Medium", "Low")],
+        *[F.count_if(severity == s.upper()).alias(s.lower()) for s in ("Critical", "High", "Medium", "Low")],
         F.count_if(hit).alias("malicious"),
     )
 
@@ -205,8 +205,6 @@ def triage(findings: DataFrame, n: int = 5) -> DataFrame:
         )
     )
     text = F.concat(F.col("total"), F.lit(" findings analyzed: "), F.array_join(parts, ", "), F.lit("."))
-    from auditlake.operators.scale import first_n
-
     urgent = first_n(
         findings.where(F.col("severity").isin("Critical", "High") & (F.col("confidence") >= 80)),
         ["scan_id"], ["finding_id"], n,

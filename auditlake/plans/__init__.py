@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("verdicts", "reports", "evaluation", "filters")
+MODULES = ("verdicts", "reports", "evaluation", "filters", "answers")
 
 
 def load_queries() -> dict:

@@ -387,7 +387,7 @@ DECISION_SQL = """CASE WHEN contains(upper(v), 'FALSE_POSITIVE') OR contains(upp
     "f12_vote",
     rf"""SELECT vote_id, {DECISION_SQL} AS decision,
       CASE WHEN tok IN ('FALSE_POSITIVE', 'FP') THEN 'FALSE_POSITIVE' WHEN tok IN ('REAL', 'WEAKNESS', 'NEEDS_VERIFIED') THEN tok END AS token,
-      CAST(coalesce(least(100, greatest(0, try_cast(nullif(regexp_extract(v, '(\d+)', 1), '') AS BIGINT))), 50) AS INT) AS confidence
+      CAST(least(100, coalesce(try_cast(nullif(regexp_extract(v, '(\d+)', 1), '') AS BIGINT), 50)) AS INT) AS confidence
     FROM (SELECT vote_id, text AS v, upper(regexp_extract(text, '(?i)(?:vote|decision|verdict|verified)\s*:\s*(\w+)', 1)) AS tok FROM vote_texts)""",
 )
 def f12(t):
@@ -622,7 +622,7 @@ _ANSWER = "CASE o_custkey % 4 WHEN 0 THEN concat('Verdict: REAL', chr(10), 'CONF
 
 @query(
     "f29_agent_verdict",
-    rf"""SELECT id, contains(upper(v), 'REAL') AS verified, CAST(coalesce(least(100, try_cast(regexp_extract(v, '(?i)CONFIDENCE:\s*(\d+)', 1) AS BIGINT)), 50) AS INT) AS confidence,
+    rf"""SELECT id, contains(upper(v), 'REAL') AS verified, CAST(least(100, coalesce(try_cast(regexp_extract(v, '(?i)CONFIDENCE:\s*(\d+)', 1) AS BIGINT), 50)) AS INT) AS confidence,
       coalesce(nullif(trim(regexp_replace(regexp_extract(v, '(?is)REASONING:\s*(.+?)(?:ATTACK_PATH:|$)', 1), '\s+$', '')), ''), 'Analysis incomplete') AS reasoning,
       trim(regexp_replace(regexp_extract(v, '(?is)ATTACK_PATH:\s*(.+?)(?:\*END|$)', 1), '\s+$', '')) AS attack_path
     FROM (SELECT o_orderkey AS id, {_ANSWER} AS v FROM orders)""",
