@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.scalars import col
@@ -18,3 +18,90 @@ def module_name(path: Column | str) -> Column:
 
 def qualified_name(path: Column | str, name: Column | str) -> Column:
     return F.concat(module_name(path), F.lit("."), col(name))
+
+
+# Definition lines, tried in this order.
+DEFINITIONS = [
+    r"^(?:static\s+)?(?:inline\s+)?(?:[\w\*]+\s+)+(\w+)\s*\([^)]*\)\s*\{?\s*$",
+    r"^def\s+(\w+)\s*\([^)]*\)\s*:",
+    r"^(?:VOID|EFI_STATUS|BOOLEAN|UINTN|UINT\d+)\s*\n?(\w+)\s*\(",
+]
+PY_IMPORT = r"^\s*(?:import|from)\s+([\w.]+)"
+C_INCLUDE = r"^\s*#include\s*[<\"]([^>\"]+)[>\"]"
+CALL = r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
+# Words before a parenthesis that are no callees.
+NO_CALLEES = ["if", "for", "while", "switch", "return", "sizeof", "printf", "fprintf"]
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """One row per line; the text itself is not carried along."""
+    keep = [c for c in files.columns if c != "content"]
+    return files.select(*keep, F.posexplode(F.split("content", "\n")).alias("_pos", "line")).select(
+        *keep, (F.col("_pos") + 1).alias("line_number"), "line"
+    )
+
+
+def _definition(line: Column) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in DEFINITIONS])
+
+
+def enclosing_functions(files: DataFrame) -> DataFrame:
+    """Lines with the function that encloses them, null outside of functions.
+
+    A function starts at its definition line and ends where its braces balance, or before the next
+    definition. Window groups are single files, which are single rows of the input.
+    """
+    by_line = Window.partitionBy("file_id").orderBy("line_number")
+    in_span = Window.partitionBy("file_id", "start_line").orderBy("line_number")
+    braces = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
+    marked = (
+        code_lines(files)
+        .withColumn("name", _definition(F.col("line")))
+        .withColumn(
+            "start_line",
+            F.last(F.when(F.col("name").isNotNull(), F.col("line_number")), ignorenulls=True).over(by_line),
+        )
+        .withColumn("function", F.last("name", ignorenulls=True).over(by_line))
+    )
+    depth = (
+        marked.where("start_line is not null")
+        .withColumn("depth", F.sum(braces("{") - braces("}")).over(in_span))
+        .withColumn("opened", F.sum(braces("{")).over(in_span) > 0)
+        .withColumn("closed", F.col("opened") & (F.col("depth") <= 0))
+        .withColumn(
+            "closed_before",
+            F.coalesce(
+                F.max(F.col("closed").cast("int")).over(in_span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ),
+        )
+    )
+    keep = [c for c in files.columns if c != "content"]
+    return depth.where("closed_before = 0").select(*keep, "line_number", "line", "function", "start_line")
+
+
+def symbol_table(files: DataFrame) -> DataFrame:
+    """Functions with their first and last line."""
+    spans = enclosing_functions(files)
+    return spans.groupBy("file_id", "file_path", F.col("function").alias("name"), "start_line").agg(
+        F.max("line_number").alias("end_line")
+    ).withColumn("qualified_name", qualified_name("file_path", "name"))
+
+
+def import_table(files: DataFrame) -> DataFrame:
+    lines = code_lines(files)
+    module = F.coalesce(
+        *[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in (PY_IMPORT, C_INCLUDE)]
+    )
+    return lines.select("file_id", "file_path", "line_number", module.alias("module")).where("module is not null")
+
+
+def call_table(files: DataFrame) -> DataFrame:
+    """Call sites (file, line, callee) with the function around them; keywords and self-calls drop out."""
+    return (
+        enclosing_functions(files)
+        .select(
+            "file_id", "function", "start_line", "line_number",
+            F.explode(F.regexp_extract_all("line", F.lit(CALL), F.lit(1))).alias("callee"),
+        )
+        .where(~F.col("callee").isin(NO_CALLEES) & (F.col("callee") != F.col("function")))
+    )

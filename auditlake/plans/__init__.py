@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("verdicts", "reports", "evaluation", "filters", "answers")
+MODULES = ("verdicts", "reports", "evaluation", "filters", "answers", "corpus")
 
 
 def load_queries() -> dict:

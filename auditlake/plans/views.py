@@ -98,7 +98,7 @@ _PY_LINE = (
 _C_LINE = (
     "CASE {i} % 6 "
     "WHEN 0 THEN concat('#include \"mod_', {h}, '.h\" // ', {x}) "
-    "WHEN 1 THEN concat('int fn_', {h}, '(char *input, int len) {{ // ', {x}) "
+    "WHEN 1 THEN concat('// ', {x}, chr(10), 'int fn_', {h}, '(char *input, int len) {{') "
     "WHEN 2 THEN concat('    char *buf = malloc(len); // ', {x}) "
     "WHEN 3 THEN concat('    fn_', {g}, '(buf); strcpy(buf, argv[1]); // ', {x}) "
     "WHEN 4 THEN concat('    free(buf); // ', {x}) "
