@@ -14,20 +14,21 @@ def merge_drafts(drafts: DataFrame) -> DataFrame:
     Models are made distinct per key before they are gathered, so a key repeated a billion times
     still gathers no more than the number of models.
     """
-    keyed = drafts.withColumn("dedup_key", S.dedup_key("file_id", "line_number", "vulnerability_type"))
-    per_model = keyed.groupBy("scan_id", "dedup_key", "model").agg(
+    key = ["scan_id", "file_id", "line_number", "vulnerability_type"]
+    per_model = drafts.groupBy(*key, "model").agg(
         F.min_by(F.struct("raw_id", "severity", "status"), "raw_id").alias("first"),
         F.sum(F.coalesce("votes", F.lit(1))).alias("votes"),
         F.count(F.lit(1)).alias("copies"),
     )
     return (
-        per_model.groupBy("scan_id", "dedup_key")
+        per_model.groupBy(*key)
         .agg(
             F.min("first").alias("first"),
             F.sum("votes").alias("initial_votes"),
             F.sum("copies").alias("copies"),
             F.array_sort(F.collect_set("model")).alias("source_models"),
         )
+        .withColumn("dedup_key", S.dedup_key("file_id", "line_number", "vulnerability_type"))
         .select("scan_id", "dedup_key", "first.*", "initial_votes", "copies", "source_models")
     )
 

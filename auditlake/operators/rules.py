@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.scalars import contains_any
 from auditlake.operators.context import snippet
 from auditlake.operators.predicates import scan_language
 
@@ -123,6 +125,21 @@ def _flags(pattern: str) -> str:
     return f"(?im){pattern}"
 
 
+def required_words(pattern: str) -> list[str]:
+    """Words one of which every match must hold, read off the start of the pattern; empty if unsure."""
+    depth, escaped = 0, False
+    for c in pattern:
+        if not escaped and c == "|" and depth == 0:
+            return []
+        depth += 0 if escaped else (c == "(") - (c == ")")
+        escaped = c == "\\" and not escaped
+    group = re.match(r"\(((?:\w{3,}\|)*\w{3,})\)(?![?*{])", pattern)
+    if group:
+        return group.group(1).lower().split("|")
+    word = re.match(r"[A-Za-z_]{3,}(?![?*{\w])", pattern)
+    return [word.group(0).lower()] if word else []
+
+
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -165,9 +182,13 @@ def scan_rules(files: DataFrame, rules: list[Rule] = DEFAULT_RULES) -> DataFrame
                 number.alias("rule_id"), h["line"].alias("line_number"), h["match"].alias("match_text")  # noqa: B023
             ),
         )
-        # rlike first: a text without a match is not split.
-        hits.append(F.when(lang.isin(list(rule.languages)) & content.rlike(_flags(rule.pattern)), found))
-    staged = files.withColumn("_lang", scan_language("file_path"))
+        # Language, then a plain word search, then the regex: most texts stop at the first two.
+        gate = lang.isin(list(rule.languages))
+        words = required_words(rule.pattern)
+        if words:
+            gate = gate & contains_any(F.col("_low"), words)
+        hits.append(F.when(gate & content.rlike(_flags(rule.pattern)), found))
+    staged = files.withColumn("_lang", scan_language("file_path")).withColumn("_low", F.lower("content"))
     each = F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("h")
     return staged.select("file_id", "scan_id", "file_path", F.col("_lang").alias("language"), "content", each).select(
         "file_id", "scan_id", "file_path", "language", "h.rule_id", "h.line_number", "h.match_text",

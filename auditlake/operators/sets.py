@@ -22,7 +22,7 @@ def tagged_union(**sources: DataFrame) -> DataFrame:
 def glob_union(analyzers: DataFrame) -> DataFrame:
     """Distinct globs of enabled analyzers per profile, one row a glob."""
     each = analyzers.where("enabled").select(
-        "profile_id", F.explode(F.transform(F.split("file_filter", ","), F.trim)).alias("glob")
+        "profile_id", F.explode(F.transform(F.split("file_filter", ","), lambda g: F.trim(g))).alias("glob")
     )
     return each.where("glob <> ''").distinct()
 

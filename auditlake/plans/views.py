@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.operators.scale import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -509,6 +511,12 @@ VIEWS: dict[str, View] = {
 }
 
 
+# Views whose rows cost far more than reading them.
+TEXT_VIEWS = (
+    "files code_files chunks diffs responses vote_texts enriched_texts alert_findings documents"
+).split()
+
+
 class Views:
     """The driver tables and the derived views of one scale-factor directory."""
 
@@ -520,12 +528,12 @@ class Views:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in VIEWS:
-            view = VIEWS[name]
-            return view.spark(self.table(view.base))
-        if name in TABLES:
-            return self.table(name)
-        raise AttributeError(name)
+        if name not in VIEWS and name not in TABLES:
+            raise AttributeError(name)
+        source = self.table(VIEWS[name].base if name in VIEWS else name)
+        if name in TEXT_VIEWS:
+            source = spread(source)
+        return VIEWS[name].spark(source) if name in VIEWS else source
 
 
 def with_views(sql: str) -> str:
