@@ -72,6 +72,7 @@ LOOSE_FINDING = (
     r"(?i)([A-Z][A-Za-z\s\-]+(?:Overflow|Injection|XSS|SSRF|Traversal|Vulnerability|Issue|Bug))"
     r"[^\d]*(?:line|at|on)?\s*[:\s]*(\d+)"
 )
+LOOSE_WORDS = ["overflow", "injection", "xss", "ssrf", "traversal", "vulnerability", "issue", "bug"]
 JSON_BLOCK = r"```(?:json)?\s*(\[[\s\S]*?\])\s*```"
 JSON_ARRAY = r"(\[\s*\{[\s\S]*?\}\s*,?\s*\])"
 JSON_FINDINGS = r"\{[^{}]*\"findings\"\s*:\s*(\[[\s\S]*?\])"
@@ -104,14 +105,17 @@ def _draft(title: Column, kind: Column, severity: Column, line: Column, snippet:
     return F.struct(*[c.alias(n) for n, c in named.items()])
 
 
-def _section_draft(section: Column) -> Column:
+def _titled(section: Column) -> Column:
     head = strip_spaces(F.split(strip_spaces(section), FIELD_START)[0])
     head = F.regexp_replace(F.regexp_replace(head, r"^[*#\-]+\s*", ""), r"\s*[*#\-]+$", "")
-    title = strip_spaces(head)
+    return F.struct(section.alias("section"), strip_spaces(head).alias("title"))
+
+
+def _section_draft(titled: Column) -> Column:
+    section, title = titled["section"], titled["title"]
     fields = {name: _field(section, aliases) for name, aliases in DRAFT_FIELDS.items()}
     line = F.regexp_extract(fields["line"], r"(\d+)", 1).try_cast("int")
-    draft = _draft(title, fields["type"], fields["severity"], line, fields["snippet"], fields["reason"])
-    return F.when(F.length(title) > 2, draft)
+    return _draft(title, fields["type"], fields["severity"], line, fields["snippet"], fields["reason"])
 
 
 def clean_json(text: Column | str) -> Column:
@@ -153,10 +157,11 @@ def extract_drafts(responses: DataFrame) -> DataFrame:
     t = F.col("_t")
     low = F.lower(t)
     sections = F.split(t, DRAFT_HEADER)
-    marked = F.filter(
-        F.transform(F.slice(sections, 2, F.size(sections)), _section_draft), lambda d: d.isNotNull()
+    titled = F.filter(
+        F.transform(F.slice(sections, 2, F.size(sections)), _titled), lambda d: F.length(d["title"]) > 2
     )
-    loose = F.filter(
+    marked = F.transform(titled, _section_draft)
+    loose = F.when(S.contains_any(low, LOOSE_WORDS), F.filter(
         F.transform(
             F.arrays_zip(captures(t, LOOSE_FINDING, 1).alias("a"), captures(t, LOOSE_FINDING, 2).alias("b")),
             lambda p: _draft(
@@ -165,7 +170,7 @@ def extract_drafts(responses: DataFrame) -> DataFrame:
             ),
         ),
         lambda d: (d["title"] != "") & (d["line"] > 0),
-    )
+    ))
     none_phrase = S.contains_any(low, NO_FINDINGS)
     staged = (
         cleaned.withColumn("none_phrase", (F.coalesce("text", F.lit("")) == "") | none_phrase)

@@ -93,9 +93,15 @@ def paired_with_each(large: DataFrame, small: DataFrame, alias: str, limit: int
     blocks = numbered.groupBy(F.expr(f"(_n - 1) div {limit}").alias("_block")).agg(
         F.collect_list(F.struct(*fields)).alias("block")
     )
+    blocks = cut(blocks)
     count = blocks.count()
+    # Few block numbers would mean few tasks: both sides also carry a salt.
+    salts = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.hash(*large.columns), F.lit(salts))
+    salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        large.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("bigint"))
-        .join(blocks, "_block")
+        large.withColumn("_salt", salt)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
+        .join(salted, ["_block", "_salt"])
         .select(*large.columns, F.explode("block").alias(alias))
     )

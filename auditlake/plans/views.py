@@ -513,7 +513,7 @@ VIEWS: dict[str, View] = {
 
 # Views whose rows cost far more than reading them.
 TEXT_VIEWS = (
-    "files code_files chunks diffs responses vote_texts enriched_texts alert_findings documents"
+    "files code_files chunks diffs responses vote_texts enriched_texts alert_findings documents talk conversations"
 ).split()
 
 

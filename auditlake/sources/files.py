@@ -42,7 +42,7 @@ def read_source_tree(
         .option("pathGlobFilter", glob)
         .load(root)
     )
-    return raw.select("path", F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit("")).alias("content"))
+    return raw.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("content"))
 
 
 def _members(path: str, data: bytes):
