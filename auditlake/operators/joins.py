@@ -84,9 +84,9 @@ def applicable_analyzers(files: DataFrame, analyzers: DataFrame) -> DataFrame:
 def match_categories(findings: DataFrame, categories: DataFrame, limit: int = 4096) -> DataFrame:
     """Category by exact CWE, else by at least two telling keywords, else a new one.
 
-    Exact matches take an equality join. The distinct texts that are left are matched with the
-    keywords as words do: category keywords are exploded and met through the texts' own words, so
-    no text meets every category.
+    Exact matches take an equality join. The distinct texts that are left keep the keywords they
+    hold (a keyword may be part of a word), and those meet their categories by equality, so no
+    text meets every category.
     """
     cwe = S.cwe_id("raw_category")
     exact = categories.where("cwe_id is not null").groupBy("cwe_id").agg(F.min_by("name", "category_id").alias("exact"))
@@ -97,9 +97,8 @@ def match_categories(findings: DataFrame, categories: DataFrame, limit: int = 40
         ~F.col("word").isin(GENERIC_WORDS)
     )
     vocabulary = words.select("word").distinct()
-    seen = paired_with_each(open_texts, vocabulary, "v", limit).where(F.col("low").contains(F.col("v.word"))).select(
-        "raw_category", "v.word"
-    )
+    hit = lambda v: F.col("low").contains(v["word"])
+    seen = paired_with_each(open_texts, vocabulary, "v", limit, hit).select("raw_category", "v.word")
     scored = (
         seen.join(words, "word")
         .groupBy("raw_category", "category_id", "category")
@@ -214,25 +213,45 @@ def matching_subscriptions(alerts: DataFrame, subscriptions: DataFrame) -> DataF
     return alerts.join(wants, "event").where(reached)
 
 
-def fuzzy_paths(wanted: DataFrame, files: DataFrame, limit: int = 4096) -> DataFrame:
+def _trigrams(text: Column) -> Column:
+    return F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))
+    )
+
+
+def fuzzy_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """Best file per wanted name: same name, same name in any case, then name contained.
 
-    Names join by equality first. Only the distinct names left over are compared with the distinct
-    file names, one against each.
+    All three are equality joins. A contained name is looked up by its rarest three letters, which
+    every file name that holds it must have; the containment itself is a residual filter. Names of
+    one or two letters are compared with the distinct file names.
     """
     names = files.groupBy(P.file_name("file_path").alias("name")).agg(F.min("file_path").alias("file_path"))
     base = wanted.select("query", P.file_name("query").alias("base")).distinct()
     exact = base.join(names.withColumnRenamed("name", "base"), "base").select("query", F.lit(0).alias("tier"), "file_path")
-    lower = names.groupBy(F.lower("name").alias("low")).agg(F.min("file_path").alias("file_path"))
-    any_case = base.withColumn("low", F.lower("base")).join(lower, "low").select("query", F.lit(1).alias("tier"), "file_path")
+    lower = names.groupBy(F.lower("name").alias("file_low")).agg(F.min("file_path").alias("file_path"))
+    any_case = base.withColumn("file_low", F.lower("base")).join(lower, "file_low").select(
+        "query", F.lit(1).alias("tier"), "file_path"
+    )
     found = exact.unionByName(any_case)
-    rest = base.join(found.select("query"), "query", "left_anti").withColumn("low", F.lower("base"))
-    partial = (
-        paired_with_each(lower.withColumnRenamed("low", "file_low"), rest.select("query", "low"), "w", limit)
-        .where(F.col("file_low").contains(F.col("w.low")))
-        .select(F.col("w.query").alias("query"), F.lit(2).alias("tier"), "file_path")
+    rest = base.join(found.select("query"), "query", "left_anti").select("query", F.lower("base").alias("low"))
+    grams = lower.where(F.length("file_low") > 2).select("file_low", "file_path", F.explode(_trigrams(F.col("file_low"))).alias("gram"))
+    rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        rest.where(F.length("low") > 2)
+        .select("query", "low", F.explode(_trigrams(F.col("low"))).alias("gram"))
+        .join(rarity, "gram", "left")
+        .groupBy("query", "low")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    )
+    partial = rarest.join(grams, "gram").where(F.col("file_low").contains(F.col("low"))).select(
+        "query", F.lit(2).alias("tier"), "file_path"
     )
-    return found.unionByName(partial).groupBy("query").agg(F.min(F.struct("tier", "file_path")).alias("m")).select(
+    short = paired_with_each(
+        lower, rest.where(F.length("low") <= 2), "w", where=lambda w: F.col("file_low").contains(w["low"])
+    ).select(F.col("w.query").alias("query"), F.lit(2).alias("tier"), "file_path")
+    every = found.unionByName(partial).unionByName(short)
+    return every.groupBy("query").agg(F.min(F.struct("tier", "file_path")).alias("m")).select(
         "query", "m.tier", "m.file_path"
     )
 

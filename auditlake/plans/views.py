@@ -103,7 +103,7 @@ _C_LINE = (
     "WHEN 1 THEN concat('// ', {x}, chr(10), 'int fn_', {h}, '(char *input, int len) {{') "
     "WHEN 2 THEN concat('    char *buf = malloc(len); // ', {x}) "
     "WHEN 3 THEN concat('    fn_', {g}, '(buf); strcpy(buf, argv[1]); // ', {x}) "
-    "WHEN 4 THEN concat('    free(buf); // ', {x}) "
+    "WHEN 4 THEN concat('    free(buf); buf->next = 0; // ', {x}) "
     "ELSE concat('}} // ', {x}) END"
 )
 
