@@ -11,21 +11,15 @@ from auditlake.functions import scalars as S
 def merge_drafts(drafts: DataFrame) -> DataFrame:
     """One draft per (scan, dedup key): lowest id stays, votes add up, models unite.
 
-    Models are made distinct per key before they are gathered, so a key repeated a billion times
-    still gathers no more than the number of models.
+    One shuffle: copies are combined before it, and a key repeated a billion times still carries
+    one draft, two sums and a set no larger than the number of models.
     """
-    key = ["scan_id", "file_id", "line_number", "vulnerability_type"]
-    per_model = drafts.groupBy(*key, "model").agg(
-        F.min_by(F.struct("raw_id", "severity", "status"), "raw_id").alias("first"),
-        F.sum(F.coalesce("votes", F.lit(1))).alias("votes"),
-        F.count(F.lit(1)).alias("copies"),
-    )
     return (
-        per_model.groupBy(*key)
+        drafts.groupBy("scan_id", "file_id", "line_number", "vulnerability_type")
         .agg(
-            F.min("first").alias("first"),
-            F.sum("votes").alias("initial_votes"),
-            F.sum("copies").alias("copies"),
+            F.min(F.struct("raw_id", "severity", "status")).alias("first"),
+            F.sum(F.coalesce("votes", F.lit(1))).alias("initial_votes"),
+            F.count(F.lit(1)).alias("copies"),
             F.array_sort(F.collect_set("model")).alias("source_models"),
         )
         .withColumn("dedup_key", S.dedup_key("file_id", "line_number", "vulnerability_type"))
@@ -40,11 +34,8 @@ def merge_model_findings(findings: DataFrame) -> DataFrame:
     """
     signed = findings.withColumn("signature", S.finding_signature("line_number", "vulnerability_type"))
     rank = S.severity_rank(F.col("severity"))
-    per_pair = signed.groupBy("file_id", "signature", "severity", "model").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    per_severity = per_pair.groupBy("file_id", "signature", "severity").agg(
-        F.sum("n").alias("n"), F.collect_set("model").alias("models")
+    per_severity = signed.groupBy("file_id", "signature", "severity").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set("model").alias("models")
     )
     return per_severity.groupBy("file_id", "signature").agg(
         F.sum("n").alias("votes"),

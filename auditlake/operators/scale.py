@@ -82,21 +82,15 @@ def paired_with_each(
 ) -> DataFrame:
     """Every row of ``large`` with every row of ``small`` as struct ``alias`` that passes ``where``.
 
-    A small side whose row count is checked to be within ``limit`` rides along as one literal
-    array. A larger one is cut into numbered blocks that are joined by block number.
+    A small side whose row count is checked to be within ``limit`` becomes one literal array, which
+    every row unfolds where it is: no join, no shuffle. A larger one is cut into numbered blocks
+    that are joined by block number.
     """
     fields = small.columns
-    rows = small.limit(limit + 1).collect()
+    rows = small.select(F.to_json(F.struct(*fields)).alias("row")).limit(limit + 1).collect()
     if len(rows) <= limit:
-        if not rows:
-            return large.withColumn(alias, F.lit(None).cast(small.schema)).where("false")
-        packed = small.sparkSession.createDataFrame([([tuple(r) for r in rows],)], f"block array<{small.schema.simpleString()}>")
-        literal = F.broadcast(packed.withColumn("_one", F.lit(1)))
-        return (
-            large.withColumn("_one", F.lit(1))
-            .join(literal, "_one")
-            .select(*large.columns, F.explode(F.filter("block", lambda row: where(row))).alias(alias))
-        )
+        block = F.from_json(F.lit("[" + ",".join(r.row for r in rows) + "]"), f"array<{small.schema.simpleString()}>")
+        return large.select(*large.columns, F.explode(F.filter(block, lambda row: where(row))).alias(alias))
     numbered = exact_row_number(small, [], [F.col(c) for c in fields], "_n")
     blocks = numbered.groupBy(F.expr(f"(_n - 1) div {limit}").alias("_block")).agg(
         F.collect_list(F.struct(*fields)).alias("block")

@@ -512,8 +512,9 @@ VIEWS: dict[str, View] = {
 
 
 # Views whose rows cost far more than reading them.
-TEXT_VIEWS = (
-    "files code_files chunks diffs responses vote_texts enriched_texts alert_findings documents talk conversations"
+COSTLY_VIEWS = (
+    "files code_files chunks diffs responses vote_texts enriched_texts alert_findings documents "
+    "talk conversations"
 ).split()
 
 
@@ -531,7 +532,7 @@ class Views:
         if name not in VIEWS and name not in TABLES:
             raise AttributeError(name)
         source = self.table(VIEWS[name].base if name in VIEWS else name)
-        if name in TEXT_VIEWS:
+        if name in COSTLY_VIEWS:
             source = spread(source)
         return VIEWS[name].spark(source) if name in VIEWS else source
 
