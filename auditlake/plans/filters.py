@@ -10,7 +10,7 @@ from auditlake.plans.evaluation import _ERR
 from auditlake.plans.registry import query
 from auditlake.plans.reports import _SCORED
 
-AS_OF = F.expr("timestamp_ntz '2024-01-15 12:00:00'")
+AS_OF = "timestamp_ntz '2024-01-15 12:00:00'"
 AS_OF_SQL = "TIMESTAMP '2024-01-15 12:00:00'"
 
 
@@ -161,7 +161,7 @@ def p11(t):
 )
 def p12(t):
     chunks = t.errors.withColumn("next_retry_at", F.expr("if(retry_count = 0, null, created_at + interval 2 seconds)"))
-    return P.retry_ready(chunks, AS_OF).select("error_id")
+    return P.retry_ready(chunks, F.expr(AS_OF)).select("error_id")
 
 
 @query(
@@ -190,7 +190,7 @@ def p14(t):
     f"SELECT log_id, model_name, status FROM llm_log WHERE status IN ('completed', 'failed') AND created_at >= {AS_OF_SQL} - INTERVAL 5 MINUTE",
 )
 def p15(t):
-    return P.recent(t.llm_log, AS_OF).select("log_id", "model_name", "status")
+    return P.recent(t.llm_log, F.expr(AS_OF)).select("log_id", "model_name", "status")
 
 
 _MISSING = "list_filter([" + ", ".join(
