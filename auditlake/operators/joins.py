@@ -16,18 +16,22 @@ GENERIC_WORDS = ["cwe", "buffer", "code", "copy", "size", "check", "related", "a
 EXTENSION_TRIES = [".h", ".hpp", ".c", ".cpp"]
 
 
-def enclosing_chunk(findings: DataFrame, chunks: DataFrame) -> DataFrame:
+def enclosing_chunk(findings: DataFrame, chunks: DataFrame, bucket: int = 64) -> DataFrame:
     """The first chunk of the finding's file whose lines hold the finding.
 
-    Files join by equality and the lines are a residual range, so no bare range join arises; the
-    first chunk is an aggregate with map-side combine, not a window.
+    Chunks offer the line buckets they cover, findings the bucket they lie in: both meet by file
+    and bucket, so a file with very many findings neither pairs them with all of its chunks nor
+    ends up in one task. The first chunk is an aggregate with map-side combine.
     """
-    spans = chunks.select("file_id", "chunk_id", "chunk_index", "start_line", "end_line")
+    spans = chunks.select(
+        "file_id", "chunk_id", "chunk_index", "start_line", "end_line",
+        F.explode(F.expr(f"sequence(start_line div {bucket}, end_line div {bucket})")).alias("_bucket"),
+    )
+    placed = findings.select("finding_id", "file_id", "line_number", F.expr(f"line_number div {bucket}").alias("_bucket"))
     inside = F.col("line_number").between(F.col("start_line"), F.col("end_line"))
     best = F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("chunk_id")
     return (
-        findings.select("finding_id", "file_id", "line_number")
-        .join(spans, "file_id")
+        placed.join(spans, ["file_id", "_bucket"])
         .where(inside)
         .groupBy("finding_id", "file_id", "line_number")
         .agg(best)

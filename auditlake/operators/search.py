@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.scalars import lookup
@@ -220,25 +220,35 @@ def application_types(files: DataFrame, imports: DataFrame) -> DataFrame:
 def mentions(files: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` lines of other files that call each wanted name.
 
-    Lines give up their words before the join, so names join words by equality.
+    Lines give up their words before the join, so names join words by equality. Before that, a name
+    keeps ``n`` lines of each of its first ``n + 1`` files: whichever file is the home, the first
+    ``n`` other lines are among them, and a name called everywhere does not meet all its homes.
     """
     words = code_lines(files).select(
         "file_id", "line_number",
         F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"(\w+)\s*\("), F.lit(1)))).alias("name"),
     )
-    hits = words.join(names.select("name", F.col("file_id").alias("home")), "name").where("file_id <> home")
+    per_file = first_n(words, ["name", "file_id"], [F.col("line_number")], n).drop("rn")
+    by_file = Window.partitionBy("name").orderBy("file_id")
+    kept = per_file.withColumn("_file_no", F.dense_rank().over(by_file)).where(F.col("_file_no") <= n + 1).drop("_file_no")
+    hits = kept.join(names.select("name", F.col("file_id").alias("home")), "name").where("file_id <> home")
     return first_n(hits, ["name", "home"], [F.col("file_id"), F.col("line_number")], n)
 
 
 def variable_trace(files: DataFrame, targets: DataFrame) -> DataFrame:
     """Backward assignments (50 lines), nearest parameter (100 lines) and forward uses (50 lines).
 
-    ``targets`` is (file_id, line_number, variable): lines meet their targets by file.
+    ``targets`` is (file_id, line_number, variable). They offer the buckets of 150 lines that their
+    band touches, so lines meet targets by file and bucket.
     """
-    lines = code_lines(files.select("file_id", "content"))
-    near = targets.select("file_id", F.col("line_number").alias("target"), "variable").join(lines, "file_id").where(
-        F.col("line_number").between(F.col("target") - 99, F.col("target") + 50)
+    lines = code_lines(files.select("file_id", "content")).withColumn("_bucket", F.expr("line_number div 150"))
+    bands = targets.select(
+        "file_id", F.col("line_number").alias("target"), "variable",
+        F.explode(F.expr("sequence(greatest(line_number - 99, 0) div 150, (line_number + 50) div 150)")).alias("_bucket"),
     )
+    near = bands.join(lines, ["file_id", "_bucket"]).where(
+        F.col("line_number").between(F.col("target") - 99, F.col("target") + 50)
+    ).drop("_bucket")
     assigned = F.expr(r"line rlike concat('\\b', variable, '\\s*:?=\\s*.+')")
     used = F.expr(r"line rlike concat('\\b', variable, '\\b')")
     param = F.expr(r"line rlike concat('(?:def|void|int|char)\\s+\\w+\\s*\\([^)]*\\b', variable, '\\b')")

@@ -151,16 +151,16 @@ def a45(t):
 
 @query(
     "a46_nested_profiles",
-    """SELECT r_regionkey AS profile_id, r_name AS profile, list(concat(n_nationkey, ':', n_name, ':', coalesce(s_name, '-')) ORDER BY n_nationkey) AS analyzers
-    FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_suppkey = n_nationkey GROUP BY ALL""",
+    """SELECT n_nationkey AS profile_id, n_name AS profile, coalesce(list(concat(s_suppkey, ':', s_name, ':', coalesce(c_name, '-')) ORDER BY s_suppkey) FILTER (s_suppkey IS NOT NULL), []) AS analyzers
+    FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_custkey = s_suppkey * 20 GROUP BY ALL""",
 )
 def a46(t):
     return P.nested_profiles(
-        t.region.selectExpr("r_regionkey AS profile_id", "r_name AS profile"),
-        t.nation.selectExpr(
-            "n_regionkey AS profile_id", "n_nationkey AS run_order", "n_name AS analyzer", "n_nationkey AS model_id"
+        t.nation.selectExpr("n_nationkey AS profile_id", "n_name AS profile"),
+        t.supplier.selectExpr(
+            "s_nationkey AS profile_id", "s_suppkey AS run_order", "s_name AS analyzer", "s_suppkey * 20 AS model_id"
         ),
-        t.supplier.selectExpr("s_suppkey AS model_id", "s_name AS model_name"),
+        t.customer.selectExpr("c_custkey AS model_id", "c_name AS model_name"),
     )
 
 

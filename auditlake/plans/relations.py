@@ -372,10 +372,10 @@ def w14(t):
 
 @query(
     "w15_run_order",
-    "SELECT n_regionkey AS profile_id, n_name AS model_name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS INT) AS run_order FROM nation",
+    "SELECT s_nationkey AS profile_id, s_name AS model_name, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS INT) AS run_order FROM supplier",
 )
 def w15(t):
-    return O.run_order(t.nation.selectExpr("n_regionkey AS profile_id", "n_name AS model_name"))
+    return O.run_order(t.supplier.selectExpr("s_nationkey AS profile_id", "s_name AS model_name"))
 
 
 @query(
