@@ -92,6 +92,7 @@ def match_categories(findings: DataFrame, categories: DataFrame, limit: int = 40
     hold (a keyword may be part of a word), and those meet their categories by equality, so no
     text meets every category.
     """
+    findings = findings.withColumn("raw_category", F.coalesce("raw_category", F.lit("")))
     cwe = S.cwe_id("raw_category")
     exact = categories.where("cwe_id is not null").groupBy("cwe_id").agg(F.min_by("name", "category_id").alias("exact"))
     texts = findings.select("raw_category").distinct().withColumn("cwe_id", cwe)
@@ -113,10 +114,10 @@ def match_categories(findings: DataFrame, categories: DataFrame, limit: int = 40
     )
     matched = first.join(scored, "raw_category", "left").select(
         "raw_category",
-        F.when(F.coalesce("raw_category", F.lit("")) == "", F.lit("Unknown"))
+        F.when(F.col("raw_category") == "", F.lit("Unknown"))
         .otherwise(F.coalesce("exact", "fuzzy", F.trim("raw_category")))
         .alias("category"),
-        (F.coalesce("exact", "fuzzy").isNull()).alias("is_new"),
+        (F.coalesce("exact", "fuzzy").isNull() & (F.col("raw_category") != "")).alias("is_new"),
     )
     return findings.join(matched, "raw_category")
 

@@ -107,7 +107,7 @@ def j10(t):
         generate_subscripts(regexp_extract_all(text, '(?im)(token|secret)\s*=\s*["''][^"'']+["'']'), 1) AS k FROM documents),
     p AS (SELECT *, sum(length(g) + length(match)) OVER (PARTITION BY sample_id ORDER BY k) AS e FROM m)
     SELECT sample_id, 1 AS rule_id, match, CAST(e - length(match) AS INT) AS start, CAST(e AS INT) AS "end",
-      len(string_split(substr(text, 1, CAST(e - length(match) AS INT)), chr(10))) AS line FROM p""",
+      CAST(len(string_split(substr(text, 1, CAST(e - length(match) AS INT)), chr(10))) AS INT) AS line FROM p""",
 )
 def e1(t):
     base = R.DEFAULT_RULES[0]

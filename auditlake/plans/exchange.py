@@ -231,7 +231,7 @@ def x6(t):
 @query("x7_alerts", f"WITH {_ALERTS.replace('SELECT finding_id, webhook_id, is_malicious', 'SELECT finding_id, webhook_id')}")
 def x7(t):
     out = SJ.alerts(_stream(t, "alert_findings", ORDERS), t.subscriptions, "secret", lambda payload, signature: 200, scratch_path(t.spark, "alerts"))
-    return SJ.stored(t.spark, out).where("status = 'delivered'").select("finding_id", "webhook_id")
+    return SJ.stored(t.spark, out).where("status = 'delivered'").selectExpr("finding_id", "cast(webhook_id as int) AS webhook_id")
 
 
 @query("x9_replay", "SELECT log_id, model_name FROM llm_log")
@@ -301,7 +301,7 @@ def e4(t):
 
 @query(
     "e5_sql_functions",
-    f"""SELECT o_orderkey AS id, {SEV_SQL} AS severity, CASE WHEN o_custkey % 6 = 1 THEN 3.1 ELSE NULL END AS cvss,
+    f"""SELECT o_orderkey AS id, {SEV_SQL} AS severity, CASE WHEN o_custkey % 6 = 1 THEN CAST(3.1 AS DOUBLE) ELSE NULL END AS cvss,
       CASE WHEN o_custkey % 2 = 0 THEN 'timeout' ELSE 'unknown' END AS error_type, o_custkey % 3 <> 0 AS correct
     FROM (SELECT o_orderkey, o_custkey, {_RAW_SEV} AS v FROM orders)""",
 )

@@ -220,7 +220,7 @@ def j19(t):
 
 @query(
     "j21_cached_results",
-    "SELECT file_id, lang AS analyzer, md5(content) AS content_hash, length(content) AS result FROM files",
+    "SELECT file_id, lang AS analyzer, md5(content) AS content_hash, CAST(length(content) AS INT) AS result FROM files",
 )
 def j21(t):
     requests = t.files.selectExpr("file_id", "lang AS analyzer", "content")

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import chunking as C, rules as R, search as Q, symbols as S
+from auditlake.operators import chunking as C, joins as J, rules as R, search as Q, symbols as S
 from auditlake.operators import extraction as E
 
 
@@ -158,3 +158,41 @@ def test_draft_extraction_cases(spark):
         (5, "failed", None, None, None),
         (6, "none", None, None, None),
     ]
+
+
+def test_mentions_match_brute_force(spark):
+    rng = random.Random(2)
+    texts = [
+        ("a.c", "\n".join(rng.choice(["hot(x)", "rare(y)", "none"]) if rng.random() < 0.9 else "odd()" for _ in range(12)))
+        for _ in range(9)
+    ]
+    homes = [(h, name) for h in range(9) for name in ("hot", "rare", "odd")]
+    names = spark.createDataFrame(homes, "file_id bigint, name string")
+    got = {}
+    for r in Q.mentions(files_frame(spark, texts), names, n=3).collect():
+        got.setdefault((r.home, r.name), set()).add((r.file_id, r.line_number))
+    want = {}
+    for home, name in homes:
+        hits = [
+            (i, k) for i, (_, t) in enumerate(texts) if i != home
+            for k, line in enumerate(t.split("\n"), 1) if f"{name}(" in line
+        ]
+        if hits:
+            want[(home, name)] = set(hits[:3])
+    assert got == want
+
+
+def test_enclosing_chunk_matches_brute_force(spark):
+    rng = random.Random(4)
+    chunks = [(f, f * 100 + i, i, s, s + rng.randint(0, 300)) for f in range(3) for i, s in enumerate(range(1, 500, 37))]
+    found = [(i, rng.randrange(3), rng.randint(1, 700)) for i in range(200)]
+    frame = J.enclosing_chunk(
+        spark.createDataFrame(found, "finding_id bigint, file_id bigint, line_number int"),
+        spark.createDataFrame(chunks, "file_id bigint, chunk_id bigint, chunk_index int, start_line int, end_line int"),
+    )
+    want = {}
+    for i, f, line in found:
+        inside = [c for c in chunks if c[0] == f and c[3] <= line <= c[4]]
+        if inside:
+            want[i] = min(inside, key=lambda c: c[2])[1]
+    assert {r.finding_id: r.chunk_id for r in frame.collect()} == want

@@ -80,3 +80,16 @@ def test_source_chains_and_circles(spark):
     rows = [(0, None), (1, 0), (2, 1), (3, 2), (4, 5), (5, 4), (6, 99)]
     got = {r.scan_id: (r.root_scan_id, r.hops) for r in J.resolve_sources(spark.createDataFrame(rows, "scan_id bigint, source_scan_id bigint")).collect()}
     assert got == {0: (0, 0), 1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (None, None), 5: (None, None), 6: (6, 0)}
+
+
+def test_categories_keep_every_finding(spark):
+    categories = spark.createDataFrame(
+        [(1, "Overflow", "CWE-120", ["stack", "heap"]), (2, "Leak", None, ["memory", "leak", "code"])],
+        "category_id int, name string, cwe_id string, keywords array<string>",
+    )
+    raw = [(1, "CWE-120 x"), (2, "a memory leakage"), (3, "code leak"), (4, None), (5, "Odd XSS")]
+    found = spark.createDataFrame(raw, "finding_id int, raw_category string")
+    got = {r.finding_id: (r.category, r.is_new) for r in J.match_categories(found, categories).collect()}
+    assert got == {
+        1: ("Overflow", False), 2: ("Leak", False), 3: ("code leak", True), 4: ("Unknown", False), 5: ("Odd XSS", True)
+    }
