@@ -269,7 +269,9 @@ def cached_results(requests: DataFrame, compute) -> DataFrame:
     """
     keyed = requests.withColumn("content_hash", F.md5("content"))
     once = keyed.groupBy("content_hash", "analyzer").agg(F.first("content").alias("content"))
-    return keyed.drop("content").join(compute(once).drop("content"), ["content_hash", "analyzer"])
+    done = compute(once).drop("content").withColumnsRenamed({"content_hash": "_hash", "analyzer": "_analyzer"})
+    same = F.col("content_hash").eqNullSafe(F.col("_hash")) & F.col("analyzer").eqNullSafe(F.col("_analyzer"))
+    return keyed.drop("content").join(done, same).drop("_hash", "_analyzer")
 
 
 def result_details(results: DataFrame, prompts: DataFrame, cases: DataFrame, drafts: DataFrame) -> DataFrame:

@@ -93,3 +93,10 @@ def test_categories_keep_every_finding(spark):
     assert got == {
         1: ("Overflow", False), 2: ("Leak", False), 3: ("code leak", True), 4: ("Unknown", False), 5: ("Odd XSS", True)
     }
+
+
+def test_cached_results_keep_missing_values(spark):
+    rows = [(1, "a", "x"), (2, "a", "x"), (3, None, "x"), (4, None, None)]
+    requests = spark.createDataFrame(rows, "id int, analyzer string, content string")
+    got = J.cached_results(requests, lambda once: once.withColumn("n", F.length("content")))
+    assert sorted((r.id, r.n) for r in got.collect()) == [(1, 1), (2, 1), (3, 1), (4, None)]
