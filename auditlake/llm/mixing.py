@@ -83,18 +83,23 @@ def sainte_lague(cells: DataFrame, weight: str, total: int, order: list[str]) ->
     )
 
 
-def taken_before(x: Column, quota: Column, blocks: Column, start: Column, block: int) -> Column:
-    """Words taken from the first ``x`` words of a cell whose ``quota`` of blocks is dealt evenly.
+def taken_before(x: Column, cell: Column, quota: Column, draw: Column, block: int) -> Column:
+    """Words taken from the first ``x`` words of a cell that got ``quota`` blocks' worth of words.
 
-    Every block is taken ``quota div blocks`` times; of the rest, r of n blocks are chosen as those
-    at which (j*r + start) div n steps up, a seeded systematic draw that needs no list of blocks.
+    The cell is one line of n equal blocks of about ``block`` words. It is passed whole as often as
+    the quota allows; what is left is worth r blocks, and those at which (j*r + start) div n steps up
+    are chosen: a seeded systematic draw of r blocks, rounded up or down without bias, that needs no
+    list of blocks. Nothing is taken more than ``MOST`` times.
     """
-    rounds, rest = F.floor(quota / blocks), F.pmod(quota, blocks)
-    at = F.floor(x / block)
-    steps = lambda j: F.floor((j * rest + start) / blocks)
-    whole = steps(at) - steps(F.lit(0))
-    chosen = steps(at + 1) - steps(at)
-    return (rounds * x + whole * block + chosen * (x - at * block)).cast("bigint")
+    words = F.least(quota * float(block), cell * float(MOST))
+    blocks = F.greatest(F.ceil(cell / block), F.lit(1))
+    width = F.greatest(cell, F.lit(1)) / blocks
+    rounds = F.floor(words / F.greatest(cell, F.lit(1)))
+    rest = (words - rounds * cell) / width
+    at = F.floor(x / width)
+    steps = lambda j: F.floor((j * rest + draw * blocks) / blocks)
+    done = rounds * x + (steps(at) - steps(F.lit(0))) * width + (steps(at + 1) - steps(at)) * (x - at * width)
+    return F.floor(done + 0.5)
 
 
 def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
@@ -133,11 +138,11 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard: int = SHARD)
     )
     line = Window.partitionBy("source", "_shard").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     ends = laid.withColumn("_end", F.sum("size").over(line))
-    blocks = F.greatest(F.ceil(F.col("_cell") / block), F.lit(1))
-    start = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), blocks)
-    until = lambda x: taken_before(x, F.col("quota"), blocks, start, block)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), F.lit(1 << 20)) / float(1 << 20)
+    until = lambda x: taken_before(x, F.col("_cell"), F.col("quota"), draw, block)
+    taken = until(F.col("_end")) - until(F.col("_end") - F.col("size"))
     return ends.select(
-        "doc_id", "source", "size", "source_size", "target", (until(F.col("_end")) - until(F.col("_end") - F.col("size"))).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", F.least(taken, MOST * F.col("size")).cast("bigint").alias("taken")
     )
 
 
@@ -149,24 +154,20 @@ def shard_quotas(shares: DataFrame, block: int) -> DataFrame:
     """
     exact = F.col("_seats") * F.col("_cell") / F.greatest(F.col("source_size"), F.lit(1))
     sure = F.greatest(F.floor(exact) - 2, F.lit(0)).cast("bigint")
-    based = shares.withColumn("_sure", sure)
+    based = shares.withColumn("_sure", sure).withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     open_seats = based.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn(
         "_quotient", F.col("_cell") / (2 * (F.col("_sure") + F.col("_k")) - 1)
     )
-    per_source = based.groupBy("source").agg(F.sum("_sure").alias("_all_sure"))
+    per_source = based.groupBy("_key").agg(F.sum("_sure").alias("_all_sure"))
     ranked = exact_row_number(
-        open_seats.select("source", "_shard", "_seats", "_quotient", "_k"), ["source"],
+        open_seats.select("_key", "_shard", "_seats", "_quotient", "_k"), ["_key"],
         [F.col("_quotient").desc(), F.col("_shard"), F.col("_k")], "_n",
     )
     won = (
-        ranked.alias("r").join(per_source.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-        .where(F.col("_n") <= F.col("_seats") - F.col("_all_sure"))
-        .groupBy("r.source", "r._shard").agg(F.count(F.lit(1)).alias("_won"))
-    )
-    at = [F.col("b.source").eqNullSafe(F.col("w.source")), F.col("b._shard") == F.col("w._shard")]
-    return based.alias("b").join(won.alias("w"), at, "left").select(
-        "b.*", (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias("quota")
+        ranked.join(per_source, "_key").where(F.col("_n") <= F.col("_seats") - F.col("_all_sure"))
+        .groupBy("_key", "_shard").agg(F.count(F.lit(1)).alias("_won"))
     )
+    return based.join(won, ["_key", "_shard"], "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0)))
 
 
 @query("op8_sainte_lague_mix")
