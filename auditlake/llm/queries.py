@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.llm import mixing, simhash, tokens  # noqa: F401
+from auditlake.llm import langid, mixing, simhash, tokens, warc  # noqa: F401
 from auditlake.llm.registry import ORACLE_SQLS, QUERIES
 
 __all__ = ["ORACLE_SQLS", "QUERIES"]
