@@ -123,25 +123,26 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model | None
     a bounded, documented sample. Their feature vectors are made in tasks; only those, of fixed
     length, reach the driver.
     """
-    sample = (
-        labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"))
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-        .where(F.col("n") <= rows_per_lang)
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        "lang", "text", F.xxhash64("doc_id", "text").alias("h")
     )
+    nth = Window.partitionBy("lang").orderBy("h")
+    kept = usable.select("lang", "h").distinct().withColumn("n", F.row_number().over(nth)).where(F.col("n") <= rows_per_lang)
+    # One row a language that is learnt; the texts are then picked where they lie.
+    last = {r.lang: r.h for r in kept.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not last:
+        return None
+    chosen = F.lit(False)
+    for lang, h in sorted(last.items()):
+        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= h))
+    texts = usable.where(chosen).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
             vectors = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(vectors, pa.binary())], names=["lang", "x"])
 
-    kind = labelled.schema["doc_id"].dataType.simpleString()
-    hashed = labelled.select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
-    on = (F.col("l.lang") == F.col("s.lang")) & F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("l.h") == F.col("s.h"))
-    texts = hashed.alias("l").join(sample.dropDuplicates(["lang", "doc_id", "h"]).alias("s"), on, "left_semi")
-    rows = texts.select(F.col("doc_id").cast(kind), "lang", "text").mapInArrow(run, "lang string, x binary").collect()
-    if not rows:
-        return None
+    rows = texts.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
     x = with_bias(np.array([np.frombuffer(r.x, np.float32) for r in rows], float))
     langs = np.array([r.lang for r in rows])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.llm import langid, lines, mixing, secrets, simhash, tokens, warc  # noqa: F401
+from auditlake.llm import langid, lines, media, mixing, pieces, secrets, simhash, tokens, warc  # noqa: F401
 from auditlake.llm.registry import ORACLE_SQLS, QUERIES
 
 __all__ = ["ORACLE_SQLS", "QUERIES"]

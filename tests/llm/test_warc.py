@@ -34,7 +34,7 @@ def test_archive_round_trip(spark, tmp_path):
     bundles = spark.read.parquet(str(tmp_path / "a"))
     (tmp_path / "files").mkdir()
     warc.export_files(bundles, str(tmp_path / "files"))
-    index = {b.bundle: b.index for b in bundles.collect()}
+    index = {b["bundle"]: b["index"] for b in bundles.collect()}
     seen = 0
     for file in (tmp_path / "files").iterdir():
         data = file.read_bytes()
@@ -43,7 +43,7 @@ def test_archive_round_trip(spark, tmp_path):
         frames = [warc.read_frame(data, k) for k in range(len(warc.seek_table(data)))]
         assert whole == b"".join(frames)
         for entry in index[file.name.split(".")[0]]:
-            piece = frames[entry.frame][entry.offset : entry.offset + entry.length]
+            piece = frames[entry["frame"]][entry["offset"] : entry["offset"] + entry["length"]]
             assert piece.startswith(b"WARC/1.1\r\n") and piece.endswith(b"\r\n\r\n")
             seen += 1
     assert seen == len(rows)
