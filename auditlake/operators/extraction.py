@@ -298,6 +298,12 @@ def _from_marker(text: Column, low: Column, aliases: list[str]) -> Column:
     return F.coalesce(*tries)
 
 
+def _by_key(obj: Column, key: str) -> Column:
+    """Value of the first key that equals ``key`` in any case."""
+    hits = F.filter(F.map_entries(obj), lambda e: F.lower(e["key"]) == key)
+    return F.get(hits, F.lit(0))["value"]
+
+
 def parse_generic(responses: DataFrame, fields: dict[str, list[str]], required: list[str]) -> DataFrame:
     """Fields of an answer with the format found, the required ones missing, and needs_cleanup."""
     keep = [c for c in responses.columns if c != "text"]
@@ -312,7 +318,7 @@ def parse_generic(responses: DataFrame, fields: dict[str, list[str]], required:
         .withColumn("_obj", parsed_object)
     )
     values = {
-        name: F.when(obj.isNotNull(), F.coalesce(*[obj[a] for a in aliases])).otherwise(
+        name: F.when(obj.isNotNull(), F.coalesce(*[_by_key(obj, a) for a in aliases])).otherwise(
             _from_marker(t, F.col("_low"), aliases)
         )
         for name, aliases in fields.items()
@@ -345,9 +351,9 @@ def extract_votes(responses: DataFrame) -> DataFrame:
         F.coalesce(X.vote_decision("vote"), F.lit("ABSTAIN")).alias("decision"),
         X.clamp_confidence("confidence").alias("confidence"),
         F.when(~found, F.lit("Failed to parse response"))
-        .otherwise(F.left(F.coalesce("reasoning", F.lit("")), F.lit(1000)))
+        .otherwise(F.coalesce("reasoning", F.lit("")))
         .alias("reasoning"),
-        F.left(F.coalesce("attack_scenario", F.lit("")), F.lit(500)).alias("attack_scenario"),
+        F.coalesce("attack_scenario", F.lit("")).alias("attack_scenario"),
         "parse_success",
         "format_detected",
         "needs_cleanup",
@@ -387,7 +393,7 @@ def extract_loose_votes(responses: DataFrame) -> DataFrame:
         .otherwise(last(F.transform("_lines", number)))
         .cast("int")
         .alias("confidence"),
-        F.left(strip_spaces(reasoning), F.lit(500)).alias("reasoning"),
+        strip_spaces(reasoning).alias("reasoning"),
     )
 
 
@@ -412,7 +418,7 @@ def pipe_findings(records: DataFrame) -> DataFrame:
         "*",
         F.concat(X.cwe_name("cwe"), F.lit(" via "), F.col("sink"), F.lit("()")).alias("title"),
         X.cwe_severity("cwe").alias("severity"),
-        F.left("code", F.lit(200)).alias("snippet"),
+        F.col("code").alias("snippet"),
         X.cwe_reason("cwe", "sink").alias("reason"),
     )
 
@@ -462,14 +468,13 @@ def agent_steps(responses: DataFrame, json_format: bool = False) -> DataFrame:
 
 
 def trace_rows(sessions: DataFrame) -> DataFrame:
-    """Flatten ``trace`` arrays to one row a step, with thoughts and results cut for display."""
-    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("..."))).otherwise(c)
+    """Flatten ``trace`` arrays to one row a step."""
     keep = [c for c in sessions.columns if c != "trace"]
     return sessions.select(*keep, F.posexplode("trace").alias("pos", "s")).select(
         *keep,
         "pos",
         F.col("s.step").alias("step"),
-        cut(F.col("s.thought"), 500).alias("thought"),
+        F.col("s.thought").alias("thought"),
         F.col("s.tool_name").alias("tool_name"),
-        cut(F.col("s.tool_result"), 300).alias("tool_result"),
+        F.col("s.tool_result").alias("tool_result"),
     )

@@ -181,11 +181,12 @@ def case_matches(cases: DataFrame, findings: DataFrame) -> DataFrame:
     return cases.join(first, "case_id", "left").withColumn("verdict", verdict).drop("f")
 
 
-def resolve_sources(scans: DataFrame, rounds: int = 5) -> DataFrame:
-    """Root of every source chain and the hops to it; a chain that runs in a circle has no root.
+def resolve_sources(scans: DataFrame) -> DataFrame:
+    """Root of every source chain, the hops to it, and ``circular``: the chain runs into a circle.
 
-    Pointer doubling: a round doubles the distance covered, so ``rounds`` equality joins follow
-    chains of ``2 ** rounds`` hops and no recursion limit applies.
+    Pointer doubling: a round doubles the distance covered, so one round for every doubling of the
+    number of scans reaches every root; what has none by then is on a circle or leads to one. Rounds
+    end as soon as all scans are at a root.
     """
     from auditlake.session import cut
 
@@ -199,13 +200,17 @@ def resolve_sources(scans: DataFrame, rounds: int = 5) -> DataFrame:
             F.when(F.col("k").isNotNull(), 1).otherwise(0).cast("bigint").alias("hops"),
         )
     )
+    jump = cut(jump)
     roots = jump.where("hops = 0").select(F.col("scan_id").alias("root_scan_id"))
-    for _ in range(rounds):
-        jump = cut(jump)
+    on_root = F.col("at") == F.col("root_scan_id")
+    for _ in range(max(1, jump.count()).bit_length()):
+        if jump.join(roots, on_root, "left_anti").isEmpty():
+            break
         after = jump.select(F.col("scan_id").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"))
-        jump = jump.join(after, "at").select("scan_id", F.col("to").alias("at"), (F.col("hops") + F.col("more")).alias("hops"))
-    return jump.join(roots, F.col("at") == F.col("root_scan_id"), "left").select(
-        "scan_id", "root_scan_id", F.when(F.col("root_scan_id").isNotNull(), F.col("hops")).alias("hops")
+        jump = cut(jump.join(after, "at").select("scan_id", F.col("to").alias("at"), (F.col("hops") + F.col("more")).alias("hops")))
+    return jump.join(roots, on_root, "left").select(
+        "scan_id", "root_scan_id", F.when(F.col("root_scan_id").isNotNull(), F.col("hops")).alias("hops"),
+        F.col("root_scan_id").isNull().alias("circular"),
     )
 
 

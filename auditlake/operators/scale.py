@@ -12,16 +12,6 @@ from auditlake.session import cut
 RANGE = "_range"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one split a core, before costly text work.
-
-    For raw scans only. A table of many files has splits enough and is left alone, so nothing is
-    shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def ordered_ranges(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """Spread rows over sampled ranges of (keys, order) and tag each with its range number.
 

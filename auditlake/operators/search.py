@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.scalars import lookup
 from auditlake.operators.scale import first_n
-from auditlake.operators.symbols import code_lines
+from auditlake.operators.symbols import NO_CALLEES, code_lines
 from auditlake.session import cut
 
 # Where input enters, with the kind and the risk.
@@ -64,7 +64,7 @@ def entry_points(files: DataFrame) -> DataFrame:
         )
     )
     return code_lines(files).select(
-        "file_id", "line_number", F.left(F.trim("line"), F.lit(60)).alias("name"), F.explode(hits).alias("h")
+        "file_id", "line_number", F.trim("line").alias("name"), F.explode(hits).alias("h")
     ).select("file_id", "line_number", "name", "h.*")
 
 
@@ -125,15 +125,15 @@ def function_bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select("file_id", "name", "start_line", body.alias("body"))
 
 
-def call_graph(calls: DataFrame, callees: int = 20) -> DataFrame:
-    """Callers and the first ``callees`` callees of every function, one row an edge.
+def call_graph(calls: DataFrame, callees: int | None = None) -> DataFrame:
+    """Callers and callees (the first ``callees`` if given) of every function, one row an edge.
 
     Edges stay rows: a popular function has more callers than one array should hold.
     """
-    edges = calls.where("function is not null").select(F.col("function").alias("caller"), "callee").distinct()
-    down = first_n(edges, ["caller"], [F.col("callee")], callees).select(
-        F.col("caller").alias("function"), F.lit("calls").alias("direction"), F.col("callee").alias("other")
-    )
+    known = calls.where(F.col("function").isNotNull() & ~F.col("callee").isin(NO_CALLEES))
+    edges = known.select(F.col("function").alias("caller"), "callee").distinct()
+    few = edges if callees is None else first_n(edges, ["caller"], [F.col("callee")], callees)
+    down = few.select(F.col("caller").alias("function"), F.lit("calls").alias("direction"), F.col("callee").alias("other"))
     up = edges.select(F.col("callee").alias("function"), F.lit("called_by").alias("direction"), F.col("caller").alias("other"))
     return down.unionByName(up)
 
@@ -145,21 +145,19 @@ def callers(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def chains_to_entry(
-    edges: DataFrame, entries: DataFrame, max_depth: int = 5, callers_per_node: int = 3, chains: int = 5
+    edges: DataFrame, entries: DataFrame, callers_per_node: int | None = None, chains: int | None = None
 ) -> DataFrame:
     """Shortest call chains from every function up to entry functions.
 
-    Breadth first for all functions at once: a level joins the frontier with at most three callers
-    per node, keeps the first path per (function, node) and drops what was seen before. An entry
-    ends its chain. Paths hold at most ``max_depth + 1`` names. Every level is checkpointed, so the
-    plan stays one join deep.
+    Breadth first for all functions at once, until a level is empty: a level joins the frontier with
+    the callers of each node (the first ``callers_per_node`` if given), keeps the first path per
+    (function, node) and drops what was seen before. An entry ends its chain; ``chains`` bounds the
+    chains of a function. Every level is checkpointed, so the plan stays one join deep.
     """
-    up = cut(
-        first_n(
-            edges.select(F.col("callee").alias("node"), F.col("caller").alias("next")).distinct(),
-            ["node"], [F.col("next")], callers_per_node,
-        ).drop("rn")
-    )
+    calls = edges.select(F.col("callee").alias("node"), F.col("caller").alias("next")).distinct()
+    if callers_per_node is not None:
+        calls = first_n(calls, ["node"], [F.col("next")], callers_per_node).drop("rn")
+    up = cut(calls)
     is_entry = entries.select(F.col("function").alias("node"), F.lit(True).alias("entry")).distinct()
 
     def flagged(df: DataFrame) -> DataFrame:
@@ -168,7 +166,7 @@ def chains_to_entry(
     names = edges.select(F.col("callee").alias("function")).union(edges.select("caller")).distinct()
     level = cut(flagged(names.select("function", F.col("function").alias("node"), F.array("function").alias("path"))))
     seen = level
-    for _ in range(max_depth):
+    while not level.isEmpty():
         step = (
             level.where("not entry")
             .join(up, "node")
@@ -179,7 +177,7 @@ def chains_to_entry(
         level = cut(flagged(step.join(seen.select("function", "node"), ["function", "node"], "left_anti")))
         seen = seen.unionByName(level)
     reached = seen.where("entry").select("function", F.col("node").alias("entry"), "path", (F.size("path") - 1).alias("depth"))
-    return first_n(reached, ["function"], [F.col("depth"), F.col("entry")], chains).drop("rn")
+    return reached if chains is None else first_n(reached, ["function"], [F.col("depth"), F.col("entry")], chains).drop("rn")
 
 
 def application_types(files: DataFrame, imports: DataFrame) -> DataFrame:
@@ -217,22 +215,25 @@ def application_types(files: DataFrame, imports: DataFrame) -> DataFrame:
     )
 
 
-def mentions(files: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` lines of other files that call each wanted name.
+def mentions(files: DataFrame, names: DataFrame, n: int | None = None) -> DataFrame:
+    """Lines of other files that call each wanted name: all of them, or the first ``n``.
 
-    Lines give up their words before the join, so names join words by equality. Before that, a name
-    keeps ``n`` lines of each of its first ``n + 1`` files: whichever file is the home, the first
-    ``n`` other lines are among them, and a name called everywhere does not meet all its homes.
+    Lines give up their words before the join, so names join words by equality; words that nobody
+    wants leave first. With ``n``, a name keeps ``n`` lines of each of its first ``n + 1`` files:
+    whichever file is the home, the first ``n`` other lines are among them, and a name called
+    everywhere does not meet all its homes.
     """
     words = code_lines(files).select(
         "file_id", "line_number",
         F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"(\w+)\s*\("), F.lit(1)))).alias("name"),
     )
-    per_file = first_n(words, ["name", "file_id"], [F.col("line_number")], n).drop("rn")
-    by_file = Window.partitionBy("name").orderBy("file_id")
-    kept = per_file.withColumn("_file_no", F.dense_rank().over(by_file)).where(F.col("_file_no") <= n + 1).drop("_file_no")
+    kept = words.join(names.select("name").distinct(), "name", "left_semi")
+    if n is not None:
+        per_file = first_n(kept, ["name", "file_id"], [F.col("line_number")], n).drop("rn")
+        by_file = Window.partitionBy("name").orderBy("file_id")
+        kept = per_file.withColumn("_file_no", F.dense_rank().over(by_file)).where(F.col("_file_no") <= n + 1).drop("_file_no")
     hits = kept.join(names.select("name", F.col("file_id").alias("home")), "name").where("file_id <> home")
-    return first_n(hits, ["name", "home"], [F.col("file_id"), F.col("line_number")], n)
+    return hits if n is None else first_n(hits, ["name", "home"], [F.col("file_id"), F.col("line_number")], n)
 
 
 def variable_trace(files: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.scalars import col
@@ -20,16 +20,16 @@ def qualified_name(path: Column | str, name: Column | str) -> Column:
     return F.concat(module_name(path), F.lit("."), col(name))
 
 
-# Definition lines, tried in this order.
+# Definition lines, tried in this order. No group repeats, so a line of any length needs no stack.
 DEFINITIONS = [
-    r"^(?:static\s+)?(?:inline\s+)?(?:[\w\*]+\s+)+(\w+)\s*\([^)]*\)\s*\{?\s*$",
+    r"^[\w\*][\w\*\s]*\s(\w+)\s*\([^)]*\)\s*\{?\s*$",
     r"^def\s+(\w+)\s*\([^)]*\)\s*:",
     r"^(?:VOID|EFI_STATUS|BOOLEAN|UINTN|UINT\d+)\s*\n?(\w+)\s*\(",
 ]
 PY_IMPORT = r"^\s*(?:import|from)\s+([\w.]+)"
 C_INCLUDE = r"^\s*#include\s*[<\"]([^>\"]+)[>\"]"
 CALL = r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
-# Words before a parenthesis that are no callees.
+# Words before a parenthesis that are no callees in a call graph.
 NO_CALLEES = ["if", "for", "while", "switch", "return", "sizeof", "printf", "fprintf"]
 
 
@@ -45,46 +45,66 @@ def _definition(line: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in DEFINITIONS])
 
 
-def enclosing_functions(files: DataFrame) -> DataFrame:
-    """Lines with the function that encloses them, null outside of functions.
+def function_spans(files: DataFrame) -> DataFrame:
+    """``files`` with its lines as ``_lines`` and ``_spans``: array<struct<name, start, end>>, in order.
 
     A function starts at its definition line and ends where its braces balance, or before the next
-    definition. Window groups are single files, which are single rows of the input.
+    definition. All of it happens inside the file's row: nothing is exploded or shuffled.
     """
-    by_line = Window.partitionBy("file_id").orderBy("line_number")
-    in_span = Window.partitionBy("file_id", "start_line").orderBy("line_number")
-    braces = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
-    marked = (
-        code_lines(files)
-        .withColumn("name", _definition(F.col("line")))
-        .withColumn(
-            "start_line",
-            F.last(F.when(F.col("name").isNotNull(), F.col("line_number")), ignorenulls=True).over(by_line),
+    braces = lambda line, c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    lined = files.withColumn("_lines", F.split("content", "\n"))
+    marks = F.transform("_lines", lambda line, i: F.struct(_definition(line).alias("name"), (i + 1).alias("start")))
+    marked = lined.withColumn("_marks", F.filter(marks, lambda m: m["name"].isNotNull()))
+
+    def span(mark: Column, i: Column) -> Column:
+        last = F.coalesce(F.get("_marks", i + 1)["start"] - 1, F.size("_lines"))
+        start = F.struct(
+            F.lit(0).alias("depth"), F.lit(False).alias("opened"), (mark["start"] - 1).alias("at"), F.lit(False).alias("closed")
         )
-        .withColumn("function", F.last("name", ignorenulls=True).over(by_line))
-    )
-    depth = (
-        marked.where("start_line is not null")
-        .withColumn("depth", F.sum(braces("{") - braces("}")).over(in_span))
-        .withColumn("opened", F.sum(braces("{")).over(in_span) > 0)
-        .withColumn("closed", F.col("opened") & (F.col("depth") <= 0))
-        .withColumn(
-            "closed_before",
-            F.coalesce(
-                F.max(F.col("closed").cast("int")).over(in_span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+
+        def step(s: Column, line: Column) -> Column:
+            opens, closes = braces(line, "{"), braces(line, "}")
+            depth = s["depth"] + opens - closes
+            opened = s["opened"] | (opens > 0)
+            return F.when(s["closed"], s).otherwise(
+                F.struct(depth.alias("depth"), opened.alias("opened"), (s["at"] + 1).alias("at"), (opened & (depth <= 0)).alias("closed"))
+            )
+
+        body = F.slice("_lines", mark["start"], last - mark["start"] + 1)
+        return F.struct(mark["name"].alias("name"), mark["start"].alias("start"), F.aggregate(body, start, step)["at"].alias("end"))
+
+    return marked.withColumn("_spans", F.transform("_marks", span)).drop("_marks")
+
+
+def _lines_of(span: Column, each) -> Column:
+    """``each(line, number)`` for the lines of a span."""
+    return F.transform(F.slice("_lines", span["start"], span["end"] - span["start"] + 1), lambda line, i: each(line, span["start"] + i))
+
+
+def enclosing_functions(files: DataFrame) -> DataFrame:
+    """Lines inside functions with the function that encloses them; map-only."""
+    keep = [c for c in files.columns if c != "content"]
+    lines = F.flatten(
+        F.transform(
+            "_spans",
+            lambda s: _lines_of(
+                s, lambda line, n: F.struct(n.alias("line_number"), line.alias("line"), s["name"].alias("function"), s["start"].alias("start_line"))
             ),
         )
     )
-    keep = [c for c in files.columns if c != "content"]
-    return depth.where("closed_before = 0").select(*keep, "line_number", "line", "function", "start_line")
+    return function_spans(files).select(*keep, lines.alias("_in")).select(*keep, F.inline("_in"))
 
 
 def symbol_table(files: DataFrame) -> DataFrame:
-    """Functions with their first and last line."""
-    spans = enclosing_functions(files)
-    return spans.groupBy("file_id", "file_path", F.col("function").alias("name"), "start_line").agg(
-        F.max("line_number").alias("end_line")
-    ).withColumn("qualified_name", qualified_name("file_path", "name"))
+    """Functions with their first and last line; map-only."""
+    spans = F.transform(
+        "_spans", lambda s: F.struct(s["name"].alias("name"), s["start"].alias("start_line"), s["end"].alias("end_line"))
+    )
+    return (
+        function_spans(files).select("file_id", "file_path", spans.alias("_s"))
+        .select("file_id", "file_path", F.inline("_s"))
+        .withColumn("qualified_name", qualified_name("file_path", "name"))
+    )
 
 
 def import_table(files: DataFrame) -> DataFrame:
@@ -96,12 +116,33 @@ def import_table(files: DataFrame) -> DataFrame:
 
 
 def call_table(files: DataFrame) -> DataFrame:
-    """Call sites (file, line, callee) with the function around them; keywords and self-calls drop out."""
-    return (
-        enclosing_functions(files)
-        .select(
-            "file_id", "function", "start_line", "line_number",
-            F.explode(F.regexp_extract_all("line", F.lit(CALL), F.lit(1))).alias("callee"),
-        )
-        .where(~F.col("callee").isin(NO_CALLEES) & (F.col("callee") != F.col("function")))
+    """Call sites (file, line, callee) with the function around them, null outside of functions.
+
+    Calls of a function inside itself, its definition line among them, drop out. Map-only.
+    """
+    none = F.lit(None).cast("string")
+    gaps = F.transform(
+        F.sequence(F.lit(0), F.size("_spans")),
+        lambda i: F.struct(
+            none.alias("name"), (F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)) + 1).alias("start"),
+            F.coalesce(F.get("_spans", i)["start"] - 1, F.size("_lines")).alias("end"),
+        ),
     )
+    ranges = F.concat("_spans", F.filter(gaps, lambda g: g["end"] >= g["start"]))
+
+    def calls(s: Column) -> Column:
+        return F.flatten(
+            _lines_of(
+                s,
+                lambda line, n: F.transform(
+                    F.regexp_extract_all(line, F.lit(CALL), F.lit(1)),
+                    lambda c: F.struct(
+                        s["name"].alias("function"), F.when(s["name"].isNotNull(), s["start"]).alias("start_line"),
+                        n.alias("line_number"), c.alias("callee"),
+                    ),
+                ),
+            )
+        )
+
+    found = function_spans(files).select("file_id", F.flatten(F.transform(ranges, calls)).alias("_c"))
+    return found.select("file_id", F.inline("_c")).where(~F.col("callee").eqNullSafe(F.col("function")))

@@ -183,8 +183,8 @@ def t4(t):
     "t5_vote_extraction",
     rf"""WITH {PARSED_SQL} SELECT vote_id, {DECISION_SQL.replace('upper(v)', "upper(coalesce(vote, ''))")} AS decision,
       CAST(least(100, coalesce(try_cast(nullif(regexp_extract(confidence, '(\d+)', 1), '') AS BIGINT), 50)) AS INT) AS confidence,
-      CASE WHEN format_detected = 'unknown' THEN 'Failed to parse response' ELSE left(coalesce(reasoning, ''), 1000) END AS reasoning,
-      left(coalesce(attack_scenario, ''), 500) AS attack_scenario, vote IS NOT NULL AS parse_success, format_detected, vote IS NULL AS needs_cleanup FROM parsed""",
+      CASE WHEN format_detected = 'unknown' THEN 'Failed to parse response' ELSE coalesce(reasoning, '') END AS reasoning,
+      coalesce(attack_scenario, '') AS attack_scenario, vote IS NOT NULL AS parse_success, format_detected, vote IS NULL AS needs_cleanup FROM parsed""",
 )
 def t5(t):
     return E.extract_votes(t.vote_texts.select("vote_id", "text"))
@@ -203,7 +203,7 @@ _CAT = """CASE WHEN contains(l, 'vote:') OR contains(l, 'verdict:') THEN CASE WH
     SELECT c.vote_id, coalesce(cat, CASE WHEN contains(lower(t), 'false positive') OR contains(lower(t), 'false_positive') THEN 'FALSE_POSITIVE'
         WHEN regexp_matches(lower(t), '\breal\b') THEN 'REAL' WHEN contains(lower(t), 'needs_verified') OR contains(lower(t), 'needs verified') THEN 'NEEDS_VERIFIED'
         WHEN contains(lower(t), 'weakness') THEN 'WEAKNESS' END) AS vote, CAST(CASE WHEN conf > 100 THEN 100 ELSE conf END AS INT) AS confidence,
-      left({strip("coalesce(nullif(regexp_extract(t, '(?is)reasoning:" + chr(92) + "s*(.*)', 1), ''), t)")}, 500) AS reasoning
+      {strip("coalesce(nullif(regexp_extract(t, '(?is)reasoning:" + chr(92) + "s*(.*)', 1), ''), t)")} AS reasoning
     FROM c JOIN w USING (vote_id)""",
 )
 def t9(t):
@@ -258,8 +258,8 @@ def t7_json(t):
     "t7_trace_rows",
     """WITH s AS (SELECT conv_id, turn, role, text FROM conversations),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos FROM s)
-    SELECT conv_id, pos, CAST(turn AS INT) AS step, CASE WHEN length(text) > 500 THEN concat(left(text, 500), '...') ELSE text END AS thought, role AS tool_name,
-      CASE WHEN length(text) > 300 THEN concat(left(text, 300), '...') ELSE text END AS tool_result FROM r""",
+    SELECT conv_id, pos, CAST(turn AS INT) AS step, text AS thought, role AS tool_name,
+      text AS tool_result FROM r""",
 )
 def t7_trace(t):
     # The table is flat: build the session arrays first, a conversation being one session.

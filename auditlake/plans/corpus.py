@@ -131,8 +131,9 @@ _SPANS = r"""cl AS (SELECT file_id, file_path, unnest(string_split(content, chr(
     spans AS (SELECT file_id, file_path, n AS line_number, line, function, start_line FROM cb WHERE closed = 0),
     symbols AS (SELECT file_id, file_path, function AS name, start_line, max(line_number) AS end_line FROM spans GROUP BY ALL)"""
 _CALLS = _SPANS + r""",
-    raw_calls AS (SELECT file_id, function, start_line, line_number, unnest(regexp_extract_all(line, '\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1)) AS callee FROM spans),
-    calls AS (SELECT * FROM raw_calls WHERE callee NOT IN ('if', 'for', 'while', 'switch', 'return', 'sizeof', 'printf', 'fprintf') AND callee <> function)"""
+    raw_calls AS (SELECT cl.file_id, s.function, s.start_line, cl.n AS line_number, unnest(regexp_extract_all(cl.line, '\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1)) AS callee
+      FROM cl LEFT JOIN spans s ON s.file_id = cl.file_id AND s.line_number = cl.n),
+    calls AS (SELECT * FROM raw_calls WHERE callee IS DISTINCT FROM function)"""
 
 
 @query("w10_enclosing_function", f"WITH {_SPANS} SELECT file_id, CAST(line_number AS INT) AS line_number, function, CAST(start_line AS INT) AS start_line FROM spans")
@@ -160,26 +161,23 @@ def c8_calls(t):
     return S.call_table(t.code_files).select("file_id", "function", "line_number", "callee")
 
 
-@query(
-    "c7_sinks_memory",
-    f"""WITH {_CALLS}, tagged AS (SELECT *, unnest(list_filter([CASE WHEN regexp_matches(callee, '^(strcpy|strcat|sprintf|gets|vsprintf|memcpy|memmove)$') THEN 'CWE-120' END,
-        CASE WHEN callee = 'free' THEN 'CWE-416' END, CASE WHEN callee = 'free' THEN 'CWE-415' END], lambda x: x IS NOT NULL)) AS cwe FROM calls),
-    rep AS (SELECT file_id, function FROM calls WHERE callee = 'free' GROUP BY ALL HAVING count(*) > 1)
+def _sinks(query_set: str) -> str:
+    """The sink query of one set; double-free needs two calls of free in a function."""
+    tags = ", ".join(f"CASE WHEN regexp_matches(callee, '^({names})$') THEN '{cwe}' END" for cwe, names in R.SINK_SETS[query_set])
+    return f"""WITH {_CALLS}, tagged AS (SELECT *, unnest(list_distinct(list_filter([{tags}], lambda x: x IS NOT NULL))) AS cwe FROM calls),
+    rep AS (SELECT file_id, function FROM calls WHERE callee = 'free' AND function IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
     SELECT file_id, function, CAST(line_number AS INT) AS line_number, callee, cwe FROM tagged WHERE cwe <> 'CWE-415'
-      OR (file_id, function) IN (SELECT (file_id, function) FROM rep)""",
-)
-def c7(t):
-    return R.sink_calls(S.call_table(t.code_files), "memory").select("file_id", "function", "line_number", "callee", "cwe")
+      OR (file_id, function) IN (SELECT (file_id, function) FROM rep)"""
 
 
-@query(
-    "c7_sinks_default",
-    f"""WITH {_CALLS}, tagged AS (SELECT *, CASE WHEN regexp_matches(callee, '^(strcpy|strcat|sprintf|gets|vsprintf)$') THEN 'CWE-120'
-      WHEN regexp_matches(callee, '^(system|popen|execl|execle|execlp|execv|execve|execvp)$') THEN 'CWE-78' WHEN regexp_matches(callee, '^(syslog|vprintf)$') THEN 'CWE-134' WHEN callee = 'free' THEN 'CWE-416' END AS cwe FROM calls)
-    SELECT file_id, function, CAST(line_number AS INT) AS line_number, callee, cwe FROM tagged WHERE cwe IS NOT NULL""",
-)
-def c7_default(t):
-    return R.sink_calls(S.call_table(t.code_files)).select("file_id", "function", "line_number", "callee", "cwe")
+def _register_sinks(query_set: str) -> None:
+    @query(f"c7_sinks_{query_set}", _sinks(query_set))
+    def sinks(t):
+        return R.sink_calls(S.call_table(t.code_files), query_set).select("file_id", "function", "line_number", "callee", "cwe")
+
+
+for _set in R.SINK_SETS:
+    _register_sinks(_set)
 
 
 @query("j13_callers", f"""WITH {_CALLS}, tg AS (SELECT DISTINCT name AS callee, file_id AS target_file FROM symbols)
@@ -188,30 +186,58 @@ def j13(t):
     return Q.callers(S.call_table(t.code_files), S.symbol_table(t.code_files))
 
 
+_EDGES = """ed AS (SELECT DISTINCT function AS caller, callee FROM calls WHERE function IS NOT NULL
+      AND callee NOT IN ('if', 'for', 'while', 'switch', 'return', 'sizeof', 'printf', 'fprintf'))"""
+
+
 @query(
     "c14_call_graph",
-    f"""WITH {_CALLS}, ed AS (SELECT DISTINCT function AS caller, callee FROM calls),
-    dn AS (SELECT caller, callee FROM ed QUALIFY row_number() OVER (PARTITION BY caller ORDER BY callee) <= 20)
-    SELECT caller AS function, 'calls' AS direction, callee AS other FROM dn UNION ALL SELECT callee, 'called_by', caller FROM ed""",
+    f"""WITH {_CALLS}, {_EDGES}
+    SELECT caller AS function, 'calls' AS direction, callee AS other FROM ed UNION ALL SELECT callee, 'called_by', caller FROM ed""",
 )
 def c14(t):
     return Q.call_graph(S.call_table(t.code_files))
 
 
 @query(
-    "c9_call_chains",
-    """WITH RECURSIVE e AS (SELECT DISTINCT callee AS node, caller AS nxt FROM edges),
-    up AS (SELECT node, nxt FROM e QUALIFY row_number() OVER (PARTITION BY node ORDER BY nxt) <= 3),
+    "c14_bounded_call_graph",
+    f"""WITH {_CALLS}, {_EDGES}, dn AS (SELECT caller, callee FROM ed QUALIFY row_number() OVER (PARTITION BY caller ORDER BY callee) <= 2)
+    SELECT caller AS function, 'calls' AS direction, callee AS other FROM dn UNION ALL SELECT callee, 'called_by', caller FROM ed""",
+)
+def c14_bounded(t):
+    return Q.call_graph(S.call_table(t.code_files), callees=2)
+
+
+def _chains(callers: str, last: str) -> str:
+    """Reachable pairs by depth; no shortest chain is longer than there are functions (100 here)."""
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT callee AS node, caller AS nxt FROM edges),
+    up AS (SELECT node, nxt FROM e {callers}),
     r AS (SELECT DISTINCT f AS function, f AS node, 0 AS depth FROM (SELECT callee AS f FROM edges UNION SELECT caller FROM edges)
-      UNION SELECT r.function, up.nxt, r.depth + 1 FROM r JOIN up ON up.node = r.node WHERE r.depth < 5 AND r.node % 17 <> 0),
+      UNION SELECT r.function, up.nxt, r.depth + 1 FROM r JOIN up ON up.node = r.node WHERE r.depth < 100 AND r.node % 17 <> 0),
     m AS (SELECT function, node AS entry, min(depth) AS depth FROM r WHERE node % 17 = 0 GROUP BY ALL)
-    SELECT function, entry, depth FROM m QUALIFY row_number() OVER (PARTITION BY function ORDER BY depth, entry) <= 5""",
-)
-def c9(t):
-    entries = t.edges.where("caller % 17 = 0").selectExpr("caller AS function").union(
+    SELECT function, entry, depth FROM m {last}"""
+
+
+def _entries(t):
+    return t.edges.where("caller % 17 = 0").selectExpr("caller AS function").union(
         t.edges.where("callee % 17 = 0").selectExpr("callee")
     )
-    return Q.chains_to_entry(t.edges, entries).select("function", "entry", "depth")
+
+
+@query("c9_call_chains", _chains("", ""))
+def c9(t):
+    return Q.chains_to_entry(t.edges, _entries(t)).select("function", "entry", "depth")
+
+
+@query(
+    "c9_bounded_chains",
+    _chains(
+        "QUALIFY row_number() OVER (PARTITION BY node ORDER BY nxt) <= 3",
+        "QUALIFY row_number() OVER (PARTITION BY function ORDER BY depth, entry) <= 5",
+    ),
+)
+def c9_bounded(t):
+    return Q.chains_to_entry(t.edges, _entries(t), callers_per_node=3, chains=5).select("function", "entry", "depth")
 
 
 _CODE_LINES = "cl AS (SELECT file_id, scan_id, file_path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM code_files)"
@@ -219,7 +245,7 @@ _CODE_LINES = "cl AS (SELECT file_id, scan_id, file_path, unnest(string_split(co
 
 @query(
     "c10_entry_points",
-    f"""WITH {_CODE_LINES} {' UNION ALL '.join(f"SELECT file_id, CAST(n AS INT) AS line_number, left(trim(line), 60) AS name, {quote(k)} AS type, {quote(r)} AS risk FROM cl WHERE regexp_matches(line, {quote(p)})" for p, k, r in Q.ENTRY_PATTERNS)}""",
+    f"""WITH {_CODE_LINES} {' UNION ALL '.join(f"SELECT file_id, CAST(n AS INT) AS line_number, trim(line) AS name, {quote(k)} AS type, {quote(r)} AS risk FROM cl WHERE regexp_matches(line, {quote(p)})" for p, k, r in Q.ENTRY_PATTERNS)}""",
 )
 def c10(t):
     return Q.entry_points(t.code_files)
@@ -287,12 +313,23 @@ def c11(t):
 
 
 @query(
-    "c17_mentions",
+    "c17_bounded_mentions",
     f"""WITH {_CODE_LINES}, w AS (SELECT file_id, n, unnest(list_distinct(regexp_extract_all(line, '(\\w+)\\s*\\(', 1))) AS name FROM cl),
     tg AS (SELECT doc_id AS home, concat('fn_', substr(md5(text), 1, 2)) AS name FROM documents JOIN labels USING (doc_id))
     SELECT name, home, file_id, CAST(n AS INT) AS line_number, CAST(row_number() OVER (PARTITION BY name, home ORDER BY file_id, n) AS INT) AS rn
     FROM w JOIN tg USING (name) WHERE file_id <> home QUALIFY rn <= 10""",
 )
+def c17_bounded(t):
+    names = t.documents.join(t.labels, "doc_id").selectExpr("doc_id AS file_id", "concat('fn_', substr(md5(text), 1, 2)) AS name")
+    return Q.mentions(t.code_files, names, 10)
+
+
+@query(
+    "c17_mentions",
+    f"""WITH {_CODE_LINES}, w AS (SELECT file_id, n, unnest(list_distinct(regexp_extract_all(line, '(\\w+)\\s*\\(', 1))) AS name FROM cl),
+    tg AS (SELECT doc_id AS home, concat('fn_', substr(md5(text), 1, 2)) AS name FROM documents JOIN labels USING (doc_id))
+    SELECT name, home, file_id, CAST(n AS INT) AS line_number FROM w JOIN tg USING (name) WHERE file_id <> home""",
+)
 def c17(t):
     names = t.documents.join(t.labels, "doc_id").selectExpr("doc_id AS file_id", "concat('fn_', substr(md5(text), 1, 2)) AS name")
     return Q.mentions(t.code_files, names)

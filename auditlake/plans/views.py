@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.operators.scale import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -511,7 +510,9 @@ VIEWS: dict[str, View] = {
 }
 
 
-# Views whose rows cost far more than reading them.
+# Views whose rows cost far more than reading them. A caller who knows that the tables have fewer
+# splits than cores sets this session property to a number of partitions; by default nothing moves.
+SCAN_PARTITIONS = "auditlake.scan.partitions"
 COSTLY_VIEWS = (
     "files code_files chunks diffs responses vote_texts enriched_texts alert_findings documents "
     "talk conversations"
@@ -532,8 +533,9 @@ class Views:
         if name not in VIEWS and name not in TABLES:
             raise AttributeError(name)
         source = self.table(VIEWS[name].base if name in VIEWS else name)
-        if name in COSTLY_VIEWS:
-            source = spread(source)
+        wanted = self.spark.conf.get(SCAN_PARTITIONS, None)
+        if wanted and name in COSTLY_VIEWS:
+            source = source.repartition(int(wanted))
         return VIEWS[name].spark(source) if name in VIEWS else source
 
 

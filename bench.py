@@ -26,6 +26,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=max(int(cpus), 1) if cpus.isdigit() else 8)
+    # The test tables are single files with one row group: the scan of a costly table is spread here.
+    spark.conf.set("auditlake.scan.partitions", str(spark.sparkContext.defaultParallelism))
     queries = load_queries()
     # Start the JVM's code paths once, so that the first query does not pay for them.
     queries["a1_draft_metrics"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
