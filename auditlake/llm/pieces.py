@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from auditlake.llm.registry import query, table
 BOUNDARY = re.compile(r"(?<=[^ ])(?= )")
 #: Longer units, such as texts without spaces, are cut every so many characters.
 LONGEST_UNIT = 1024
-#: Text bytes of a block, whose documents and distinct units meet in one task.
-BLOCK_BYTES = 12 << 20
+#: Text bytes of a block, whose documents and distinct units meet in one task; bytes that a packing task holds.
+BLOCK_BYTES, HELD = 8 << 20, 16 << 20
 PENALTY = 10.0
 
 
@@ -57,15 +58,16 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_ids: tuple[int, ...]) -> DataFrame:
-    """unit, edges (e, s, score, ids by end) of distinct rows ``unit``.
+    """The columns of ``words`` and edges (e, s, score, ids by end) of rows with a distinct ``unit``.
 
     Substrings of up to ``longest`` characters are exploded and meet the piece table by equality;
     a character that is no piece becomes its bytes, ``PENALTY`` below the worst piece.
     """
     n = F.char_length("unit")
-    spans = words.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select(
-        "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("len")
-    ).select("unit", "s", "len", F.substring("unit", F.col("s") + 1, F.col("len")).alias("piece"))
+    keep = words.columns
+    spans = words.select(*keep, F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select(
+        *keep, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("len")
+    ).select(*keep, "s", "len", F.substring("unit", F.col("s") + 1, F.col("len")).alias("piece"))
     worst = pieces.agg(F.min("score")).first()[0] - PENALTY
     digits = F.hex(F.encode("piece", "UTF-8"))
     values = F.transform(
@@ -77,7 +79,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_ids: tuple[i
         (F.col("s") + F.col("len")).alias("e"), "s", F.coalesce("score", F.lit(worst)).alias("score"),
         F.when(F.col("id").isNotNull(), F.array("id")).otherwise(F.transform(values, lambda b: F.get(table_, b))).alias("ids"),
     )
-    return met.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return met.groupBy(*keep).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def viterbi(edges: Column, length: Column) -> Column:
@@ -135,11 +137,11 @@ FOLDS = {"viterbi": viterbi, "merges": merges}
 
 
 def encode_units(words: DataFrame, path: str, fold: str = "viterbi") -> DataFrame:
-    """unit, ids of distinct rows ``unit``."""
+    """The columns of ``words`` and ids of rows with a distinct ``unit``."""
     ordinary, byte_ids = vocabulary(path)
     longest = max(len(p) for p, _, _ in ordinary)
     edges = lattice(words, piece_table(words.sparkSession, path), longest, byte_ids)
-    return edges.select("unit", FOLDS[fold](F.col("edges"), F.char_length("unit")).alias("ids"))
+    return edges.select(*words.columns, FOLDS[fold](F.col("edges"), F.char_length("unit")).alias("ids"))
 
 
 @lru_cache(maxsize=2)
@@ -159,7 +161,7 @@ def encode_documents(docs: DataFrame, path: str, fold: str = "viterbi", block_by
     Rows are dealt to blocks of about ``block_bytes`` of text by a hash. Distinct (block, unit) pairs
     come out of a block; distinct units are encoded once, over the lattice; their ids return to the
     blocks that have them, where texts are put together and decoded again. So what is shuffled is
-    the text once and the distinct units of a block twice, never single occurrences.
+    the compressed text once and the distinct units of a block twice, never single occurrences.
 
     ``fold`` "viterbi" gives the segmentation with the best sum of scores, as unigram models mean it;
     "merges" gives what a byte-pair model's library gives (units of over ``LONGEST_UNIT`` characters
@@ -168,44 +170,94 @@ def encode_documents(docs: DataFrame, path: str, fold: str = "viterbi", block_by
     are no special cases.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
-    placed = rows.select(block, "doc_id", "text").repartition(blocks, "block")
+    placed = rows.select(block, "doc_id", "text").mapInArrow(pack_by_block, "block int, blob binary").repartition(blocks, "block")
 
     def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[str]] = {}
         for batch in batches:
-            for b, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
-                seen.setdefault(b, set()).update(units(text) if text else ())
+            for b, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
+                own = seen.setdefault(b, set())
+                for text in unpack(blob).column("text").to_pylist():
+                    own.update(units(text) if text else ())
         for b, found in seen.items():
             listed = list(found)
             for i in range(0, len(listed), 50_000):
                 part = listed[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(part), pa.int32()), pa.array(part)], names=["block", "unit"])
 
-    pairs = placed.select("block", "text").mapInArrow(distinct_units, "block int, unit string")
-    encoded = encode_units(pairs.select("unit").distinct(), path, fold)
-    known = pairs.join(encoded, "unit").select("block", "unit", "ids")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One shuffle by unit serves the distinct units and the way back: both sides read all its columns.
+    pairs = placed.mapInArrow(distinct_units, "block int, unit string").repartition(parts, "unit")
+    encoded = encode_units(pairs.groupBy("unit").agg(F.min("block").alias("first_block")), path, fold)
+    met = pairs.join(encoded, "unit").where("block >= first_block").select("block", "unit", "ids")
+    known = met.mapInArrow(pack_by_block, "block int, blob binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        packed = {u: np.asarray(i, np.int32).tobytes() for u, i in zip(right.column("unit").to_pylist(), right.column("ids").to_pylist())}
-        counts, ids, texts = [], [], []
-        for text in left.column("text").to_pylist():
-            own = np.frombuffer(b"".join(map(packed.__getitem__, units(text))) if text else b"", np.int32)
-            counts.append(len(own))
-            ids.append(own)
-            texts.append(decode(own.tolist(), path) if text else "")
-        return pa.table(
-            {"doc_id": left.column("doc_id"), "n_pieces": pa.array(counts, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
-        )
+        packed: dict[str, bytes] = {}
+        for blob in right.column("blob"):
+            table_ = unpack(blob)
+            ids = table_.column("ids").combine_chunks()
+            values, ends = ids.flatten().to_numpy().astype(np.int32).tobytes(), ids.offsets.to_numpy() * 4
+            ends = (ends - ends[0]).tolist()
+            packed.update(zip(table_.column("unit").to_pylist(), (values[a:b] for a, b in zip(ends, ends[1:]))))
+        out = []
+        for blob in left.column("blob"):
+            table_ = unpack(blob)
+            counts, ids, texts = [], [], []
+            for text in table_.column("text").to_pylist():
+                own = np.frombuffer(b"".join(map(packed.__getitem__, units(text))) if text else b"", np.int32)
+                counts.append(len(own))
+                ids.append(own)
+                texts.append(decode(own.tolist(), path) if text else "")
+            out.append(pa.table({
+                "doc_id": table_.column("doc_id"), "n_pieces": pa.array(counts, pa.int64()),
+                "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string()),
+            }))
+        return pa.concat_tables(out)
 
     return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         assemble, f"doc_id {kind}, n_pieces bigint, ids array<int>, decoded string"
     )
 
 
+def pack_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a ``block`` as compressed tables, one or more a block, of up to ``HELD`` bytes in memory."""
+    held, size = [], 0
+
+    def packed() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = rows.take(pa.compute.sort_indices(rows, [("block", "ascending")]))
+        blocks = rows.column("block").to_numpy()
+        starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist()
+        blobs = []
+        for a, b in zip(starts, [*starts[1:], len(blocks)]):
+            sink = pa.BufferOutputStream()
+            part = rows.slice(a, b - a).drop_columns(["block"]).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+                writer.write_table(part)
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(blocks[starts], pa.int32()), pa.array(blobs, pa.binary())], names=["block", "blob"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= HELD:
+            yield packed()
+            held, size = [], 0
+    if held:
+        yield packed()
+
+
+def unpack(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
 def encoded_digest(found: DataFrame) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids, comma-joined), decoded_sha256."""
     return found.select(
