@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalars as S
 from auditlake.operators import votes as V
-from auditlake.operators.scale import exact_row_number, first_n
+from auditlake.operators.scale import RANGE, exact_row_number, first_n, offsets_before, ordered_ranges
 
 
 def candidates(drafts: DataFrame, votes: DataFrame, min_confidence: float = 0.0) -> DataFrame:
@@ -53,17 +53,30 @@ def first_come_quota(cases: DataFrame, limit: int) -> DataFrame:
 def unique_names(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Suffix ``_1, _2 ...`` to names that occur before in the batch or in ``existing``.
 
-    Numbering goes on after the copies that exist. A name may be on any share of the rows: rows
-    are numbered range by range.
+    A name takes the free numbers in turn (0: no suffix): a number is taken if ``existing`` or a row
+    of the batch already spells it out. The r-th free number is r plus the taken numbers before it,
+    so taken numbers, each moved back by those before it, and new rows are put in one order and
+    the taken ones counted. A name may be on any share of the rows: rows are numbered range by range.
     """
-    taken = existing.groupBy("name").agg(F.count(F.lit(1)).alias("_taken"))
+    stem, suffix = F.regexp_extract("name", r"^(.*)_([1-9][0-9]{0,17})$", 1), F.regexp_extract("name", r"_([1-9][0-9]{0,17})$", 1)
+    spelled = existing.select("name").unionByName(new.select("name")).distinct()
+    taken = (
+        existing.select("name", F.lit(0).cast("bigint").alias("_number"))
+        .unionByName(spelled.where(suffix != "").select(stem.alias("name"), suffix.cast("bigint").alias("_number")))
+        .distinct()
+        .join(new.select("name").distinct(), "name", "left_semi")
+    )
+    moved = exact_row_number(taken, ["name"], [F.col("_number")], "_rn").select(
+        "name", (F.col("_number") - F.col("_rn") + 1).alias("_at"), F.lit(0).alias("_new"), F.lit(None).cast("bigint").alias("draft_id")
+    )
     ranked = exact_row_number(new, ["name"], [F.col("draft_id")], "_rn")
-    number = F.col("_rn") - 1 + F.coalesce("_taken", F.lit(0))
-    return (
-        ranked.join(taken, "name", "left")
-        .withColumn(
-            "unique_name",
-            F.when(number > 0, F.concat(F.col("name"), F.lit("_"), number)).otherwise(F.col("name")),
-        )
-        .drop("_rn", "_taken")
+    wanted = ranked.select("name", (F.col("_rn") - 1).alias("_at"), F.lit(1).alias("_new"), F.col("_rn").alias("draft_id"))
+    events = ordered_ranges(moved.unionByName(wanted), ["name"], [F.col("_at"), F.col("_new")])
+    local = Window.partitionBy("name", RANGE).orderBy("_at", "_new").rowsBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumn("_local", F.sum(1 - F.col("_new")).over(local))
+    before = offsets_before(events, ["name"], F.sum(1 - F.col("_new")), "_before")
+    numbers = counted.where("_new = 1").join(before, ["name", RANGE]).select(
+        "name", F.col("draft_id").alias("_rn"), (F.col("_at") + F.col("_local") + F.col("_before")).alias("_number")
     )
+    unique = F.when(F.col("_number") > 0, F.concat(F.col("name"), F.lit("_"), F.col("_number"))).otherwise(F.col("name"))
+    return ranked.join(numbers, ["name", "_rn"]).withColumn("unique_name", unique).drop("_rn", "_number")

@@ -358,16 +358,26 @@ def w13(t):
     return O.stop_on_findings(runs).select("scan_id", "analyzer_name", "run_order", "found")
 
 
+_NEW_NAMES = "CASE o_custkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'fresh' ELSE concat('n', o_custkey % 40) END"
+# Stored names have gaps: BUILDING, BUILDING_2, fresh_1, fresh_4.
+_STORED_NAMES = "SELECT c_mktsegment AS name FROM customer UNION ALL SELECT CASE n_nationkey % 3 WHEN 0 THEN 'BUILDING_2' WHEN 1 THEN 'fresh_1' ELSE 'fresh_4' END FROM nation"
+
+
 @query(
     "w14_unique_names",
-    """WITH e AS (SELECT c_mktsegment AS name, count(*) AS k FROM customer GROUP BY ALL),
-    n AS (SELECT o_orderkey AS draft_id, CASE o_custkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'fresh' ELSE concat('n', o_custkey) END AS name FROM orders),
-    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY draft_id) - 1 AS i FROM n)
-    SELECT draft_id, name, CASE WHEN i + coalesce(k, 0) > 0 THEN concat(name, '_', i + coalesce(k, 0)) ELSE name END AS unique_name FROM r LEFT JOIN e USING (name)""",
+    f"""WITH n AS (SELECT o_orderkey AS draft_id, {_NEW_NAMES} AS name FROM orders), x AS ({_STORED_NAMES}),
+    k AS (SELECT name, unnest(range(0, count(*) + 10)) AS g FROM n GROUP BY name),
+    fr AS (SELECT name, g, row_number() OVER (PARTITION BY name ORDER BY g) AS i FROM k
+      WHERE CASE WHEN g = 0 THEN name NOT IN (SELECT name FROM x) ELSE concat(name, '_', g) NOT IN (SELECT name FROM x UNION SELECT name FROM n) END),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY draft_id) AS i FROM n)
+    SELECT draft_id, name, CASE WHEN g > 0 THEN concat(name, '_', g) ELSE name END AS unique_name FROM r JOIN fr USING (name, i)""",
 )
 def w14(t):
-    new = t.orders.selectExpr("o_orderkey AS draft_id", "CASE o_custkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'fresh' ELSE concat('n', o_custkey) END AS name")
-    return SA.unique_names(new, t.customer.selectExpr("c_mktsegment AS name"))
+    new = t.orders.selectExpr("o_orderkey AS draft_id", f"{_NEW_NAMES} AS name")
+    stored = t.customer.selectExpr("c_mktsegment AS name").unionAll(
+        t.nation.selectExpr("CASE n_nationkey % 3 WHEN 0 THEN 'BUILDING_2' WHEN 1 THEN 'fresh_1' ELSE 'fresh_4' END AS name")
+    )
+    return SA.unique_names(new, stored)
 
 
 @query(

@@ -78,20 +78,27 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Result files, a JSON array or lines per model; the model is the folder or file name.
+    """Result files, a JSON array (on any number of lines) or JSON lines per model.
 
-    Files that are missing are no error: an empty listing gives an empty frame.
+    The model is the folder or file name. Elements that are no valid objects have null fields and
+    are left out; a folder that is missing or empty gives no rows. A result file is one row while
+    it is parsed.
     """
-    name = F.regexp_extract(F.input_file_name(), r"(?:model_name=([^/]+)/[^/]*|([^/]+?)(?:_results)?\.json)$", 0)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    row = f"struct<{','.join(part.strip().replace(' ', ':', 1) for part in schema.split(','))}>"
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], f"{schema}, model_name string")
+    name = F.regexp_extract("path", r"(?:model_name=([^/]+)/[^/]*|([^/]+?)(?:_results)?\.json)$", 0)
     model = F.regexp_replace(F.regexp_replace(name, r"^model_name=([^/]+)/.*$", "$1"), r"(_results)?\.json$", "")
-    return (
-        spark.read.schema(schema)
-        .option("multiLine", "false")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .json(root)
-        .withColumn("model_name", model)
+    text = F.trim(F.col("content").cast("string"), F.lit(" \t\r\n"))
+    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
+    parsed = F.when(text.startswith("["), F.from_json(text, f"array<{row}>")).otherwise(
+        F.transform(lines, lambda line: F.from_json(line, row))
     )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
+    found = files.select(model.alias("model_name"), F.explode(parsed).alias("r"))
+    any_field = F.coalesce(*[F.col(f"r.{f}").cast("string") for f in spark.createDataFrame([], schema).columns])
+    return found.where(any_field.isNotNull()).select("r.*", "model_name")
 
 
 def markdown_templates(docs: DataFrame) -> DataFrame:

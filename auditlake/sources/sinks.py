@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,8 +19,18 @@ def append_facts(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "scan_id").write.mode("append").partitionBy("scan_id").parquet(path)
 
 
-def replace_scans(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the scans in ``df`` and no others."""
+def replace_scans(df: DataFrame, path: str, scan_ids: list) -> None:
+    """Replace the rows of ``scan_ids`` by ``df``; a scan without rows in ``df`` is emptied.
+
+    Partitions of the scans are removed first, then written; run again after a failure, it ends
+    in the same state.
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for scan_id in scan_ids:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"scan_id={scan_id}"), True)
+    df = df.where(F.col("scan_id").isin(scan_ids))
     (
         df.hint("rebalance", "scan_id")
         .write.mode("overwrite")
@@ -46,13 +55,16 @@ def export_model_json(results: DataFrame, path: str, order: str) -> None:
     )
 
 
-def sign(secret: str) -> Callable[[Column], Column]:
-    """HMAC-SHA256 of a text column. Spark has no keyed hash; the secret stays in the closure."""
+def sign(secret: str) -> Callable[[Column | str], Column]:
+    """HMAC-SHA256 of a text column from built-in hashes: the two padded keys are literals."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
 
-    @F.pandas_udf("string")
-    def signed(payload: pd.Series) -> pd.Series:
-        key = secret.encode()
-        return payload.map(lambda p: "sha256=" + hmac.new(key, p.encode(), hashlib.sha256).hexdigest())
+    def signed(payload: Column | str) -> Column:
+        text = F.encode(F.col(payload) if isinstance(payload, str) else payload, "UTF-8")
+        digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text), 256))), 256)
+        return F.concat(F.lit("sha256="), digest)
 
     return signed
 

@@ -12,12 +12,14 @@ from auditlake.operators.ordering import error_streaks
 from auditlake.sources.sinks import alert_payloads, deliver
 
 
-def file_stream(spark: SparkSession, root: str, schema: str, glob: str = "*.parquet", files_per_trigger: int = 64) -> DataFrame:
+def file_stream(spark: SparkSession, table: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
+    """Stream of a table's files: ``table`` is a folder of part files or a single file."""
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", "*.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(root)
+        # A pattern, since a stream's path must otherwise be a folder.
+        .parquet(f"{table}*")
     )
 
 
@@ -33,8 +35,13 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], sta
     )
 
 
-def _store(path: str) -> Callable[[DataFrame, int], None]:
-    """Write a batch below its own number: a replayed batch overwrites itself."""
+def _store(path: str, rows: DataFrame) -> Callable[[DataFrame, int], None]:
+    """Write a batch below its own number: a replayed batch overwrites itself.
+
+    An empty batch with the columns of ``rows`` comes first, so a job that has seen nothing leaves
+    an empty table.
+    """
+    _empty(rows).write.mode("overwrite").parquet(f"{path}/batch_id=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -42,6 +49,10 @@ def _store(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _empty(rows: DataFrame) -> DataFrame:
+    return rows.sparkSession.createDataFrame([], rows.schema)
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).drop("batch_id")
 
@@ -49,7 +60,7 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 def intake(stream: DataFrame, state_dir: str) -> str:
     """Append arriving rows to a table; started again, it goes on where it stopped."""
     out = f"{state_dir}/rows"
-    run_available(stream, _store(out), state_dir)
+    run_available(stream, _store(out, stream), state_dir)
     return out
 
 
@@ -57,7 +68,7 @@ def live_counts(stream: DataFrame, keys: list[str], state_dir: str) -> str:
     """Counts per key in update mode; readers take the newest batch of each key."""
     out = f"{state_dir}/counts"
     counts = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    run_available(counts, _store(out), state_dir, "update")
+    run_available(counts, _store(out, counts), state_dir, "update")
     return out
 
 
@@ -67,7 +78,11 @@ def newest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def recent_activity(stream: DataFrame, state_dir: str, late: str = "10 minutes", width: str = "5 minutes", slide: str = "1 minute") -> str:
-    """Requests per model in sliding windows; windows close once the watermark has passed them."""
+    """Requests per model in sliding windows, open ones included: every batch writes what it changed.
+
+    Readers take the newest count of a window (``newest_counts``). State is kept until the watermark
+    has passed a window.
+    """
     out = f"{state_dir}/windows"
     counts = (
         stream.withWatermark("created_at", late)
@@ -75,7 +90,7 @@ def recent_activity(stream: DataFrame, state_dir: str, late: str = "10 minutes",
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("window_start"), "model_name", "n")
     )
-    run_available(counts, _store(out), state_dir, "append")
+    run_available(counts, _store(out, counts), state_dir, "update")
     return out
 
 
@@ -83,7 +98,7 @@ def deduplicated(stream: DataFrame, key: str, time: str, state_dir: str, late: s
     """Drop repeats of a key while they arrive within the watermark."""
     out = f"{state_dir}/distinct"
     distinct = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    run_available(distinct, _store(out), state_dir)
+    run_available(distinct, _store(out, distinct), state_dir)
     return out
 
 
@@ -96,14 +111,19 @@ def pause_signals(stream: DataFrame, state_dir: str, limit: int = 5) -> str:
     """
     out, tails = f"{state_dir}/signals", f"{state_dir}/tails"
 
+    marks = stream.select("model_name", "log_id", F.lit(0).cast("bigint").alias("streak"))
+    _empty(marks).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         spark = batch.sparkSession
         order = ["created_at", "log_id"]
         before = None
         if batch_id > 0:
             before = spark.read.parquet(f"{tails}/batch_id={batch_id - 1}")
+        if batch.isEmpty():
+            kept = batch.select("model_name", F.lit(0).cast("bigint").alias("tail")) if before is None else before
+            kept.write.mode("overwrite").parquet(f"{tails}/batch_id={batch_id}")
+            return
         streaks = error_streaks(batch, ["model_name"], order, ~F.col("parse_success"), before).cache()
         streaks.where(F.col("streak") == limit).select("model_name", "log_id", "streak").write.mode("overwrite").parquet(
             f"{out}/batch_id={batch_id}"
@@ -121,6 +141,7 @@ def pause_signals(stream: DataFrame, state_dir: str, limit: int = 5) -> str:
 def poll_changes(stream: DataFrame, watchers: DataFrame, reviews: DataFrame, as_of, state_dir: str) -> str:
     """Arriving changes of the watchers that are due, without those already reviewed."""
     out = f"{state_dir}/due"
+    _empty(stream).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
     due = due_watchers(watchers, as_of).select("watcher_id")
 
     def each(batch: DataFrame, batch_id: int) -> None:
