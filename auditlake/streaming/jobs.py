@@ -14,12 +14,15 @@ from auditlake.sources.sinks import alert_payloads, deliver
 
 def file_stream(spark: SparkSession, table: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
     """Stream of a table's files: ``table`` is a folder of part files or a single file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    # A stream's path must be a folder or a pattern.
+    source = f"{table}*" if files.exists(path) and files.getFileStatus(path).isFile() else table
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "*.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
-        # A pattern, since a stream's path must otherwise be a folder.
-        .parquet(f"{table}*")
+        .parquet(source)
     )
 
 

@@ -196,3 +196,52 @@ def test_enclosing_chunk_matches_brute_force(spark):
         if inside:
             want[i] = min(inside, key=lambda c: c[2])[1]
     assert {r.finding_id: r.chunk_id for r in frame.collect()} == want
+
+
+def test_spans_need_no_shuffle_and_no_stack(spark):
+    long_line = "word " * 20_000
+    text = f"{long_line}\nint f(int a)\n{{\n printf(s); fprintf(o, s); f(a); g();\n}}\nsystem(cmd);\n{long_line}(x) y\ndef h(x):\n return k(x)\n"
+    files = files_frame(spark, [("a.c", text), ("b.c", ""), ("c.c", None)])
+    symbols, calls = S.symbol_table(files), S.call_table(files)
+    assert {(r.name, r.start_line, r.end_line) for r in symbols.collect()} == {("f", 2, 5), ("h", 8, 10)}
+    assert {(r.function, r.line_number, r.callee) for r in calls.where("line_number < 7").collect()} == {
+        ("f", 4, "printf"), ("f", 4, "fprintf"), ("f", 4, "g"), (None, 6, "system")
+    }
+    for df in (symbols, calls, S.enclosing_functions(files)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    found = {(r.callee, r.cwe) for r in R.sink_calls(calls, "injection").collect()}
+    assert found == {("printf", "CWE-134"), ("fprintf", "CWE-134"), ("system", "CWE-78")}
+    assert {r.other for r in Q.call_graph(calls).where("direction = 'calls'").collect()} == {"g", "k"}
+
+
+def test_call_chains_have_no_depth_limit(spark):
+    edges = [(f"f{i}", f"f{i + 1}") for i in range(8)] + [("f3", "f1"), ("x", "y"), ("y", "x")]
+    frame = spark.createDataFrame(edges, "caller string, callee string")
+    entries = spark.createDataFrame([("f0",)], "function string")
+    got = {(r.function, r.entry, r.depth) for r in Q.chains_to_entry(frame, entries).select("function", "entry", "depth").collect()}
+    assert got == {(f"f{i}", "f0", i) for i in range(9)}
+
+
+def test_source_chains_reach_their_root_and_circles_are_told(spark):
+    rows = [(i, i - 1 if i else None) for i in range(41)] + [(100, 102), (101, 100), (102, 101), (103, 102), (200, 999)]
+    got = {r.scan_id: (r.root_scan_id, r.hops, r.circular) for r in J.resolve_sources(spark.createDataFrame(rows, "scan_id bigint, source_scan_id bigint")).collect()}
+    assert all(got[i] == (0, i, False) for i in range(41))
+    assert all(got[i] == (None, None, True) for i in (100, 101, 102, 103)) and got[200] == (200, 0, False)
+
+
+def test_votes_with_keys_in_any_case(spark):
+    answers = [('{"Vote": "REAL", "CONFIDENCE": 90, "Reasoning": "' + "r" * 3000 + '"}',), ('{"vote": "FALSE_POSITIVE", "Vote": "REAL"}',)]
+    got = E.extract_votes(spark.createDataFrame(answers, "text string")).collect()
+    assert (got[0].decision, got[0].confidence, got[0].format_detected, len(got[0].reasoning)) == ("REAL", 90, "json", 3000)
+    assert got[1].decision == "FALSE_POSITIVE"
+
+
+def test_name_suffixes_take_the_next_free_number(spark):
+    from auditlake.operators.sampling import unique_names
+
+    new = [(i, n) for i, n in enumerate(["a", "a", "b", "a", "c", "c_1", "c", "d"])]
+    stored = ["a", "a", "a_1", "a_3", "d_1"]
+    got = {r.draft_id: r.unique_name for r in unique_names(
+        spark.createDataFrame(new, "draft_id bigint, name string"), spark.createDataFrame([(s,) for s in stored], "name string")
+    ).collect()}
+    assert [got[i] for i in range(8)] == ["a_2", "a_4", "b", "a_5", "c", "c_1", "c_2", "d"]

@@ -47,14 +47,16 @@ def test_replace_touches_its_scans_only(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "scan_id bigint, v string")
     SK.append_facts(rows, path)
-    SK.replace_scans(spark.createDataFrame([(2, "c")], "scan_id bigint, v string"), path)
+    SK.append_facts(spark.createDataFrame([(3, "d")], "scan_id bigint, v string"), path)
+    SK.replace_scans(spark.createDataFrame([(2, "c")], "scan_id bigint, v string"), path, [2, 3, 9])
     assert {(r.scan_id, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")}
 
 
 def test_signature(spark):
-    df = spark.createDataFrame([("{}",)], "p string")
-    want = "sha256=" + hmac.new(b"k", b"{}", hashlib.sha256).hexdigest()
-    assert df.select(SK.sign("k")("p")).first()[0] == want
+    df = spark.createDataFrame([("{}",), ("é" * 100,)], "p string")
+    for key in ("k", "K" * 64, "long é " * 30):
+        want = ["sha256=" + hmac.new(key.encode(), p.encode(), hashlib.sha256).hexdigest() for p in ("{}", "é" * 100)]
+        assert [r[0] for r in df.select(SK.sign(key)("p")).collect()] == want
 
 
 def write_log(spark, path, rows):
@@ -80,3 +82,48 @@ def test_intake_resumes(spark, tmp_path):
     write_log(spark, source, [(2, "m", 2, True)])
     out = SJ.intake(SJ.file_stream(spark, source, LOG), state)
     assert sorted(r.log_id for r in SJ.stored(spark, out).collect()) == [1, 2]
+
+
+def test_streams_over_part_files_with_an_empty_one(spark, tmp_path):
+    parts, single = str(tmp_path / "in.parquet"), tmp_path / "one.parquet"
+    rows = [(i, "mn"[i % 2], i, i % 7 == 0) for i in range(60)]
+    for part in (rows[:20], [], rows[20:45], rows[45:]):
+        write_log(spark, parts, part)
+    import pandas as pd
+
+    frame = pd.DataFrame(rows, columns=["log_id", "model_name", "sec", "parse_success"])
+    frame["created_at"] = pd.to_datetime(frame.pop("sec"), unit="s", utc=True).astype("datetime64[us, UTC]")
+    frame.to_parquet(single)
+    found = {}
+    for name, source, per_trigger in (("parts", parts, 1), ("single", str(single), 64)):
+        stream = lambda: SJ.file_stream(spark, source, LOG, per_trigger)  # noqa: B023, E731
+        state = lambda job: str(tmp_path / name / job)  # noqa: B023, E731
+        intake = SJ.stored(spark, SJ.intake(stream(), state("intake")))
+        counts = SJ.newest_counts(spark, SJ.live_counts(stream(), ["model_name"], state("counts")), ["model_name"])
+        windows = SJ.newest_counts(spark, SJ.recent_activity(stream(), state("windows")), ["window_start", "model_name"])
+        pauses = SJ.stored(spark, SJ.pause_signals(stream(), state("pauses")))
+        distinct = SJ.stored(spark, SJ.deduplicated(stream(), "model_name", "created_at", state("distinct")))
+        found[name] = [
+            sorted(r.log_id for r in intake.collect()), sorted(map(tuple, counts.collect())), sorted(map(tuple, windows.collect())),
+            sorted(map(tuple, pauses.select("model_name", "log_id").collect())), sorted(r.model_name for r in distinct.collect()),
+        ]
+    assert found["parts"] == found["single"]
+    assert found["parts"][0] == list(range(60)) and found["parts"][1] == [("m", 30), ("n", 30)]
+    # The newest windows are open and still counted.
+    assert max(w for w, _, _ in found["parts"][2]).minute == 0 and len(found["parts"][2]) == 10
+
+
+def test_a_stream_that_saw_nothing_leaves_an_empty_table(spark, tmp_path):
+    source = str(tmp_path / "in.parquet")
+    write_log(spark, source, [])
+    for job in (SJ.intake, SJ.pause_signals):
+        out = job(SJ.file_stream(spark, source, LOG), str(tmp_path / job.__name__))
+        assert SJ.stored(spark, out).collect() == []
+
+
+def test_result_files(spark, tmp_path):
+    (tmp_path / "gpt_results.json").write_text('[\n  {"id": 1, "vote": "REAL"},\n  {\n    "id": 2,\n    "vote": null\n  }\n]\n')
+    (tmp_path / "phi.json").write_text('{"id": 3, "vote": "x"}\nnot json\n\n{"id": 4}\n')
+    got = {tuple(r) for r in SF.read_results(spark, str(tmp_path), "id bigint, vote string").collect()}
+    assert got == {(1, "REAL", "gpt"), (2, None, "gpt"), (3, "x", "phi"), (4, None, "phi")}
+    assert SF.read_results(spark, str(tmp_path / "none"), "id bigint, vote string").collect() == []
