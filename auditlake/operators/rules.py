@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.scalars import contains_any
-from auditlake.operators.context import snippet
+from auditlake.operators.context import line_slice, lines_of
 from auditlake.operators.predicates import scan_language
 
 C_LANGS = ("c", "cpp")
@@ -163,37 +163,68 @@ def match_lines(content: Column, pattern: Column) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step)["out"])
 
 
+def _gated(rules: list[Rule]) -> list[tuple[Rule, Column]]:
+    """Enabled rules with what a file must meet before their pattern is worth matching.
+
+    Language, then a plain word search, then the regex: most texts stop at the first two. Expects
+    the columns ``_lang``, ``_low`` and ``content``.
+    """
+    out = []
+    for rule in rules:
+        if rule.enabled:
+            gate = F.col("_lang").isin(list(rule.languages))
+            words = required_words(rule.pattern)
+            if words:
+                gate = gate & contains_any(F.col("_low"), words)
+            out.append((rule, gate))
+    return out
+
+
+def _staged(files: DataFrame) -> DataFrame:
+    return files.withColumn("_lang", scan_language("file_path")).withColumn("_low", F.lower("content"))
+
+
 def scan_rules(files: DataFrame, rules: list[Rule] = DEFAULT_RULES) -> DataFrame:
     """All matches of the enabled rules of each file's language, in one pass without a join.
 
     The rule list is configuration on the driver: it becomes literal patterns, compiled once, and
-    each text is read where it lies. Nothing is shuffled.
+    each text is read where it lies. Snippets come from one split of a text that has matches; hit
+    rows carry no text. Nothing is shuffled.
     """
-    content, lang = F.col("content"), F.col("_lang")
+    content = F.col("content")
     hits = []
-    for rule in rules:
-        if not rule.enabled:
-            continue
-        pattern = F.lit(_flags(rule.pattern))
-        number = F.lit(rule.rule_id)
+    for rule, gate in _gated(rules):
+        pattern, number = F.lit(_flags(rule.pattern)), F.lit(rule.rule_id)
         found = F.transform(
             match_lines(content, pattern),
             lambda h: F.struct(
                 number.alias("rule_id"), h["line"].alias("line_number"), h["match"].alias("match_text")  # noqa: B023
             ),
         )
-        # Language, then a plain word search, then the regex: most texts stop at the first two.
-        gate = lang.isin(list(rule.languages))
-        words = required_words(rule.pattern)
-        if words:
-            gate = gate & contains_any(F.col("_low"), words)
         hits.append(F.when(gate & content.rlike(_flags(rule.pattern)), found))
-    staged = files.withColumn("_lang", scan_language("file_path")).withColumn("_low", F.lower("content"))
-    each = F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("h")
-    return staged.select("file_id", "scan_id", "file_path", F.col("_lang").alias("language"), "content", each).select(
-        "file_id", "scan_id", "file_path", "language", "h.rule_id", "h.line_number", "h.match_text",
-        snippet("content", F.col("h.line_number")).alias("snippet"),
+    keep = ["file_id", "scan_id", "file_path", F.col("_lang").alias("language")]
+    matched = _staged(files).select(*keep, "content", F.flatten(F.array_compact(F.array(*hits))).alias("_hits")).where(F.size("_hits") > 0)
+    lined = matched.withColumn("_lines", lines_of("content"))
+    with_snippets = F.transform(
+        "_hits",
+        lambda h: F.struct(
+            h["rule_id"].alias("rule_id"), h["line_number"].alias("line_number"), h["match_text"].alias("match_text"),
+            F.array_join(line_slice(F.col("_lines"), h["line_number"] - 1, h["line_number"] + 1), "\n").alias("snippet"),
+        ),
     )
+    keep[3] = "language"
+    return lined.select(*keep, with_snippets.alias("_h")).select(*keep, F.inline("_h"))
+
+
+def count_rules(files: DataFrame, rules: list[Rule] = DEFAULT_RULES) -> DataFrame:
+    """rule_id, hits and files of the rules that match anywhere; matches are counted and not kept."""
+    content = F.col("content")
+    counts = [
+        F.when(gate, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.regexp_count(content, F.lit(_flags(rule.pattern))).alias("n")))
+        for rule, gate in _gated(rules)
+    ]
+    each = _staged(files).select("file_id", F.inline(F.array_compact(F.array(*counts)))).where("n > 0")
+    return each.groupBy("rule_id").agg(F.sum("n").alias("hits"), F.count_distinct("file_id").alias("files"))
 
 
 def rule_table(spark: SparkSession, rules: list[Rule] = DEFAULT_RULES) -> DataFrame:
@@ -223,18 +254,15 @@ def rule_candidates(files: DataFrame, rules: DataFrame) -> DataFrame:
 def to_drafts(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Matches as draft findings of the static scanner."""
     meta = rules.select("rule_id", "name", "cwe_id", "severity", "description")
-    return hits.join(F.broadcast(meta), "rule_id").select(
+    return hits.join(meta, "rule_id").select(
         "scan_id", "file_id", "file_path", F.col("name").alias("title"), F.col("cwe_id").alias("vulnerability_type"),
         "severity", "line_number", "snippet", F.col("description").alias("reason"), F.lit(True).alias("auto_detected"),
         F.lit(1).alias("initial_votes"), F.lit("static").alias("model"),
     )
 
 
-def rule_hits(hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matches and files per rule and language, also for rules without any, most hits first."""
-    counts = hits.groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("hits"), F.count_distinct("file_id").alias("files")
-    )
+def rule_hits(counts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``count_rules`` with the rules' names, also for rules without a match, most hits first."""
     return (
         rules.select("rule_id", "name", "severity")
         .join(counts, "rule_id", "left")

@@ -87,7 +87,7 @@ def w8(t):
     SELECT r.rule_id, name, severity, coalesce(hits, 0) AS hits, coalesce(c.files, 0) AS files FROM rules r LEFT JOIN c USING (rule_id)""",
 )
 def a44(t):
-    return R.rule_hits(R.scan_rules(t.files), R.rule_table(t.spark))
+    return R.rule_hits(R.count_rules(t.files), R.rule_table(t.spark))
 
 
 @query(
