@@ -11,11 +11,13 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry_module
+from auditlake.plans import load_queries
 from auditlake.plans.views import TABLES
 from check import _rows
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+QUERIES = {key: q.run for key, q in load_queries().items()}
+ORACLE = {key: q.sql for key, q in load_queries().items() if q.sql}
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not here")
 
@@ -43,3 +45,7 @@ def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["rule_id", "name", "severity", "hits", "files"]
     assert df.count() == 24
+
+
+def test_entry_module_has_them_all():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLE) <= set(entry_module.oracle_sql())
