@@ -17,10 +17,12 @@ from auditlake.llm.registry import query, table
 
 #: Before a space that follows another character no piece continues, so texts are cut there.
 BOUNDARY = re.compile(r"(?<=[^ ])(?= )")
+#: Marks that are cut off the letter before them at the end of a word.
+ENDS = (",", ".")
 #: Longer units, such as texts without spaces, are cut every so many characters.
 LONGEST_UNIT = 1024
 #: Text bytes of a block, whose documents and distinct units meet in one task; bytes that a packing task holds.
-BLOCK_BYTES, HELD = 8 << 20, 16 << 20
+BLOCK_BYTES, HELD = 8 << 20, 12 << 20
 PENALTY = 10.0
 
 
@@ -36,8 +38,10 @@ def vocabulary(path: str) -> tuple[tuple[tuple[str, int, float], ...], tuple[int
         if model.is_byte(i):
             byte_ids[int(piece[3:5], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            if "▁" in piece.lstrip("▁"):
-                raise ValueError("a piece spans a word boundary")
+            if "▁" in piece.lstrip("▁") or "\n" in piece[1:] or piece[:1] == "\n" != piece or any(
+                a.isalpha() and b in ENDS for a, b in zip(piece, piece[1:])
+            ):
+                raise ValueError("a piece spans a boundary of units")
             ordinary.append((piece.replace("▁", " "), i, float(model.get_score(i))))
     if len(byte_ids) != 256:
         raise ValueError("the model has no bytes to fall back on")
@@ -45,92 +49,178 @@ def vocabulary(path: str) -> tuple[tuple[tuple[str, int, float], ...], tuple[int
 
 
 def units(text: str) -> list[str]:
-    """The text behind a space, cut into units whose encodings are independent."""
-    out = BOUNDARY.split(" " + text) if "  " in text or text[:1] == " " else [" " + w for w in text.split(" ")]
+    """The text behind a space, cut into units whose encodings are independent.
+
+    Cuts lie before a space behind another character, around line feeds, and between a letter and
+    the comma or full stop that ends a word; ``vocabulary`` proves that no piece spans them.
+    """
+    out, lead = [], " "
+    for line in text.split("\n"):
+        if not lead:
+            out.append("\n")
+        words = line.split(" ")
+        if "" in words and line:  # spaces in a row or at an end
+            out = BOUNDARY.split(" " + text)
+            break
+        first = len(out)
+        for word in words:
+            if word[-1:] in ENDS and word[-2:-1].isalpha():
+                out += (" " + word[:-1], word[-1])
+            else:
+                out.append(" " + word)
+        if not lead:
+            out[first] = out[first][1:]
+            if not out[first]:
+                del out[first]
+        lead = ""
     if max(map(len, out)) > LONGEST_UNIT:
         out = [u[i : i + LONGEST_UNIT] for u in out for i in range(0, len(u), LONGEST_UNIT)]
     return out
 
 
+#: An edge of the lattice is one long: rank of its score (20 bits), 2047 less its start (11), its end
+#: (11), and the piece's id (20; all ones for a character that is no piece).
+UNKNOWN = (1 << 20) - 1
+
+
+@lru_cache(maxsize=2)
+def ranked(path: str) -> tuple[tuple[tuple[str, int, int], ...], tuple[float, ...]]:
+    """(piece, id, rank) and the score of each rank; rank 0 is ``PENALTY`` below the worst piece."""
+    ordinary, _ = vocabulary(path)
+    scores = sorted({score for _, _, score in ordinary})
+    rank = {score: k + 1 for k, score in enumerate(scores)}
+    if len(scores) >= 1 << 20 or max(i for _, i, _ in ordinary) >= UNKNOWN:
+        raise ValueError("too many pieces")
+    return tuple((p, i, rank[score]) for p, i, score in ordinary), (scores[0] - PENALTY, *scores)
+
+
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, id, score; its size is that of the model's vocabulary, whatever the input."""
-    return spark.createDataFrame(list(vocabulary(path)[0]), "piece string, id int, score double")
+    """piece, id, rank; its size is that of the model's vocabulary, whatever the input."""
+    return spark.createDataFrame(list(ranked(path)[0]), "piece string, id int, rank int")
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_ids: tuple[int, ...]) -> DataFrame:
-    """The columns of ``words`` and edges (e, s, score, ids by end) of rows with a distinct ``unit``.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """The columns of ``words`` and edges (array<bigint>, best rank last) of rows with a distinct ``unit`` (and ``part``).
 
     Substrings of up to ``longest`` characters are exploded and meet the piece table by equality;
-    a character that is no piece becomes its bytes, ``PENALTY`` below the worst piece.
+    the edges are grouped by unit, and with the rows lying by unit that needs no shuffle.
     """
     n = F.char_length("unit")
     keep = words.columns
+    by = [c for c in ("unit", "part") if c in keep]
     spans = words.select(*keep, F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select(
         *keep, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("len")
     ).select(*keep, "s", "len", F.substring("unit", F.col("s") + 1, F.col("len")).alias("piece"))
-    worst = pieces.agg(F.min("score")).first()[0] - PENALTY
-    digits = F.hex(F.encode("piece", "UTF-8"))
-    values = F.transform(
-        F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int")
-    )
-    table_ = F.array(*map(F.lit, byte_ids))
     met = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or len = 1")
-    edge = F.struct(
-        (F.col("s") + F.col("len")).alias("e"), "s", F.coalesce("score", F.lit(worst)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(F.transform(values, lambda b: F.get(table_, b))).alias("ids"),
-    )
-    return met.groupBy(*keep).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edge = F.expr(f"(coalesce(rank, 0) * 1L << 42) | ((2047L - s) << 31) | ((s + len) * 1L << 20) | coalesce(id, {UNKNOWN})")
+    carried = [c for c in keep if c not in by]
+    return met.groupBy(*by).agg(*(F.first(c).alias(c) for c in carried), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def viterbi(edges: Column, length: Column) -> Column:
-    """Ids of the best path: the largest sum of scores, ties to the shorter last piece."""
-    state = "array<struct<score:double,s:int,ids:array<int>>>"
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"), F.array().cast("array<int>").alias("ids"))).cast(state)
+def start_of(edge: Column) -> Column:
+    return (F.lit(2047) - F.shiftright(edge, 31).bitwiseAND(F.lit(2047))).cast("int")
 
-    def extend(best: Column, e: Column) -> Column:
-        ends = F.filter(edges, lambda x: x["e"] == e)
-        reached = F.transform(
-            ends, lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s"), x["ids"].alias("ids"))
-        )
-        return F.concat(best, F.array(F.array_max(reached)))
+
+def end_of(edge: Column) -> Column:
+    return F.shiftright(edge, 20).bitwiseAND(F.lit(2047)).cast("int")
+
+
+def id_of(edge: Column) -> Column:
+    return edge.bitwiseAND(F.lit(UNKNOWN)).cast("int")
+
+
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def viterbi(edges: Column, unit: Column, scores: Column) -> Column:
+    """Edges of the best path: the largest sum of scores, ties to the shorter last piece."""
+    parsed = F.transform(
+        edges, lambda x: F.struct(F.get(scores, F.shiftright(x, 42).cast("int")).alias("score"), start_of(x).alias("s"), end_of(x).alias("e"), x.alias("edge"))
+    )
+    state = "array<struct<score:double,s:int,edge:bigint>>"
+    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"), F.lit(0).cast("bigint").alias("edge"))).cast(state)
+
+    def solved(arcs: Column) -> Column:
+        def extend(best: Column, e: Column) -> Column:
+            reached = F.transform(
+                F.filter(arcs, lambda x: x["e"] == e),
+                lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s"), x["edge"].alias("edge")),
+            )
+            return F.concat(best, F.array(F.array_max(reached)))
+
+        return F.aggregate(F.sequence(F.lit(1), F.char_length(unit)), origin, extend)
 
     def back(best: Column) -> Column:
-        start = F.struct(length.cast("int").alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        start = F.struct(F.char_length(unit).alias("at"), F.array().cast("array<bigint>").alias("out"))
 
         def step(acc: Column, _: Column) -> Column:
             at = F.get(best, acc["at"])
-            more = acc["at"] > 0
-            return F.struct(
-                F.when(more, at["s"]).otherwise(acc["at"]).alias("at"),
-                F.when(more, F.concat(acc["out"], F.array(at["ids"]))).otherwise(acc["out"]).alias("out"),
-            )
+            return F.when(
+                acc["at"] > 0, F.struct(at["s"].alias("at"), F.concat(acc["out"], F.array(at["edge"])).alias("out"))
+            ).otherwise(acc)
 
-        return F.flatten(F.reverse(F.aggregate(F.sequence(F.lit(1), length), start, step)["out"]))
+        return F.reverse(F.aggregate(F.sequence(F.lit(1), F.char_length(unit)), start, step)["out"])
 
-    return F.element_at(F.transform(F.array(F.aggregate(F.sequence(F.lit(1), length), origin, extend)), back), 1)
+    return let(let(parsed, solved), back)
 
 
-def merges(edges: Column, length: Column) -> Column:
-    """Ids that a byte-pair model's merges give: again and again the two neighbours whose piece has the best score.
+def merges(edges: Column, unit: Column, scores: Column) -> Column:
+    """Edges that a byte-pair model's merges end with: again and again the best-ranked two neighbours.
 
-    Ties go to the left. The fold keeps the boundaries of the current symbols; an edge of the
-    lattice can be merged if exactly one boundary lies inside it.
+    Ties go to the left. The fold keeps the boundaries of the current symbols, as bits where the unit
+    is short enough; an edge can be merged if exactly one boundary lies inside it.
     """
+    length = F.char_length(unit)
+    rounds = F.sequence(F.lit(1), length)
+
+    def fold(arcs: Column, state: Column, ready, merge) -> Column:
+        """Each round merges the last ready edge; edges come by rank, so that is the best one."""
+
+        def step(bounds: Column, _: Column) -> Column:
+            best = F.aggregate(arcs, F.lit(None).cast(arc), lambda m, x: F.when(ready(bounds, x), x).otherwise(m))
+            return let(best, lambda m: F.when(m.isNull(), bounds).otherwise(merge(bounds, m)))
+
+        return F.aggregate(rounds, state, step)
+
+    arc = "struct<s:int,e:int,ends:bigint,inner:bigint>"
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+
+    def masks(x: Column) -> Column:
+        s, e = start_of(x), end_of(x)
+        return F.struct(
+            s.alias("s"), e.alias("e"), F.when(length <= 60, bit(s).bitwiseOR(bit(e))).alias("ends"),
+            F.when(length <= 60, bit(e) - bit(s + 1)).alias("inner"),
+        )
 
-    def step(bounds: Column, _: Column) -> Column:
-        at = lambda v: F.array_position(bounds, v)
-        ready = F.filter(edges, lambda x: (at(x["s"]) > 0) & (at(x["e"]) - at(x["s"]) == 2))
-        ranked = F.transform(ready, lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("left"), x["e"].alias("e")))
-        merged = lambda best: F.filter(bounds, lambda v: best.isNull() | (v <= -best["left"]) | (v >= best["e"]))
-        return F.element_at(F.transform(F.array(F.array_max(ranked)), merged), 1)
+    def boundaries(arcs: Column) -> Column:
+        short = fold(
+            arcs,
+            bit(F.least(length, F.lit(60)) + 1) - 1,
+            lambda b, x: (b.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(b.bitwiseAND(x["inner"])) == 1),
+            lambda b, m: b.bitwiseAND(F.bitwise_not(m["inner"])),
+        )
+        at = lambda b, v: F.array_position(b, v)
+        long = fold(
+            arcs,
+            F.sequence(F.lit(0), length),
+            lambda b, x: (at(b, x["s"]) > 0) & (at(b, x["e"]) - at(b, x["s"]) == 2),
+            lambda b, m: F.filter(b, lambda v: (v <= m["s"]) | (v >= m["e"])),
+        )
+        listed = let(short, lambda b: F.filter(F.sequence(F.lit(0), length), lambda k: F.getbit(b, k) == 1))
+        return F.when(length <= 60, listed).otherwise(long)
 
     def spell(bounds: Column) -> Column:
-        pairs = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-        own = lambda p: F.element_at(F.filter(edges, lambda x: (x["s"] == p["s"]) & (x["e"] == p["e"])), 1)["ids"]
-        return F.flatten(F.transform(pairs, own))
+        # The symbols that are left are edges between neighbouring boundaries.
+        def final(x: Column) -> Column:
+            at = F.array_position(bounds, start_of(x))
+            return (at > 0) & (F.get(bounds, at.cast("int")) == end_of(x))
 
-    ends = F.aggregate(F.sequence(F.lit(1), length), F.sequence(F.lit(0), length), step)
-    return F.element_at(F.transform(F.array(ends), spell), 1)
+        return F.array_sort(F.filter(edges, final), lambda a, b: start_of(a) - start_of(b))
+
+    wide = F.filter(edges, lambda x: end_of(x) - start_of(x) > 1)
+    return let(let(F.transform(wide, masks), boundaries), spell)
 
 
 FOLDS = {"viterbi": viterbi, "merges": merges}
@@ -139,9 +229,21 @@ FOLDS = {"viterbi": viterbi, "merges": merges}
 def encode_units(words: DataFrame, path: str, fold: str = "viterbi") -> DataFrame:
     """The columns of ``words`` and ids of rows with a distinct ``unit``."""
     ordinary, byte_ids = vocabulary(path)
-    longest = max(len(p) for p, _, _ in ordinary)
-    edges = lattice(words, piece_table(words.sparkSession, path), longest, byte_ids)
-    return edges.select(*words.columns, FOLDS[fold](F.col("edges"), F.char_length("unit")).alias("ids"))
+    scores = F.split(F.lit(",".join(map(repr, ranked(path)[1]))), ",").cast("array<double>")
+    found = lattice(words, piece_table(words.sparkSession, path), max(len(p) for p, _, _ in ordinary))
+    spelled = found.select(*words.columns, FOLDS[fold](F.col("edges"), F.col("unit"), scores).alias("_path"))
+    table_ = F.array(*map(F.lit, byte_ids))
+
+    def as_bytes(edge: Column) -> Column:
+        digits = F.hex(F.encode(F.substring("unit", start_of(edge) + 1, F.lit(1)), "UTF-8"))
+        values = F.transform(
+            F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int")
+        )
+        return F.transform(values, lambda b: F.get(table_, b))
+
+    plain = F.transform("_path", id_of)
+    mixed = F.flatten(F.transform("_path", lambda x: F.when(id_of(x) == UNKNOWN, as_bytes(x)).otherwise(F.array(id_of(x)))))
+    return spelled.select(*words.columns, F.when(F.array_contains(plain, UNKNOWN), mixed).otherwise(plain).alias("ids"))
 
 
 @lru_cache(maxsize=2)
@@ -184,17 +286,19 @@ def encode_documents(docs: DataFrame, path: str, fold: str = "viterbi", block_by
                 own = seen.setdefault(b, set())
                 for text in unpack(blob).column("text").to_pylist():
                     own.update(units(text) if text else ())
+        pa.default_memory_pool().release_unused()
         for b, found in seen.items():
             listed = list(found)
             for i in range(0, len(listed), 50_000):
                 part = listed[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(part), pa.int32()), pa.array(part)], names=["block", "unit"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One shuffle by unit serves the distinct units and the way back: both sides read all its columns.
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One shuffle by unit; the blocks of a unit go with it, in lists of at most 1024.
+    group = F.expr("block div 1024").alias("part")
     pairs = placed.mapInArrow(distinct_units, "block int, unit string").repartition(parts, "unit")
-    encoded = encode_units(pairs.groupBy("unit").agg(F.min("block").alias("first_block")), path, fold)
-    met = pairs.join(encoded, "unit").where("block >= first_block").select("block", "unit", "ids")
+    grouped = pairs.groupBy("unit", group).agg(F.collect_list("block").alias("blocks"))
+    met = encode_units(grouped, path, fold).select(F.explode("blocks").alias("block"), "unit", "ids")
     known = met.mapInArrow(pack_by_block, "block int, blob binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -218,6 +322,8 @@ def encode_documents(docs: DataFrame, path: str, fold: str = "viterbi", block_by
                 "doc_id": table_.column("doc_id"), "n_pieces": pa.array(counts, pa.int64()),
                 "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string()),
             }))
+        packed.clear()
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
@@ -259,11 +365,8 @@ def unpack(blob: pa.Scalar) -> pa.Table:
 
 
 def encoded_digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of the ids, comma-joined), decoded_sha256."""
-    return found.select(
-        "doc_id", "n_pieces", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_pieces, ids_hash (XXH64 of the ids in order), decoded_sha256."""
+    return found.select("doc_id", "n_pieces", F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op7_sentencepiece_lattice")

@@ -8,7 +8,7 @@ import sentencepiece
 from auditlake.llm import pieces
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-ODD = ["a", "the", " ", "  ", "   ", "\n", "\t", "é", "ß", "<s>", "<unk>", "日本", "🙂", ".", "#", "ing", "tion", "ther", "\x00", "house", "Über"]
+ODD = [", ", "x.", "y,", "1,", "\",", "\n\n", "a", "the", " ", "  ", "   ", "\n", "\t", "é", "ß", "<s>", "<unk>", "日本", "🙂", ".", "#", "ing", "tion", "ther", "\x00", "house", "Über"]
 
 
 def texts_of(rng, n):
@@ -60,5 +60,11 @@ def test_viterbi_finds_the_best_path(spark):
     worst = min(s for _, _, s in ordinary) - pieces.PENALTY
     rng = random.Random(4)
     units = sorted({u for t in texts_of(rng, 60) if t for u in pieces.units(t)})
-    rows = pieces.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), MODEL).collect()
+    rows = pieces.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), MODEL, "viterbi").collect()
     assert {r.unit: list(r.ids) for r in rows} == {u: best_path(u, scores, byte_ids, worst) for u in units}
+
+
+def test_units_join_to_the_text():
+    rng = random.Random(8)
+    for text in texts_of(rng, 2000) + ["\n", "\n\na", "a\n", ".", ",", "a.\nb,", " \n "]:
+        assert "".join(pieces.units(text)) == " " + text
