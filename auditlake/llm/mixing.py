@@ -146,6 +146,26 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard: int = SHARD)
     )
 
 
+def whole_copies(mixed: DataFrame, seed: int = 7, shard: int = SHARD) -> DataFrame:
+    """Add ``times`` to rows of ``mix``: whole copies whose words add up to the words taken.
+
+    A row is kept floor(taken / size) times, and once more with the chance of what is left over its
+    size. These chances are drawn systematically inside (source, shard) with the rows in order of
+    size, so neighbours in the draw have about the same size and the words kept differ from the words
+    taken by at most about the largest row of each shard.
+    """
+    rows = cut(mixed)
+    shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // shard))
+    size = F.greatest("size", F.lit(1))
+    split = rows.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
+    split = split.withColumn("_chance", (F.col("taken") % size) / size)
+    line = Window.partitionBy("source", "_shard").orderBy("size", F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "taken")
+    start = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), F.lit(1 << 20)) / float(1 << 20)
+    until = lambda last: start + F.coalesce(F.sum("_chance").over(line.rowsBetween(Window.unboundedPreceding, last)), F.lit(0.0))
+    times = F.floor(F.col("taken") / size) + F.floor(until(0)) - F.floor(until(-1))
+    return split.withColumn("times", times.cast("int")).drop("_shard", "_chance")
+
+
 def shard_quotas(shares: DataFrame, block: int) -> DataFrame:
     """Add ``quota`` to the cells: each source's ``_seats`` by highest quotients of its cells' sizes.
 
