@@ -200,7 +200,7 @@ def x4(t):
 
 @query("x5_stream_dedup", """SELECT DISTINCT md5(concat_ws(':', l_orderkey % 50, l_suppkey % 10, CAST(l_shipdate AS DATE))) AS dedup_key FROM lineitem""")
 def x5(t):
-    """Drafts of one place on one day: repeats come within a day, so a day of keys is all the state."""
+    """Drafts of one place on one day: repeats come within a day; rows in any order are kept."""
     raw = SJ.file_stream(t.spark, f"{t.sf_dir}/lineitem.parquet", LINES).withColumn("seen_at", F.col("l_shipdate").cast("timestamp"))
     keyed = raw.selectExpr("md5(concat_ws(':', l_orderkey % 50, l_suppkey % 10, cast(l_shipdate as date))) AS dedup_key", "seen_at")
     out = SJ.deduplicated(keyed, "dedup_key", "seen_at", scratch_path(t.spark, "dedup"), late="1 day")

@@ -98,10 +98,31 @@ def recent_activity(stream: DataFrame, state_dir: str, late: str = "10 minutes",
 
 
 def deduplicated(stream: DataFrame, key: str, time: str, state_dir: str, late: str = "1 day") -> str:
-    """Drop repeats of a key while they arrive within the watermark."""
+    """Drop repeats of a key, which lie within ``late`` of each other; rows of any age are taken.
+
+    A batch is compared with the stored keys from ``late`` before its oldest row on: in a stream that is
+    about in order these are the last ones, and rows out of order reach back as far as they need.
+    """
     out = f"{state_dir}/distinct"
-    distinct = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    run_available(distinct, _store(out, distinct), state_dir)
+    _empty(stream).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = F.col(time)
+        bounds = batch.agg(
+            (F.min(at) - F.expr(f"interval {late}")).alias("low"), (F.max(at) + F.expr(f"interval {late}")).alias("high"),
+            F.count_if(at.isNull()).alias("unknown"),
+        ).first()
+        # A replayed batch must not meet what it wrote itself.
+        before = spark.read.option("basePath", out).parquet(out).where(F.col("batch_id") < batch_id)
+        if not bounds.unknown and bounds.low is not None:
+            before = before.where(at.isNull() | at.between(F.lit(bounds.low), F.lit(bounds.high)))
+        new = batch.dropDuplicates([key]).alias("n").join(
+            before.select(F.col(key).alias("_key")).distinct(), F.col(f"n.{key}").eqNullSafe(F.col("_key")), "left_anti"
+        )
+        new.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    run_available(stream, each, state_dir)
     return out
 
 
