@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Severity words in matching order, their normal form, and severity ranks.
@@ -41,6 +43,40 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` reads it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def computed(df: DataFrame, *values: Column) -> DataFrame:
+    """``df`` with further columns that later expressions read and never compute again.
+
+    Spark puts the expression of a column wherever the column is read, inside lambdas too, once per
+    element there. A generator is not moved: what it makes is made once a row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*values))))
+
+
+def totals_before(values: Column, block: int = 256) -> Column:
+    """Sums of the earlier elements, for each element of an array; by blocks, so that long arrays stay near linear."""
+    zero = F.lit(0).cast("bigint")
+
+    def running(array: Column) -> Column:
+        start = F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("before"))
+        step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before"))
+        return F.aggregate(array, start, step)["before"]
+
+    def in_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda s, x: s + x))
+        return F.flatten(F.zip_with(F.transform(blocks, running), running(sums), lambda inner, o: F.transform(inner, lambda v: v + o)))
+
+    def split(array: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(array), F.lit(1)), F.lit(block))
+        return let(F.transform(starts, lambda at: F.slice(array, at, F.lit(block))), in_blocks)
+
+    return let(values, split)
+
+
 def lookup(table: dict, key: Column, default: object = None) -> Column:
     pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     found = pairs[key]

@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.functions.scalars import contains_any
+from auditlake.functions.scalars import computed, contains_any, let, totals_before
 from auditlake.operators.context import line_slice, lines_of
 from auditlake.operators.predicates import scan_language
 
@@ -146,21 +146,18 @@ def newlines(text: Column) -> Column:
 
 def match_lines(content: Column, pattern: Column) -> Column:
     """Array of (match, line): line breaks add up over the gaps and matches before each match."""
-    matches = F.regexp_extract_all(content, pattern, F.lit(0))
-    gaps = F.split(content, pattern, -1)
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
-    start = F.struct(
-        F.lit(1).alias("line"), F.array().cast("array<struct<match:string,line:int>>").alias("out")
-    )
 
-    def step(acc: Column, p: Column) -> Column:
-        line = (acc["line"] + newlines(p["g"])).cast("int")
-        hit = F.struct(p["m"].alias("match"), line.alias("line"))
-        return F.struct(
-            (line + newlines(p["m"])).cast("int").alias("line"), F.concat(acc["out"], F.array(hit)).alias("out")
-        )
+    def numbered(hits: Column, breaks: Column) -> Column:
+        before = totals_before(F.transform(breaks, lambda b: b["gap"] + b["hit"]))
+        lines = F.zip_with(before, breaks, lambda at, b: (at + b["gap"] + 1).cast("int"))
+        return F.zip_with(hits, lines, lambda m, n: F.struct(m.alias("match"), n.alias("line")))
 
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step)["out"])
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(content, pattern, -1), F.lit(1), F.size(hits))
+        breaks = F.zip_with(hits, gaps, lambda m, g: F.struct(newlines(g).alias("gap"), newlines(m).alias("hit")))
+        return F.when(F.size(hits) > 0, let(breaks, lambda b: numbered(hits, b)))
+
+    return let(F.regexp_extract_all(content, pattern, F.lit(0)), placed)
 
 
 def _gated(rules: list[Rule]) -> list[tuple[Rule, Column]]:
@@ -188,8 +185,8 @@ def scan_rules(files: DataFrame, rules: list[Rule] = DEFAULT_RULES) -> DataFrame
     """All matches of the enabled rules of each file's language, in one pass without a join.
 
     The rule list is configuration on the driver: it becomes literal patterns, compiled once, and
-    each text is read where it lies. Snippets come from one split of a text that has matches; hit
-    rows carry no text. Nothing is shuffled.
+    each text is read where it lies. Matches of a text are found once, snippets come from one split
+    of a text that has matches; hit rows carry no text. Nothing is shuffled.
     """
     content = F.col("content")
     hits = []
@@ -203,8 +200,10 @@ def scan_rules(files: DataFrame, rules: list[Rule] = DEFAULT_RULES) -> DataFrame
         )
         hits.append(F.when(gate & content.rlike(_flags(rule.pattern)), found))
     keep = ["file_id", "scan_id", "file_path", F.col("_lang").alias("language")]
-    matched = _staged(files).select(*keep, "content", F.flatten(F.array_compact(F.array(*hits))).alias("_hits")).where(F.size("_hits") > 0)
-    lined = matched.withColumn("_lines", lines_of("content"))
+    found = computed(
+        _staged(files).select(*keep, "content", "_lang", "_low"), F.flatten(F.array_compact(F.array(*hits))).alias("_hits")
+    )
+    lined = computed(found.where(F.size("_hits") > 0).drop("_lang", "_low"), lines_of("content").alias("_lines"))
     with_snippets = F.transform(
         "_hits",
         lambda h: F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.scalars import col
+from auditlake.functions.scalars import col, computed, let
 from auditlake.operators.predicates import extension, file_name
 
 
@@ -42,22 +42,22 @@ def code_lines(files: DataFrame) -> DataFrame:
 
 
 def _definition(line: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in DEFINITIONS])
+    """The name a line defines; null for other lines, most of which hold no parenthesis."""
+    names = F.array(*[F.regexp_extract(line, p, 1) for p in DEFINITIONS])
+    return F.when(line.contains("("), F.get(F.filter(names, lambda n: n != ""), F.lit(0)))
 
 
 def function_spans(files: DataFrame) -> DataFrame:
     """``files`` with its lines as ``_lines`` and ``_spans``: array<struct<name, start, end>>, in order.
 
     A function starts at its definition line and ends where its braces balance, or before the next
-    definition. All of it happens inside the file's row: nothing is exploded or shuffled.
+    definition. All of it happens inside the file's row: nothing is exploded or shuffled. Lines,
+    definitions and spans are each computed once a file; the folds are linear in its lines.
     """
     braces = lambda line, c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-    lined = files.withColumn("_lines", F.split("content", "\n"))
-    marks = F.transform("_lines", lambda line, i: F.struct(_definition(line).alias("name"), (i + 1).alias("start")))
-    marked = lined.withColumn("_marks", F.filter(marks, lambda m: m["name"].isNotNull()))
 
-    def span(mark: Column, i: Column) -> Column:
-        last = F.coalesce(F.get("_marks", i + 1)["start"] - 1, F.size("_lines"))
+    def span(lines: Column, marks: Column, mark: Column, i: Column) -> Column:
+        last = F.coalesce(F.get(marks, i + 1)["start"] - 1, F.size(lines))
         start = F.struct(
             F.lit(0).alias("depth"), F.lit(False).alias("opened"), (mark["start"] - 1).alias("at"), F.lit(False).alias("closed")
         )
@@ -70,10 +70,16 @@ def function_spans(files: DataFrame) -> DataFrame:
                 F.struct(depth.alias("depth"), opened.alias("opened"), (s["at"] + 1).alias("at"), (opened & (depth <= 0)).alias("closed"))
             )
 
-        body = F.slice("_lines", mark["start"], last - mark["start"] + 1)
+        body = F.slice(lines, mark["start"], last - mark["start"] + 1)
         return F.struct(mark["name"].alias("name"), mark["start"].alias("start"), F.aggregate(body, start, step)["at"].alias("end"))
 
-    return marked.withColumn("_spans", F.transform("_marks", span)).drop("_marks")
+    def spans(lines: Column) -> Column:
+        marks = F.transform(lines, lambda line, i: F.struct(_definition(line).alias("name"), (i + 1).alias("start")))
+        named = F.filter(marks, lambda m: m["name"].isNotNull())
+        return let(named, lambda ms: F.transform(ms, lambda mark, i: span(lines, ms, mark, i)))
+
+    lined = computed(files, F.split("content", "\n").alias("_lines"))
+    return computed(lined, spans(F.col("_lines")).alias("_spans"))
 
 
 def _lines_of(span: Column, each) -> Column:

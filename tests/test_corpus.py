@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from auditlake.operators import chunking as C, joins as J, rules as R, search as Q, symbols as S
+from auditlake.functions.scalars import totals_before
 from auditlake.operators import extraction as E
 
 
@@ -245,3 +246,31 @@ def test_name_suffixes_take_the_next_free_number(spark):
         spark.createDataFrame(new, "draft_id bigint, name string"), spark.createDataFrame([(s,) for s in stored], "name string")
     ).collect()}
     assert [got[i] for i in range(8)] == ["a_2", "a_4", "b", "a_5", "c", "c_1", "c_2", "d"]
+
+
+def test_spans_of_a_file_are_computed_once(spark):
+    functions = [f"int f{i}(int a)\n{{\n  g(a);\n  h(a);\n}}" for i in range(2000)]
+    files = spark.createDataFrame([(1, 1, "a.c", "\n".join(functions))], "file_id long, scan_id long, file_path string, content string")
+    calls = S.call_table(files)
+    plan = calls._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(p) <= 2 for p in S.DEFINITIONS) and plan.count("split(content") <= 2
+    assert [(r.function, r.line_number) for r in calls.where("callee = 'h'").orderBy("line_number").collect()] == [
+        (f"f{i}", 5 * i + 4) for i in range(2000)
+    ]
+
+
+def test_hits_of_a_file_are_computed_once(spark):
+    text = "\n".join("gets(x);\nfoo" for _ in range(8000))
+    files = spark.createDataFrame([(1, 1, "a.c", text)], "file_id long, scan_id long, file_path string, content string")
+    hits = R.scan_rules(files)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= len(R.DEFAULT_RULES) and plan.count("split(content, \n") <= 2
+    got = hits.orderBy("line_number").collect()
+    assert [r.line_number for r in got] == list(range(1, 16000, 2)) and got[1].snippet == "foo\ngets(x);\nfoo"
+
+
+def test_totals_before(spark):
+    row = spark.range(1).select(
+        totals_before(F.sequence(F.lit(1), F.lit(1000))).alias("long"), totals_before(F.array().cast("array<int>")).alias("none")
+    ).first()
+    assert row.long == [i * (i + 1) // 2 for i in range(1000)] and row.none == []
