@@ -14,18 +14,18 @@ import __spark_entry__ as entry_module
 from check import _rows
 
 SF_DIR = "/root/testdata/sf0.001"
-NUMBERED = {f"op{n}_" for n in range(1, 11)}
+NUMBERED = {f"op{n}_" for n in range(1, 14)}
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not here")
 
 
 def test_every_operator_has_a_query():
     names = [k for k in entry_module.queries() if k.startswith("op")]
-    assert {k.split("_")[0] + "_" for k in names} == NUMBERED and len(names) == 10
+    assert {k.split("_")[0] + "_" for k in names} == NUMBERED and len(names) == 13
     assert "pipeline" in entry_module.queries()
 
 
-@pytest.mark.parametrize("key", ["op1_line_frequency", "op2_warc_seekable_zstd"])
+@pytest.mark.parametrize("key", ["op1_line_frequency", "op2_warc_seekable_zstd", "op12_source_divergence"])
 def test_sql(spark, key):
     duck = duckdb.connect()
     for table in ("documents", "pages"):
