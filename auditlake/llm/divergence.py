@@ -19,8 +19,8 @@ TERM = np.zeros(256, bool)
 TERM[65:91] = TERM[97:123] = TERM[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Text bytes of a sorted shard; slices up to SMALL pointers are sorted at once; bytes compared at a time.
-SHARD_BYTES, SMALL, WIDTH = 8 << 20, 512, 8
+#: Text bytes of a sorted shard; slices up to SMALL pointers are sorted together; bytes compared at a time.
+SHARD_BYTES, SMALL, WIDTH = 12 << 20, 1 << 14, 8
 #: A smoothed share is 1 + floor(UNIT * (count + PSEUDO) / (N + PSEUDO * V)).
 UNIT, PSEUDO = 1_000_000_000, 5
 #: (term, source) rows of a block of terms that one task compares, and cells of its dense matrix.
@@ -50,33 +50,28 @@ def sorted_pointers(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tup
 
     A slice of pointers that agree on their first bytes is parted into less, equal and more by the
     next eight bytes against a pivot; the equal part goes on with the bytes after them, unless the
-    term ends there, which makes it a finished run. Every step keeps the order of equal pointers.
+    term ends there, which makes it a finished run. Slices that have become small are finished together,
+    eight bytes further at a time. Every step keeps the order of equal pointers.
     """
     bytes8 = np.ndarray((len(data) - WIDTH + 1,), ">u8", data, strides=(1,))
     order, heads = np.arange(len(at)), np.zeros(len(at), bool)
 
     def chars(part: np.ndarray, depth: int) -> np.ndarray:
         # Past the end of a term there are zeros, which no term holds.
-        left = length[part] - depth
-        spare = (8 * np.clip(WIDTH - left, 0, WIDTH - 1)).astype(np.uint64)
+        spare = np.minimum(np.maximum(depth + WIDTH - length[part], 0), WIDTH).astype(np.uint64) << np.uint64(3)
         found = bytes8[np.minimum(at[part] + depth, len(bytes8) - 1)].astype(np.uint64)
-        return np.where(left > 0, found >> spare << spare, np.uint64(0))
+        whole = np.minimum(spare, np.uint64(56))
+        return np.where(spare < 64, found >> whole << whole, np.uint64(0))
 
-    stack = [(0, len(at), 0)]
+    # Large slices are parted one by one; the small ones of a depth wait for each other.
+    stack, small = [(0, len(at), 0)], {}
     while stack:
         low, high, depth = stack.pop()
-        part = order[low:high]
-        char = chars(part, depth)
         if high - low <= SMALL:
-            by = np.argsort(char, kind="stable")
-            part[:], char = part[by], char[by]
-            bounds = np.concatenate([[0], np.flatnonzero(char[1:] != char[:-1]) + 1, [high - low]])
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if b - a == 1 or not int(char[a]) & 255:
-                    heads[low + a : low + b][:1] = True
-                else:
-                    stack.append((low + a, low + b, depth + WIDTH))
+            small.setdefault(depth, []).append((low, high))
             continue
+        part = order[low:high]
+        char = chars(part, depth)
         pivot = np.sort(char[[0, len(char) // 2, -1]])[1]
         less, more = char < pivot, char > pivot
         parts = part[less], part[~(less | more)], part[more]
@@ -90,6 +85,25 @@ def sorted_pointers(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tup
             stack.append((first, last, depth + WIDTH))
         else:
             heads[first] = True
+    while small:
+        depth = min(small)
+        lows, highs = np.array(small.pop(depth), np.int64).reshape(-1, 2).T
+        by = np.argsort(lows)
+        lows, sizes = lows[by], (highs - lows)[by]
+        slot = np.arange(sizes.sum()) + np.repeat(lows - np.cumsum(sizes) + sizes, sizes)
+        part, own = order[slot], np.repeat(np.arange(len(lows)), sizes)
+        char = chars(part, depth)
+        by = np.lexsort((char, own))
+        order[slot], char = part[by], char[by]
+        fresh = np.ones(len(slot), bool)
+        fresh[1:] = (char[1:] != char[:-1]) | (own[1:] != own[:-1])
+        begin = np.flatnonzero(fresh)
+        count = np.diff(np.append(begin, len(slot)))
+        done = (count == 1) | (char[begin] & np.uint64(255) == 0)
+        heads[slot[begin[done]]] = True
+        if not done.all():
+            low = slot[begin[~done]]
+            small.setdefault(depth + WIDTH, []).extend(zip(low.tolist(), (low + count[~done]).tolist()))
     return order, heads
 
 
@@ -120,15 +134,21 @@ def shard_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, df over all rows; shards and tasks are added up before the shuffle."""
+def term_counts(docs: DataFrame, least_docs: int) -> DataFrame:
+    """lang, source, term, n of terms in at least ``least_docs`` rows of their language, and lang_n, their count there.
+
+    Shards are added up behind one exchange by (lang, term), where all sources of a term lie together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SHARD_BYTES):
             yield shard_counts(batch)
 
-    shards = docs.mapInArrow(run, "lang string, source string, term string, n bigint, df bigint")
-    return shards.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    shards = docs.mapInArrow(run, "lang string, source string, term string, n bigint, df bigint").repartition("lang", "term")
+    counts = shards.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    whole = Window.partitionBy("lang", "term")
+    both = counts.withColumn("lang_df", F.sum("df").over(whole)).withColumn("lang_n", F.sum("n").over(whole))
+    return both.where(F.col("lang_df") >= least_docs).drop("df", "lang_df")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -180,10 +200,9 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50) -> D
     holds more than a block of a language's (term, source) rows, whichever language is hot.
     """
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counts = cut(term_counts(texts))
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df")).where(F.col("df") >= least_docs)
-    used = cut(counts.select("lang", "source", "term", "n").join(kept.select("lang", "term", "lang_n"), ["lang", "term"]))
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocab"), F.sum("lang_n").alias("lang_total"))
+    used = cut(term_counts(texts, least_docs))
+    vocab = used.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("vocab"))
+    sizes = vocab.join(used.groupBy("lang").agg(F.sum("n").alias("lang_total")), "lang")
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("cells"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     groups = cut(

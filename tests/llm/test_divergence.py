@@ -20,7 +20,7 @@ def lowered(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
-@pytest.mark.parametrize("small", [1, 4, 512])
+@pytest.mark.parametrize("small", [1, 4, 512, 1 << 14])
 def test_pointers_are_sorted(monkeypatch, small):
     monkeypatch.setattr(divergence, "SMALL", small)
     rng = random.Random(small)
