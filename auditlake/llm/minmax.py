@@ -22,8 +22,8 @@ SIZE, PART, WHOLE = 2, 80, 100
 PERMUTATIONS, BANDS, ROWS = 36, 24, 3
 #: Shingles hashed under all permutations at a time.
 FOLD = 1 << 14
-#: Words (64 bits each) of a parity sketch; rounds of pivots before what is left is paired.
-WORDS, ROUNDS = 8, 4
+#: Words (64 bits each) of a parity sketch; further rounds of pivots before what is left is paired.
+WORDS, ROUNDS = 8, 1
 #: Members that are checked against one copy of their pivot; bits of the largest set of nodes (32 MiB).
 SHARE, MOST_BITS = 512, 1 << 28
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -69,11 +69,12 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, digest (of the shingle set; null if empty), n (its size), keys (a band each), sketch; map-only."""
+    """doc_id, digest (of the shingle set; null if empty), content (of the text), n, keys (a band each), sketch; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
-            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            sets = [shingle_set(t, size) for t in texts]
             keys, sketches = [], []
             for s in sets:
                 bands = min_max(s).reshape(BANDS, ROWS)
@@ -85,27 +86,24 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
+                    pa.array([content(t) for t in texts], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "digest", "n", "keys", "sketch"],
+                names=["doc_id", "digest", "content", "n", "keys", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, n bigint, keys array<bigint>, sketch array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, content bigint, n bigint, keys array<bigint>, sketch array<bigint>")
 
 
-def _bit_of(digests: list[bytes | None], bits: int) -> np.ndarray:
-    return np.frombuffer(b"".join((d or bytes(16))[:8] for d in digests), "<u8") & np.uint64(bits - 1)
+def content(text: str | None) -> int:
+    """A long for a text as it stands, made without cutting it into words."""
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _bit_set(digests: DataFrame, bits: int) -> bytes:
-    """A set of ``bits`` bits with the digests' own; it errs only towards holding one more."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bit_of(batch.column(0).to_pylist(), bits).astype(np.int64) + 1)], names=["place"])
-
-    maps = digests.mapInArrow(place, "place bigint").groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+def _bit_set(contents: DataFrame, bits: int) -> bytes:
+    """A set of ``bits`` bits with the contents' own; it errs only towards holding one more."""
+    place = contents.select((F.col("content").bitwiseAND(F.lit(bits - 1)) + 1).alias("place"))
+    maps = place.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
     )
     out = bytearray(bits // 8)
@@ -115,26 +113,30 @@ def _bit_set(digests: DataFrame, bits: int) -> bytes:
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """node, hashes (the shingle set, 8 bytes each) of ``nodes`` (node, digest), read from the texts again."""
+    """node, hashes (the shingle set, 8 bytes each) of ``nodes`` (node, digest, content), read from the texts again.
+
+    Only texts whose content may be wanted are cut into shingles; the join with ``nodes`` tells for sure.
+    """
     wanted = 8 * nodes.count()
     bits = 1 << min(max(wanted.bit_length(), 15), MOST_BITS.bit_length() - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_set(nodes.select("digest"), bits))
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_set(nodes.select("content"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.frombuffer(shared.value, np.uint8)
+        there, before = np.frombuffer(shared.value, np.uint8), set()
         for batch in by_bytes(batches, "text", 4 << 20):
             digests, sets = [], []
             for text in batch.column("text").to_pylist():
-                own = shingle_set(text, size).tobytes()
-                digest = xxhash.xxh3_128_digest(own)
-                place = int.from_bytes(digest[:8], "little") & (bits - 1)
-                if own and there[place >> 3] >> (place & 7) & 1:
-                    digests.append(digest)
-                    sets.append(own)
+                own = content(text)
+                place = own & (bits - 1)
+                if own not in before and there[place >> 3] >> (place & 7) & 1:
+                    before.add(own)
+                    hashes = shingle_set(text, size).tobytes()
+                    digests.append(xxhash.xxh3_128_digest(hashes))
+                    sets.append(hashes)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "hashes"])
 
-    found = docs.select("text").mapInArrow(run, "digest binary, hashes binary")
-    return found.join(nodes, "digest").select("node", "hashes").dropDuplicates(["node"])
+    found = docs.select("text").mapInArrow(run, "digest binary, hashes binary").dropDuplicates(["digest"])
+    return found.join(nodes.select("node", "digest"), "digest").select("node", "hashes")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -144,7 +146,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
     for every SHARE of them.
     """
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(sets_of(cut(nodes.select("node", "digest").join(used, "node")), docs, size))
+    sets = cut(sets_of(cut(nodes.select("node", "digest", "content").join(used, "node")), docs, size))
     copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("copies"))
     members = (
         pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).alias("copy"))
@@ -184,49 +186,53 @@ def linked(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     All pairs that meet in a band are checked, or known to be in one component, or shown by sizes and
     sketches to be too different. First a band's members are checked against one of them, so a group of
     copies costs its size: the one whose bands are shared most, which is what copies were made
-    from, as each lacks other parts of it. Then, for members still outside the component
-    that most of the band is in, against the best of these; what is left outside meets its band.
+    from, as each lacks other parts of it. Then, where members are still outside the component that most
+    of the band is in, against the best of these; what is left outside then meets its band.
     """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = keyed.join(sizes, "key")
     score = met.groupBy("node").agg(F.sum("members").alias("score"))
-    met = cut(met.select("key", "node").join(score, "node"))
-    empty = met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    best = F.max(F.struct("score", "node"))["node"].alias("pivot")
-    pairs = met.join(met.groupBy("key").agg(best), "key").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    met = cut(met.select("key", "node", "n").join(score, "node"))
+    mine, other = ["n", *(f"s{i}" for i in range(WORDS))], ["n2", *(f"t{i}" for i in range(WORDS))]
     sketched = nodes.select("node", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(WORDS)])
-    whole = [F.col(f"s{i}") for i in range(WORDS)]
-
-    def near(found: DataFrame) -> DataFrame:
-        """Distinct pairs that may link, checked."""
-        other = sketched.toDF("b", "n2", *[f"t{i}" for i in range(WORDS)])
-        told = found.where("a != b").distinct().join(sketched.withColumnRenamed("node", "a"), "a").join(other, "b")
-        told = told.where(may_link(F.col("n"), whole, F.col("n2"), [F.col(f"t{i}") for i in range(WORDS)]))
-        return cut(confirmed(cut(told.select("a", "b")), nodes, docs, size))
-
-    links, labels, turn = near(pairs), None, 0
-    while True:
-        labels = cut(components(links)) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        tagged = met.join(labels, "node", "left").select("key", "node", "score", F.coalesce("component", "node").alias("label"))
+    fits = may_link(F.col("n"), [F.col(c) for c in mine[1:]], F.col("n2"), [F.col(c) for c in other[1:]])
+    alike = WHOLE * F.least("n", "n2") >= PART * F.greatest("n", "n2")
+
+    def told(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs of ``pairs`` (a, n, b, n2) that sizes and sketches do not tell apart."""
+        near = pairs.where(alike & (F.col("a") != F.col("b"))).select("a", "b").repartition("a").dropDuplicates(["a", "b"])
+        near = near.join(sketched.toDF("a", *mine), "a").join(sketched.toDF("b", *other), "b")
+        return near.where(fits).select("a", "b")
+
+    order = F.struct("score", "node", "n")
+    pivots = met.groupBy("key").agg(F.max(order).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.n").alias("n2"))
+    tested = cut(told(met.join(pivots, "key").withColumnRenamed("node", "a")))
+    links = cut(confirmed(tested, nodes, docs, size))
+    for turn in range(ROUNDS + 1):
+        labels = cut(components(links))
+        tagged = met.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         shares = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
         most = shares.groupBy("key").agg(F.max(F.struct("share", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
-        open_ = cut(tagged.join(most.where("labels > 1"), "key"))
+        open_ = cut(tagged.join(most.where("labels > 1").drop("labels"), "key"))
         outside = open_.where("label != main")
-        if turn > ROUNDS or outside.isEmpty():
-            return labels
         if turn < ROUNDS:
-            # Against the best of those outside, another one in each round.
-            order = F.struct("score", F.xxhash64("node", F.lit(turn)), "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
-            chosen = outside.groupBy("key").agg(F.max(order)["node"].alias("pivot"), F.max_by("label", order).alias("own"))
-            pairs = open_.join(chosen, "key").where("label != own").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+            # Against the best of those outside.
+            chosen = outside.groupBy("key").agg(F.max(F.struct("score", "node", "n", "label")).alias("p"))
+            pairs = open_.join(chosen, "key").where("label != p.label").select(
+                F.col("node").alias("a"), "n", F.col("p.node").alias("b"), F.col("p.n").alias("n2")
+            )
+            fresh = told(pairs)
         else:
-            left = outside.join(sketched, "node").select("key", F.col("node").alias("a"), F.col("label").alias("mine"), "n", *whole)
-            right = open_.join(sketched.toDF("node", "n2", *[f"t{i}" for i in range(WORDS)]), "node").drop("score", "main", "labels")
-            fits = may_link(F.col("n"), whole, F.col("n2"), [F.col(f"t{i}") for i in range(WORDS)])
-            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("mine") != F.col("label")) & fits).select("a", F.col("node").alias("b"))
-        links = cut(links.unionByName(near(pairs)).distinct()) if turn or not links.isEmpty() else near(pairs)
-        turn += 1
+            left = outside.drop("n").join(sketched, "node").select("key", F.col("node").alias("a"), F.col("label").alias("own"), *mine)
+            right = open_.select("key", "node", "label").join(sketched.toDF("node", *other), "node").withColumnRenamed("key", "key2")
+            fresh = left.join(right, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("label")) & alike & fits)
+            fresh = fresh.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        both_ways = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        fresh = cut(fresh.join(both_ways, ["a", "b"], "left_anti"))
+        links = cut(links.unionByName(confirmed(fresh, nodes, docs, size)))
+        tested = tested.unionByName(fresh)
+    return components(links)
 
 
 def near_copies(docs: DataFrame, size: int = SIZE) -> DataFrame:
