@@ -68,6 +68,12 @@ def entry_points(files: DataFrame) -> DataFrame:
     ).select("file_id", "line_number", "name", "h.*")
 
 
+def entry_functions(files: DataFrame) -> DataFrame:
+    """Names of functions that entry lines define or call first."""
+    name = lambda group: F.nullif(F.regexp_extract("name", r"def\s+(\w+)|(\w+)\s*\(", group), F.lit(""))
+    return entry_points(files).select(F.coalesce(name(1), name(2)).alias("function")).where("function is not null").distinct()
+
+
 def entry_calls(files: DataFrame, per_pattern: int = 5) -> DataFrame:
     """The first hits of every pattern of the second set; Spark cuts each group before the shuffle."""
     hits = F.array_compact(

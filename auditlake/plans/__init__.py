@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("verdicts", "reports", "evaluation", "filters", "answers", "corpus", "relations", "exchange")
+MODULES = ("verdicts", "reports", "evaluation", "filters", "answers", "corpus", "relations", "exchange", "timelines")
 
 
 def load_queries() -> dict:

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import assembly as A, chunking as C, context as X, rules as R, search as Q, symbols as S
+from auditlake.operators import assembly as A, chunking as C, context as X, graph as G, rules as R, search as Q, symbols as S
 from auditlake.plans.filters import LANG, quote
 from auditlake.plans.registry import query
 
@@ -226,7 +226,7 @@ def _entries(t):
 
 @query("c9_call_chains", _chains("", ""))
 def c9(t):
-    return Q.chains_to_entry(t.edges, _entries(t)).select("function", "entry", "depth")
+    return G.entry_reach(t.edges, _entries(t))
 
 
 @query(
