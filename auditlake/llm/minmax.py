@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +73,7 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
-            texts = batch.column("text").to_pylist()
-            sets = [shingle_set(t, size) for t in texts]
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             keys, sketches = [], []
             for s in sets:
                 bands = min_max(s).reshape(BANDS, ROWS)
@@ -86,18 +85,13 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([content(t) for t in texts], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
+                    batch.column("content"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "digest", "content", "n", "keys", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, content bigint, n bigint, keys array<bigint>, sketch array<bigint>")
-
-
-def content(text: str | None) -> int:
-    """A long for a text as it stands, made without cutting it into words."""
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, digest binary, content bigint, n bigint, keys array<bigint>, sketch array<bigint>")
 
 
 def _bit_set(contents: DataFrame, bits: int) -> bytes:
@@ -125,8 +119,7 @@ def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         there, before = np.frombuffer(shared.value, np.uint8), set()
         for batch in by_bytes(batches, "text", 4 << 20):
             digests, sets = [], []
-            for text in batch.column("text").to_pylist():
-                own = content(text)
+            for text, own in zip(batch.column("text").to_pylist(), batch.column("content").to_pylist()):
                 place = own & (bits - 1)
                 if own not in before and there[place >> 3] >> (place & 7) & 1:
                     before.add(own)
@@ -135,7 +128,7 @@ def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                     sets.append(hashes)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "hashes"])
 
-    found = docs.select("text").mapInArrow(run, "digest binary, hashes binary").dropDuplicates(["digest"])
+    found = docs.select("text", F.xxhash64("text").alias("content")).mapInArrow(run, "digest binary, hashes binary").dropDuplicates(["digest"])
     return found.join(nodes.select("node", "digest"), "digest").select("node", "hashes")
 
 
@@ -180,10 +173,12 @@ def may_link(n: Column, sketch: list[Column], n2: Column, sketch2: list[Column])
     return (WHOLE * F.least(n, n2) >= PART * F.greatest(n, n2)) & (apart * (WHOLE + PART) <= (WHOLE - PART) * (n + n2))
 
 
-def linked(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """node, component of the nodes (node, digest, n, keys, sketch) that are linked with others.
+def linked(
+    nodes: DataFrame, docs: DataFrame, size: int, sketch: list[Column], may: Callable[[Column, list[Column], Column, list[Column]], Column]
+) -> DataFrame:
+    """node, component of the nodes (node, digest, content, n, keys) that are linked with others.
 
-    All pairs that meet in a band are checked, or known to be in one component, or shown by sizes and
+    ``may(n, sketch, n2, sketch2)`` tells pairs that cannot be linked from their sizes and sketches. All pairs that meet in a band are checked, or known to be in one component, or shown by sizes and
     sketches to be too different. First a band's members are checked against one of them, so a group of
     copies costs its size: the one whose bands are shared most, which is what copies were made
     from, as each lacks other parts of it. Then, where members are still outside the component that most
@@ -194,9 +189,9 @@ def linked(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     met = keyed.join(sizes, "key")
     score = met.groupBy("node").agg(F.sum("members").alias("score"))
     met = cut(met.select("key", "node", "n").join(score, "node"))
-    mine, other = ["n", *(f"s{i}" for i in range(WORDS))], ["n2", *(f"t{i}" for i in range(WORDS))]
-    sketched = nodes.select("node", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(WORDS)])
-    fits = may_link(F.col("n"), [F.col(c) for c in mine[1:]], F.col("n2"), [F.col(c) for c in other[1:]])
+    mine, other = ["n", *(f"s{i}" for i in range(len(sketch)))], ["n2", *(f"t{i}" for i in range(len(sketch)))]
+    sketched = nodes.select("node", "n", *[x.alias(f"s{i}") for i, x in enumerate(sketch)])
+    fits = may(F.col("n"), [F.col(c) for c in mine[1:]], F.col("n2"), [F.col(c) for c in other[1:]])
     alike = WHOLE * F.least("n", "n2") >= PART * F.greatest("n", "n2")
 
     def told(pairs: DataFrame) -> DataFrame:
@@ -248,7 +243,7 @@ def near_copies(docs: DataFrame, size: int = SIZE) -> DataFrame:
     marked = cut(signatures(texts, size))
     one = marked.where("digest is not null").dropDuplicates(["digest"]).drop("doc_id")
     nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
-    labels = linked(nodes, texts, size)
+    labels = linked(nodes, texts, size, [F.get("sketch", F.lit(i)) for i in range(WORDS)], may_link)
     placed = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     first = marked.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(placed, "digest")
     lowest = first.groupBy("component").agg(F.min("first_id").alias("lowest"))
