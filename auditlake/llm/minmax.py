@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import by_bytes, components
@@ -22,8 +22,8 @@ SIZE, PART, WHOLE = 2, 80, 100
 PERMUTATIONS, BANDS, ROWS = 36, 24, 3
 #: Shingles hashed under all permutations at a time.
 FOLD = 1 << 14
-#: Words (64 bits each) of a parity sketch; further rounds of pivots before what is left is paired.
-WORDS, ROUNDS = 8, 0
+#: Words (64 bits each) of a parity sketch.
+WORDS = 8
 #: Members that are checked against one copy of their pivot; bits of the largest set of nodes (32 MiB).
 SHARE, MOST_BITS = 512, 1 << 28
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -107,7 +107,7 @@ def _bit_set(contents: DataFrame, bits: int) -> bytes:
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """node, hashes (the shingle set, 8 bytes each) of ``nodes`` (node, digest, content), read from the texts again.
+    """node, hashes (the shingle set) of ``nodes`` (node, digest, content), read from the texts again.
 
     Only texts whose content may be wanted are cut into shingles; the join with ``nodes`` tells for sure.
     """
@@ -123,48 +123,43 @@ def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 place = own & (bits - 1)
                 if own not in before and there[place >> 3] >> (place & 7) & 1:
                     before.add(own)
-                    hashes = shingle_set(text, size).tobytes()
-                    digests.append(xxhash.xxh3_128_digest(hashes))
-                    sets.append(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "hashes"])
+                    hashes = shingle_set(text, size)
+                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sets.append(hashes.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "hashes"]
+            )
 
-    found = docs.select("text", F.xxhash64("text").alias("content")).mapInArrow(run, "digest binary, hashes binary").dropDuplicates(["digest"])
+    found = docs.select("text", F.xxhash64("text").alias("content")).mapInArrow(run, "digest binary, hashes array<bigint>").dropDuplicates(["digest"])
     return found.join(nodes.select("node", "digest"), "digest").select("node", "hashes")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are alike enough.
+def wanted_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, known: DataFrame | None) -> DataFrame:
+    """The shingle sets of all nodes in ``pairs``; those not yet ``known`` are read from the texts."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if known is None:
+        return cut(sets_of(cut(nodes.select("node", "digest", "content").join(used, "node")), docs, size))
+    fresh = cut(nodes.select("node", "digest", "content").join(used.join(known.select("node"), "node", "left_anti"), "node"))
+    return known if fresh.isEmpty() else known.unionByName(cut(sets_of(fresh, docs, size)))
+
 
-    Members ``a`` stream past the set of their pivot ``b``; a pivot of many members is copied, one copy
-    for every SHARE of them.
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets (node, hashes) are alike enough.
+
+    Members ``a`` meet the set of their pivot ``b``, one row at a time; a pivot of many members is copied,
+    one copy for every SHARE of them.
     """
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(sets_of(cut(nodes.select("node", "digest", "content").join(used, "node")), docs, size))
     copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("copies"))
     members = (
-        pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).alias("copy"))
-        .join(sets.withColumnRenamed("node", "a"), "a").select("b", "copy", "a", "hashes")
+        pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies"))).drop("copies")
+        .join(sets.withColumnRenamed("node", "a"), "a")
     )
-    pivots = copies.join(sets.withColumnRenamed("node", "b"), "b").select(
-        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("bigint").alias("a"), "hashes"
+    pivots = copies.join(sets.toDF("b", "others"), "b").select(
+        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"), "others"
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = np.empty(0, np.uint64)
-        for batch in by_bytes(batches, "hashes", 8 << 20):
-            keep = []
-            for a, own in zip(batch.column("a").to_pylist(), batch.column("hashes")):
-                own = np.frombuffer(own.as_buffer(), np.uint64)
-                if a is None:
-                    pivot = own
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(own, pivot, assume_unique=True))
-                keep.append(WHOLE * both >= PART * (len(own) + len(pivot) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    rows = members.unionByName(pivots).repartition("b", "copy").sortWithinPartitions("b", "copy", F.asc_nulls_first("a"))
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    both = F.size(F.array_intersect("hashes", "others"))
+    alike = WHOLE * both >= PART * (F.size("hashes") + F.size("others") - both)
+    return members.join(pivots, ["b", "copy"]).where(alike).select(pairs.columns)
 
 
 def may_link(n: Column, sketch: list[Column], n2: Column, sketch2: list[Column]) -> Column:
@@ -178,56 +173,52 @@ def linked(
 ) -> DataFrame:
     """node, component of the nodes (node, digest, content, n, keys) that are linked with others.
 
-    ``may(n, sketch, n2, sketch2)`` tells pairs that cannot be linked from their sizes and sketches. All pairs that meet in a band are checked, or known to be in one component, or shown by sizes and
-    sketches to be too different. First a band's members are checked against one of them, so a group of
-    copies costs its size: the one whose bands are shared most, which is what copies were made
-    from, as each lacks other parts of it. Then, where members are still outside the component that most
-    of the band is in, against the best of these; what is left outside then meets its band.
+    ``may(n, sketch, n2, sketch2)`` tells pairs that cannot be linked from their sizes and sketches. All pairs
+    that meet in a band are checked, or known to be in one component, or shown by ``may`` to be too
+    different. First a band's members are checked against one of them, so a group of copies costs its
+    size: the one whose bands are shared most, which is what copies were made from, as each of
+    them lacks other parts of it. Members that do not stand under the same text as most of their band
+    then meet the band's members under others.
     """
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = keyed.join(sizes, "key")
-    score = met.groupBy("node").agg(F.sum("members").alias("score"))
-    met = cut(met.select("key", "node", "n").join(score, "node"))
+    met = cut(keyed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1"))
     mine, other = ["n", *(f"s{i}" for i in range(len(sketch)))], ["n2", *(f"t{i}" for i in range(len(sketch)))]
-    sketched = nodes.select("node", "n", *[x.alias(f"s{i}") for i, x in enumerate(sketch)])
+    score = met.groupBy("node").agg(F.sum("members").alias("score"))
+    sketched = cut(nodes.join(score, "node").select("node", "n", *[x.alias(f"s{i}") for i, x in enumerate(sketch)], "score"))
+    met = cut(met.select("key", "node", "n").join(sketched.select("node", "score"), "node"))
     fits = may(F.col("n"), [F.col(c) for c in mine[1:]], F.col("n2"), [F.col(c) for c in other[1:]])
     alike = WHOLE * F.least("n", "n2") >= PART * F.greatest("n", "n2")
 
-    def told(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of ``pairs`` (a, n, b, n2) that sizes and sketches do not tell apart."""
-        near = pairs.where(alike & (F.col("a") != F.col("b"))).select("a", "b").repartition("a").dropDuplicates(["a", "b"])
-        near = near.join(sketched.toDF("a", *mine), "a").join(sketched.toDF("b", *other), "b")
-        return near.where(fits).select("a", "b")
-
-    order = F.struct("score", "node", "n")
-    pivots = met.groupBy("key").agg(F.max(order).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.n").alias("n2"))
-    tested = cut(told(met.join(pivots, "key").withColumnRenamed("node", "a")))
-    links = cut(confirmed(tested, nodes, docs, size))
-    for turn in range(ROUNDS + 1):
-        labels = cut(components(links))
-        tagged = met.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        shares = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
-        most = shares.groupBy("key").agg(F.max(F.struct("share", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
-        open_ = cut(tagged.join(most.where("labels > 1").drop("labels"), "key"))
-        outside = open_.where("label != main")
-        if turn < ROUNDS:
-            # Against the best of those outside.
-            chosen = outside.groupBy("key").agg(F.max(F.struct("score", "node", "n", "label")).alias("p"))
-            pairs = open_.join(chosen, "key").where("label != p.label").select(
-                F.col("node").alias("a"), "n", F.col("p.node").alias("b"), F.col("p.n").alias("n2")
-            )
-            fresh = told(pairs)
-        else:
-            left = outside.drop("n").join(sketched, "node").select("key", F.col("node").alias("a"), F.col("label").alias("own"), *mine)
-            right = open_.select("key", "node", "label").join(sketched.toDF("node", *other), "node").withColumnRenamed("key", "key2")
-            fresh = left.join(right, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("label")) & alike & fits)
-            fresh = fresh.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        both_ways = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        fresh = cut(fresh.join(both_ways, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(confirmed(fresh, nodes, docs, size)))
-        tested = tested.unionByName(fresh)
-    return components(links)
+    # Against the best of each band: linear in its members.
+    pivots = met.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("p")).select(
+        "key", F.col("p.node").alias("b"), F.col("p.n").alias("n2")
+    )
+    near = met.withColumnRenamed("node", "a").join(pivots, "key").where(alike & (F.col("a") != F.col("b"))).select("a", "b")
+    near = near.repartition("a").dropDuplicates(["a", "b"]).join(sketched.drop("score").toDF("a", *mine), "a")
+    tested = cut(near.join(sketched.toDF("b", *other, "rank"), "b").where(fits).select("a", "b", "rank"))
+    sets = wanted_sets(tested, nodes, docs, size, None)
+    links = cut(confirmed(tested, sets))
+
+    # Each member stands under the best that it is linked with, or the best that this one is linked with.
+    above = links.groupBy("a").agg(F.max(F.struct("rank", "b"))["b"].alias("b"))
+    labels = above.join(above.toDF("b", "c"), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("label"))
+    tagged = met.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_key = Window.partitionBy("key")
+    shared = tagged.withColumn("share", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
+    ruled = shared.select(
+        "key", "node", "label", F.max(F.struct("share", "label")).over(by_key)["label"].alias("main"),
+        F.min("label").over(by_key).alias("low"), F.max("label").over(by_key).alias("high"),
+    )
+    open_ = cut(ruled.where("low < high").drop("low", "high"))
+    plain = sketched.drop("score")
+    left = open_.where("label != main").join(plain, "node").select("key", F.col("node").alias("a"), F.col("label").alias("own"), *mine)
+    right = open_.select(F.col("key").alias("key2"), "node", "label").join(plain.toDF("node", *other), "node")
+    left_out = left.join(right, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("label")) & alike & fits)
+    fresh = left_out.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    both_ways = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    fresh = cut(fresh.join(both_ways, ["a", "b"], "left_anti"))
+    sets = wanted_sets(fresh, nodes, docs, size, sets)
+    return components(links.select("a", "b").unionByName(confirmed(fresh, sets)))
 
 
 def near_copies(docs: DataFrame, size: int = SIZE) -> DataFrame:
