@@ -140,7 +140,8 @@ def wanted_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     if known is None:
         return cut(sets_of(cut(nodes.select("node", "digest", "content").join(used, "node")), docs, size))
     fresh = cut(nodes.select("node", "digest", "content").join(used.join(known.select("node"), "node", "left_anti"), "node"))
-    return known if fresh.isEmpty() else known.unionByName(cut(sets_of(fresh, docs, size)))
+    again = known.join(used, "node", "left_semi")
+    return again if fresh.isEmpty() else again.unionByName(cut(sets_of(fresh, docs, size)))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
