@@ -23,7 +23,7 @@ PERMUTATIONS, BANDS, ROWS = 36, 24, 3
 #: Shingles hashed under all permutations at a time.
 FOLD = 1 << 14
 #: Words (64 bits each) of a parity sketch.
-WORDS = 8
+WORDS = 16
 #: Members that are checked against one copy of their pivot; bits of the largest set of nodes (32 MiB).
 SHARE, MOST_BITS = 512, 1 << 28
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
