@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import by_bytes, components
@@ -22,8 +22,8 @@ SIZE, PART, WHOLE = 2, 80, 100
 PERMUTATIONS, BANDS, ROWS = 36, 24, 3
 #: Shingles hashed under all permutations at a time.
 FOLD = 1 << 14
-#: Words (64 bits each) of a parity sketch; values of a sketch that rows of a band carry.
-WORDS, CARRIED = 16, 8
+#: Words (64 bits each) of a parity sketch.
+WORDS = 8
 #: Members that are checked against one copy of their pivot; bits of the largest set of nodes (32 MiB).
 SHARE, MOST_BITS = 512, 1 << 28
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -62,9 +62,9 @@ def min_max(hashes: np.ndarray) -> np.ndarray:
     return np.stack([low, high], axis=1).ravel()
 
 
-def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+def parity_sketch(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Bit i tells whether an odd number of hashes falls on it: two sketches differ in no more bits than the sets do in members."""
-    bits = np.bincount((hashes & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    bits = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -169,11 +169,6 @@ def may_link(n: Column, sketch: list[Column], n2: Column, sketch2: list[Column])
     return (WHOLE * F.least(n, n2) >= PART * F.greatest(n, n2)) & (apart * (WHOLE + PART) <= (WHOLE - PART) * (n + n2))
 
 
-def release(spark: SparkSession) -> None:
-    """Let files of shuffles go that no step reads any more; Spark deletes them once its driver has looked for garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def linked(
     nodes: DataFrame, docs: DataFrame, size: int, sketch: list[Column], may: Callable[[Column, list[Column], Column, list[Column]], Column]
 ) -> DataFrame:
@@ -191,7 +186,6 @@ def linked(
     mine, other = ["n", *(f"s{i}" for i in range(len(sketch)))], ["n2", *(f"t{i}" for i in range(len(sketch)))]
     score = met.groupBy("node").agg(F.sum("members").alias("score"))
     sketched = cut(nodes.join(score, "node").select("node", "n", *[x.alias(f"s{i}") for i, x in enumerate(sketch)], "score"))
-    release(docs.sparkSession)
     met = cut(met.select("key", "node", "n").join(sketched.select("node", "score"), "node"))
     fits = may(F.col("n"), [F.col(c) for c in mine[1:]], F.col("n2"), [F.col(c) for c in other[1:]])
     alike = WHOLE * F.least("n", "n2") >= PART * F.greatest("n", "n2")
@@ -201,12 +195,10 @@ def linked(
         "key", F.col("p.node").alias("b"), F.col("p.n").alias("n2")
     )
     near = met.withColumnRenamed("node", "a").join(pivots, "key").where(alike & (F.col("a") != F.col("b"))).select("a", "b")
-    whole, all_mine, all_other = sketched.drop("score"), mine, other
-    near = near.repartition("a").dropDuplicates(["a", "b"]).join(whole.toDF("a", *mine), "a")
+    near = near.repartition("a").dropDuplicates(["a", "b"]).join(sketched.drop("score").toDF("a", *mine), "a")
     tested = cut(near.join(sketched.toDF("b", *other, "rank"), "b").where(fits).select("a", "b", "rank"))
     sets = wanted_sets(tested, nodes, docs, size, None)
     links = cut(confirmed(tested, sets))
-    release(docs.sparkSession)
 
     # Each member stands under the best that it is linked with, or the best that this one is linked with.
     above = links.groupBy("a").agg(F.max(F.struct("rank", "b"))["b"].alias("b"))
@@ -219,17 +211,13 @@ def linked(
         F.min("label").over(by_key).alias("low"), F.max("label").over(by_key).alias("high"),
     )
     open_ = cut(ruled.where("low < high").drop("low", "high"))
-    release(docs.sparkSession)
-    mine, other = mine[: CARRIED + 1], other[: CARRIED + 1]
-    first_fits = may(F.col("n"), [F.col(c) for c in mine[1:]], F.col("n2"), [F.col(c) for c in other[1:]])
-    plain = sketched.select("node", *mine)
+    plain = sketched.drop("score")
     left = open_.where("label != main").join(plain, "node").select("key", F.col("node").alias("a"), F.col("label").alias("own"), *mine)
     right = open_.select(F.col("key").alias("key2"), "node", "label").join(plain.toDF("node", *other), "node")
-    left_out = left.join(right, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("label")) & alike & first_fits)
+    left_out = left.join(right, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("label")) & alike & fits)
     fresh = left_out.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     both_ways = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    fresh = fresh.join(both_ways, ["a", "b"], "left_anti").join(whole.toDF("a", *all_mine), "a").join(whole.toDF("b", *all_other), "b")
-    fresh = cut(fresh.where(fits).select("a", "b"))
+    fresh = cut(fresh.join(both_ways, ["a", "b"], "left_anti"))
     sets = wanted_sets(fresh, nodes, docs, size, sets)
     return components(links.select("a", "b").unionByName(confirmed(fresh, sets)))
 
