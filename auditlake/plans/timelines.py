@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
-from auditlake.operators import graph as G, intervals as I, search as Q, symbols as S
+from auditlake.operators import frames as W, graph as G, intervals as I, search as Q, symbols as S
 from auditlake.plans.corpus import _CALLS, _EDGES, _SPANS, _entries, quote
+from auditlake.plans.evaluation import JUDGED, judged
 from auditlake.plans.registry import query
 
 _CHANGES = """ch AS (SELECT model_name, created_at AS valid_from, max(tokens_out) AS price FROM llm_log
@@ -91,3 +94,39 @@ _ENTRY_NAMES = rf"""en AS (SELECT DISTINCT coalesce(nullif(g[1], ''), nullif(g[2
 def c9_code(t):
     edges = Q.call_graph(S.call_table(t.code_files)).where("direction = 'calls'").selectExpr("function AS caller", "other AS callee")
     return G.entry_reach(edges, Q.entry_functions(t.code_files))
+
+
+@query(
+    "x3_trailing_hours",
+    """SELECT log_id, model_name, created_at, count(*) OVER w AS calls, CAST(sum(tokens_in) OVER w AS BIGINT) AS tokens, max(duration_ms) OVER w AS slowest
+      FROM llm_log WINDOW w AS (PARTITION BY model_name ORDER BY created_at RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)""",
+)
+def x3_trailing(t):
+    calls = t.llm_log.select("log_id", "model_name", "created_at", "tokens_in", "duration_ms")
+    aggs = {"calls": ("count", F.lit(1)), "tokens": ("sum", "tokens_in"), "slowest": ("max", "duration_ms")}
+    return W.range_frame(calls, ["model_name"], "created_at", timedelta(hours=6), 0, aggs).drop("tokens_in", "duration_ms")
+
+
+@query(
+    "a34_confidence_tiles",
+    f"""WITH {JUDGED}, n AS (SELECT *, ntile(10) OVER (PARTITION BY model_name ORDER BY confidence, result_id) AS tile FROM judged WHERE confidence IS NOT NULL)
+      SELECT model_name, tile, count(*) AS results, count(*) FILTER (correct) AS correct, min(confidence) AS lowest, max(confidence) AS highest FROM n GROUP BY ALL""",
+)
+def a34_tiles(t):
+    found = judged(t).where("confidence IS NOT NULL").select("model_name", "confidence", "result_id", "correct")
+    tiled = W.tiles(found, ["model_name"], ["confidence", "result_id"], 10)
+    return tiled.groupBy("model_name", "tile").agg(
+        F.count(F.lit(1)).alias("results"), F.count_if("correct").alias("correct"),
+        F.min("confidence").alias("lowest"), F.max("confidence").alias("highest"),
+    )
+
+
+@query(
+    "a32_case_difficulty_ranks",
+    f"""WITH {JUDGED}, m AS (SELECT case_id, verdict, count(*) FILTER (NOT correct) AS misses FROM judged GROUP BY ALL)
+      SELECT case_id, verdict, misses, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist
+      FROM m WINDOW w AS (PARTITION BY verdict ORDER BY misses DESC)""",
+)
+def a32_ranks(t):
+    misses = judged(t).groupBy("case_id", "verdict").agg(F.count_if(~F.col("correct")).alias("misses"))
+    return W.value_ranks(misses, ["verdict"], "misses", descending=True)
