@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +20,8 @@ from auditlake.llm.registry import query, table
 BOUNDARY = re.compile(r"(?<=[^ ])(?= )")
 #: Marks that are cut off the letter before them at the end of a word.
 ENDS = (",", ".")
-#: Longer units, such as texts without spaces, are cut every so many characters.
+#: Longer units, such as texts without spaces, are cut between characters that no piece joins; a part
+#: that is longer still has no such place, and is folded where its text is, not over the lattice.
 LONGEST_UNIT = 1024
 #: Text bytes of a block, whose documents and distinct units meet in one task; bytes that a packing task holds.
 BLOCK_BYTES, HELD = 8 << 20, 12 << 20
@@ -48,13 +50,28 @@ def vocabulary(path: str) -> tuple[tuple[tuple[str, int, float], ...], tuple[int
     return tuple(ordinary), tuple(byte_ids[b] for b in range(256))
 
 
-def units(text: str) -> list[str]:
+@lru_cache(maxsize=2)
+def joined(path: str) -> frozenset[str]:
+    """Every two characters that stand side by side in a piece."""
+    return frozenset(p[i : i + 2] for p, _, _ in vocabulary(path)[0] for i in range(len(p) - 1))
+
+
+def cut_apart(unit: str, pairs: frozenset[str]) -> list[str]:
+    """The unit cut wherever two characters meet that no piece joins: no merge and no piece crosses that."""
+    ends = [i + 1 for i in range(len(unit) - 1) if unit[i : i + 2] not in pairs]
+    return [unit[a:b] for a, b in zip([0, *ends], [*ends, len(unit)])]
+
+
+def units(text: str, pairs: frozenset[str]) -> list[str]:
     """The text behind a space, cut into units whose encodings are independent.
 
     Cuts lie before a space behind another character, around line feeds, and between a letter and
-    the comma or full stop that ends a word; ``vocabulary`` proves that no piece spans them.
+    the comma or full stop that ends a word; ``vocabulary`` proves that no piece spans them. Units that are
+    still long are cut between characters that stand side by side in none of the ``pairs`` of the pieces. A
+    literal U+2581 is a space, as the model has it.
     """
     out, lead = [], " "
+    text = text.replace("▁", " ")
     for line in text.split("\n"):
         if not lead:
             out.append("\n")
@@ -74,7 +91,7 @@ def units(text: str) -> list[str]:
                 del out[first]
         lead = ""
     if max(map(len, out)) > LONGEST_UNIT:
-        out = [u[i : i + LONGEST_UNIT] for u in out for i in range(0, len(u), LONGEST_UNIT)]
+        out = [part for u in out for part in (cut_apart(u, pairs) if len(u) > LONGEST_UNIT else (u,))]
     return out
 
 
@@ -246,6 +263,71 @@ def encode_units(words: DataFrame, path: str, fold: str = "viterbi") -> DataFram
     return spelled.select(*words.columns, F.when(F.array_contains(plain, UNKNOWN), mixed).otherwise(plain).alias("ids"))
 
 
+@lru_cache(maxsize=2)
+def by_piece(path: str) -> tuple[dict[str, tuple[int, float]], int, float]:
+    """Piece to (id, score), the longest piece's length, and the score of a character that is no piece."""
+    ordinary, _ = vocabulary(path)
+    return {p: (i, score) for p, i, score in ordinary}, max(len(p) for p, _, _ in ordinary), ranked(path)[1][0]
+
+
+def long_merges(unit: str, path: str) -> list[str]:
+    """The symbols that ``merges`` ends with, for a unit of any length: n log n by a heap of neighbours."""
+    known, longest, _ = by_piece(path)
+    ends = list(range(1, len(unit) + 1))  # end of the symbol that starts here; 0 where none does
+    left = list(range(-1, len(unit) - 1))
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(start: int) -> None:
+        middle = ends[start]
+        if middle < len(unit) and ends[middle] - start <= longest:
+            found = known.get(unit[start : ends[middle]])
+            if found:
+                heapq.heappush(heap, (-found[1], start, ends[middle]))
+
+    for start in range(len(unit)):
+        offer(start)
+    while heap:
+        _, start, end = heapq.heappop(heap)
+        middle = ends[start]
+        if not middle or middle >= end or ends[middle] != end:
+            continue  # one of the two was merged otherwise
+        ends[start], ends[middle] = end, 0
+        if end < len(unit):
+            left[end] = start
+            offer(start)
+        if left[start] >= 0:
+            offer(left[start])
+    return [unit[s:e] for s, e in enumerate(ends) if e]
+
+
+def long_viterbi(unit: str, path: str) -> list[str]:
+    """The pieces of ``viterbi``'s best path, for a unit of any length."""
+    known, longest, unknown = by_piece(path)
+    best, back = [0.0], [0]
+    for end in range(1, len(unit) + 1):
+        options = [
+            (best[s] + known[unit[s:end]][1] if unit[s:end] in known else best[s] + unknown, s)
+            for s in range(max(0, end - longest), end) if end - s == 1 or unit[s:end] in known
+        ]
+        score, start = max(options)
+        best.append(score)
+        back.append(start)
+    out, at = [], len(unit)
+    while at:
+        out.append(unit[back[at] : at])
+        at = back[at]
+    return out[::-1]
+
+
+LONG_FOLDS = {"viterbi": long_viterbi, "merges": long_merges}
+
+
+def long_ids(unit: str, path: str, fold: str) -> list[int]:
+    """Ids of a unit that is too long for the lattice's packed edges."""
+    known, byte_ids = by_piece(path)[0], vocabulary(path)[1]
+    return [i for p in LONG_FOLDS[fold](unit, path) for i in ((known[p][0],) if p in known else (byte_ids[b] for b in p.encode()))]
+
+
 @lru_cache(maxsize=2)
 def piece_bytes(path: str) -> dict[int, bytes]:
     ordinary, byte_ids = vocabulary(path)
@@ -266,9 +348,10 @@ def encode_documents(docs: DataFrame, path: str, fold: str = "viterbi", block_by
     the compressed text once and the distinct units of a block twice, never single occurrences.
 
     ``fold`` "viterbi" gives the segmentation with the best sum of scores, as unigram models mean it;
-    "merges" gives what a byte-pair model's library gives (units of over ``LONGEST_UNIT`` characters
-    without a space apart), which no sum of scores does. Both run over the same lattice. A null text is encoded as empty: no
-    pieces, decoded as an empty text. Null ids, repeated rows, an empty table and other columns
+    "merges" gives what a byte-pair model's library gives, which no sum of scores does. Both run over the same
+    lattice; only runs of over ``LONGEST_UNIT`` characters in which pieces join all neighbours are folded
+    in the task that holds their text. A null text is encoded as empty: no pieces, decoded as an empty text. A literal
+    U+2581 is encoded as the space that it is to the model, and so decoded as one. Null ids, repeated rows, an empty table and other columns
     are no special cases.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -281,11 +364,12 @@ def encode_documents(docs: DataFrame, path: str, fold: str = "viterbi", block_by
 
     def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[str]] = {}
+        pairs = joined(path)
         for batch in batches:
             for b, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
                 own = seen.setdefault(b, set())
                 for text in unpack(blob).column("text").to_pylist():
-                    own.update(units(text) if text else ())
+                    own.update(u for u in (units(text, pairs) if text else ()) if len(u) <= LONGEST_UNIT)
         pa.default_memory_pool().release_unused()
         for b, found in seen.items():
             listed = list(found)
@@ -296,13 +380,20 @@ def encode_documents(docs: DataFrame, path: str, fold: str = "viterbi", block_by
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One shuffle by unit; the blocks of a unit go with it, in lists of at most 1024.
     group = F.expr("block div 1024").alias("part")
-    pairs = placed.mapInArrow(distinct_units, "block int, unit string").repartition(parts, "unit")
-    grouped = pairs.groupBy("unit", group).agg(F.collect_list("block").alias("blocks"))
+    uses = placed.mapInArrow(distinct_units, "block int, unit string").repartition(parts, "unit")
+    grouped = uses.groupBy("unit", group).agg(F.collect_list("block").alias("blocks"))
     met = encode_units(grouped, path, fold).select(F.explode("blocks").alias("block"), "unit", "ids")
     known = met.mapInArrow(pack_by_block, "block int, blob binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         packed: dict[str, bytes] = {}
+        pairs = joined(path)
+
+        def of(unit: str) -> bytes:
+            if len(unit) > LONGEST_UNIT and unit not in packed:
+                packed[unit] = np.array(long_ids(unit, path, fold), np.int32).tobytes()
+            return packed[unit]
+
         for blob in right.column("blob"):
             table_ = unpack(blob)
             ids = table_.column("ids").combine_chunks()
@@ -314,7 +405,7 @@ def encode_documents(docs: DataFrame, path: str, fold: str = "viterbi", block_by
             table_ = unpack(blob)
             counts, ids, texts = [], [], []
             for text in table_.column("text").to_pylist():
-                own = np.frombuffer(b"".join(map(packed.__getitem__, units(text))) if text else b"", np.int32)
+                own = np.frombuffer(b"".join(map(of, units(text, pairs))) if text else b"", np.int32)
                 counts.append(len(own))
                 ids.append(own)
                 texts.append(decode(own.tolist(), path) if text else "")
