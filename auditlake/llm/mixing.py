@@ -15,6 +15,8 @@ WEIGHTS, MOST = (5, 2, 1), 3
 BLOCK, SHARD = 64, 1_000_000
 #: Divisors tried in one pass over the cells.
 TRIES = 48
+#: Equal rows that are unfolded at a time.
+COPIES = 4096
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -109,20 +111,21 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard: int = SHARD)
     words need; blocks of ``block`` words are apportioned to sources by their targets, then to the
     shards of each source; inside a shard rows lie in seeded order and the chosen blocks say how
     many words of each row the mix takes, at most three times its size. Null texts have size 0 and
-    take nothing; a null source is a source of its own, last in order; null ids and repeated rows
-    are ordinary rows (equal rows may swap what they take). Empty input gives no rows.
+    take nothing; a null source is a source of its own, last in order. The hash is of id and text, so rows without an
+    id, or with one id, lie in as many shards as others. Rows equal in all of this are one row with a count until the end, where
+    they lie side by side (equal rows may swap what they take). ``draw`` is the hash. Empty input gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sized = cut(
         docs.select(
             F.col("doc_id").cast(kind), F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("_draw"),
-        )
-    )
-    words = sized.agg(F.sum("size")).first()[0] or 0
+            F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string")).alias("_draw"),
+        ).groupBy("doc_id", "source", "size", "_draw").agg(F.count(F.lit(1)).alias("_times"))
+    ).withColumn("_words", F.col("size") * F.col("_times"))
+    words = sized.agg(F.sum("_words")).first()[0] or 0
     shards = max(1, -(-words // shard))
     placed = sized.withColumn("_shard", F.pmod("_draw", F.lit(shards)))
-    cells = cut(placed.groupBy("source", "_shard").agg(F.sum("size").alias("_cell")))
+    cells = cut(placed.groupBy("source", "_shard").agg(F.sum("_words").alias("_cell")))
     sources = cells.groupBy("source").agg(F.sum("_cell").alias("source_size"))
     aimed = targets(sources)
     dealt = cut(sainte_lague(cut(aimed), "target", round(words / block), ["source"]))
@@ -134,15 +137,20 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, shard: int = SHARD)
     quotas = shard_quotas(shares, block)
     at = [F.col("d.source").eqNullSafe(F.col("q.source")), F.col("d._shard") == F.col("q._shard")]
     laid = placed.alias("d").join(quotas.alias("q"), at).select(
-        "d.doc_id", "d.source", "d._shard", "d._draw", "d.size", "q.source_size", "q.target", "q._cell", "q.quota"
+        "d.doc_id", "d.source", "d._shard", "d._draw", "d.size", "d._times", "d._words", "q.source_size", "q.target", "q._cell", "q.quota"
     )
     line = Window.partitionBy("source", "_shard").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    ends = laid.withColumn("_end", F.sum("size").over(line))
+    starts = laid.withColumn("_from", F.sum("_words").over(line) - F.col("_words"))
+    # Copies are numbered in parts, so that no array of all of them is made.
+    parts = starts.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_times - 1) div {COPIES})")))
+    copies = parts.withColumn("_copy", F.explode(F.expr(f"sequence(_part * {COPIES} + 1, least((_part + 1) * {COPIES}, _times))")))
+    ends = copies.withColumn("_end", F.col("_from") + F.col("size") * F.col("_copy"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), F.lit(1 << 20)) / float(1 << 20)
     until = lambda x: taken_before(x, F.col("_cell"), F.col("quota"), draw, block)
     taken = until(F.col("_end")) - until(F.col("_end") - F.col("size"))
     return ends.select(
-        "doc_id", "source", "size", "source_size", "target", F.least(taken, MOST * F.col("size")).cast("bigint").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", F.least(taken, MOST * F.col("size")).cast("bigint").alias("taken"),
+        F.col("_draw").alias("draw"),
     )
 
 
@@ -157,9 +165,9 @@ def whole_copies(mixed: DataFrame, seed: int = 7, shard: int = SHARD) -> DataFra
     rows = cut(mixed)
     shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // shard))
     size = F.greatest("size", F.lit(1))
-    split = rows.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
+    split = rows.withColumn("_shard", F.pmod("draw", F.lit(shards)))
     split = split.withColumn("_chance", (F.col("taken") % size) / size)
-    line = Window.partitionBy("source", "_shard").orderBy("size", F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "taken")
+    line = Window.partitionBy("source", "_shard").orderBy("size", F.xxhash64(F.lit(seed + 1), "draw"), "doc_id", "taken")
     start = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), F.lit(1 << 20)) / float(1 << 20)
     until = lambda last: start + F.coalesce(F.sum("_chance").over(line.rowsBetween(Window.unboundedPreceding, last)), F.lit(0.0))
     times = F.floor(F.col("taken") / size) + F.floor(until(0)) - F.floor(until(-1))

@@ -67,3 +67,23 @@ def test_mix(spark, make_docs):
         assert sorted(map(repr, got)) == sorted(map(repr, again))
     assert mix(make_docs(rows).limit(0)).collect() == []
     assert [r.taken for r in mix(make_docs([(1, None, None, None), (2, "", "en", "a")])).collect()] == [0, 0]
+
+
+def test_rows_without_an_id_and_equal_rows_are_spread(spark, make_docs, monkeypatch):
+    rng = random.Random(8)
+    rows = [(None, " ".join(["w"] * rng.randint(1, 80)) + f" {i}", "en", "a") for i in range(400)]
+    rows += [(7, f"one id {i}", "en", "b") for i in range(200)] + [(i, "x y z", "en", "c") for i in range(200)] + [(None, "again and again", "en", "d")] * 300
+    docs = make_docs(rows)
+    monkeypatch.setattr("auditlake.llm.mixing.COPIES", 64)
+    got = mix(docs, shard=2_000).collect()
+    assert sorted((r.doc_id or -1, r.source, r.size) for r in got) == sorted((i or -1, s, len(t.split())) for i, t, _, s in rows)
+    assert len({r.draw for r in got if r.source in "ab"}) == 600
+    taken, target = defaultdict(int), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    shards = -(-sum(r.size for r in got) // 2_000)
+    assert all(abs(taken[s] - t) <= 64 * (2 + shards) for s, t in target.items())
+    again = mix(make_docs(rows[::-1]).repartition(7), shard=2_000).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
