@@ -6,10 +6,11 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import frames as W, graph as G, intervals as I, search as Q, symbols as S
+from auditlake.operators import frames as W, graph as G, intervals as I, search as Q, sketches as K, symbols as S
 from auditlake.plans.corpus import _CALLS, _EDGES, _SPANS, _entries, quote
 from auditlake.plans.evaluation import JUDGED, judged
 from auditlake.plans.registry import query
+from auditlake.session import scratch_path
 
 _CHANGES = """ch AS (SELECT model_name, created_at AS valid_from, max(tokens_out) AS price FROM llm_log
       WHERE phase = 'scan' AND log_id % 3 = 0 GROUP BY ALL)"""
@@ -130,3 +131,55 @@ def a34_tiles(t):
 def a32_ranks(t):
     misses = judged(t).groupBy("case_id", "verdict").agg(F.count_if(~F.col("correct")).alias("misses"))
     return W.value_ranks(misses, ["verdict"], "misses", descending=True)
+
+
+def _stored_sketch(t, sketch, label):
+    """The sketch as the table that an hourly job keeps, read back."""
+    path = scratch_path(t.spark, label)
+    sketch.write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+_GROWTH = K._growth(K.ACCURACY)
+
+
+@query(
+    "a25_latency_quantiles",
+    f"""WITH b AS (SELECT model_name, phase, CASE WHEN duration_ms > 0 THEN CAST(ceil(ln(duration_ms) / ln({_GROWTH!r})) AS INT) END AS bucket, count(*) AS n
+        FROM llm_log WHERE duration_ms IS NOT NULL GROUP BY ALL),
+      u AS (SELECT *, sum(n) OVER (PARTITION BY model_name, phase ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY model_name, phase) AS total,
+        CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({_GROWTH!r}, bucket) / ({_GROWTH!r} + 1) END AS middle FROM b)
+      SELECT model_name, phase, CAST(sum(n) AS BIGINT) AS calls, round(min(middle) FILTER (upto >= ceil(0.5 * total)), 3) AS p50,
+        round(min(middle) FILTER (upto >= ceil(0.95 * total)), 3) AS p95 FROM u GROUP BY ALL""",
+)
+def a25_quantiles(t):
+    sketch = _stored_sketch(t, K.quantile_sketch(t.llm_log, ["model_name", "phase"], "created_at", "duration_ms"), "latency")
+    found = K.quantiles(sketch, ["model_name", "phase"], {"p50": 0.5, "p95": 0.95})
+    return found.select("model_name", "phase", F.col("n").alias("calls"), F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"))
+
+
+_TEXT_SLOT = "CAST(concat('0x', substr(md5(concat(r, ':', error_message)), 1, 8)) AS BIGINT) % 64"
+
+
+@query(
+    "a23_error_frequencies",
+    f"""WITH e AS (SELECT model_name, error_message, count(*) AS n FROM errors GROUP BY ALL),
+      p AS (SELECT *, {_TEXT_SLOT} AS slot FROM (SELECT e.*, unnest(range(0, 4)) AS r FROM e)),
+      s AS (SELECT model_name, r, slot, sum(n) AS n FROM p GROUP BY ALL)
+      SELECT p.model_name, error_message, CAST(min(s.n) AS BIGINT) AS estimate FROM p JOIN s USING (model_name, r, slot) GROUP BY ALL""",
+)
+def a23_frequencies(t):
+    sketch = _stored_sketch(t, K.frequency_sketch(t.errors, ["model_name"], "created_at", "error_message", 4, 64), "errors")
+    return K.frequencies(sketch, t.errors, ["model_name"], "error_message", 4, 64)
+
+
+@query(
+    "a28_distinct_sizes",
+    """SELECT model_name, count(DISTINCT tokens_in) AS sizes, true AS close FROM llm_log GROUP BY model_name""",
+)
+def a28_distinct(t):
+    """Prompt sizes a model met: the united sketches lie within a twentieth of the exact count."""
+    sketch = _stored_sketch(t, K.distinct_sketch(t.llm_log, ["model_name"], "created_at", "tokens_in"), "sizes")
+    exact = t.llm_log.groupBy("model_name").agg(F.count_distinct("tokens_in").alias("sizes"))
+    both = exact.join(K.distinct_counts(sketch, ["model_name"], "about"), "model_name")
+    return both.select("model_name", "sizes", (F.abs(F.col("about") - F.col("sizes")) <= F.greatest(F.lit(1.0), F.col("sizes") / 20)).alias("close"))
