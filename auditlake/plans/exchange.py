@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import sql_functions
 from auditlake.operators import extraction as E, joins as J, models as M, predicates as P, tuning as T
-from auditlake.plans.filters import _RAW_SEV, MALICIOUS_SQL, SEV_SQL, rank_sql
+from auditlake.plans.filters import _RAW_SEV, DECISION_SQL, MALICIOUS_SQL, SEV_SQL, rank_sql
 from auditlake.plans.registry import query
 from auditlake.plans.relations import _LOWER_LANG, _REVIEWS, _STREAK
 from auditlake.plans.views import VIEWS
@@ -313,3 +313,18 @@ def e5(t):
         "classify_error(if(o_custkey % 2 = 0, 'it timed out', 'odd')) AS error_type",
         "vote_correct('FP', if(o_custkey % 3 = 0, 'REAL', 'WEAKNESS')) AS correct",
     )
+
+
+@query("e5_sql_vote_decision", f"SELECT vote_id, {DECISION_SQL} AS decision FROM (SELECT vote_id, text AS v FROM vote_texts)")
+def e5_votes(t):
+    sql_functions.register(t.spark)
+    return t.vote_texts.selectExpr("vote_id", "vote_decision(text) AS decision")
+
+
+@query(
+    "e5_sql_malicious",
+    f"SELECT finding_id, len({MALICIOUS_SQL}) > 0 AS malicious FROM (SELECT finding_id, lower(concat_ws(' ', title, snippet)) AS s FROM alert_findings)",
+)
+def e5_malicious(t):
+    sql_functions.register(t.spark)
+    return t.alert_findings.selectExpr("finding_id", "is_malicious(concat_ws(' ', title, snippet)) AS malicious")
