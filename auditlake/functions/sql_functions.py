@@ -1,4 +1,4 @@
-"""SQL-visible functions: scalar rules as SQL expressions, extraction jobs as table functions."""
+"""SQL-visible functions: scalar rules as SQL expressions (``table_functions`` has the extraction jobs)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 from auditlake.functions import scalars as S
 from auditlake.functions import text as X
-from auditlake.operators import extraction as E
 from auditlake.operators import tuning as T
 
 
@@ -68,9 +67,3 @@ def register(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(args)}) RETURNS {result} RETURN {body}")
         names.append(name)
     return names
-
-
-def register_views(spark: SparkSession, responses, vote_responses) -> None:
-    """Extraction jobs under SQL names, over the given answers."""
-    E.extract_drafts(responses).createOrReplaceTempView("extracted_drafts")
-    E.extract_votes(vote_responses).createOrReplaceTempView("extracted_votes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditlake.functions import table_functions
 from auditlake.operators import extraction as E
 from auditlake.plans.filters import DECISION_SQL, quote
 from auditlake.plans.registry import query
@@ -77,16 +78,22 @@ def _answers(t):
     return t.responses.select("response_id", "text").unionByName(t.talk)
 
 
-@query(
-    "t1_draft_extraction",
-    f"""WITH {DRAFTS_SQL}
+_T1_SQL = f"""WITH {DRAFTS_SQL}
     SELECT f.response_id, none_phrase, CASE WHEN none_phrase THEN 'none' WHEN draft_no IS NOT NULL THEN 'parsed' ELSE 'failed' END AS parse_status,
-      draft_no, title, type, severity, line, snippet, reason FROM flagged f LEFT JOIN numbered d USING (response_id)""",
-)
+      draft_no, title, type, severity, line, snippet, reason FROM flagged f LEFT JOIN numbered d USING (response_id)"""
+
+
+@query("t1_draft_extraction", _T1_SQL)
 def t1(t):
     return E.extract_drafts(_answers(t))
 
 
+@query("t1_sql_table_function", _T1_SQL)
+def t1_sql(t):
+    table_functions.register(t.spark)
+    return t.spark.sql("SELECT * FROM extract_drafts(TABLE({answers}))", answers=_answers(t))
+
+
 @query(
     "f21_json_repair",
     f"""WITH r AS (SELECT response_id, CASE WHEN starts_with(text, '[') THEN text ELSE {_REPAIR(grab('text', E.JSON_ARRAY))} END AS arr FROM responses),
@@ -179,17 +186,25 @@ def t4(t):
     return E.parse_generic(t.vote_texts.select("vote_id", "text"), E.VOTE_FIELDS, ["vote"])
 
 
-@query(
-    "t5_vote_extraction",
+_T5_SQL = (
     rf"""WITH {PARSED_SQL} SELECT vote_id, {DECISION_SQL.replace('upper(v)', "upper(coalesce(vote, ''))")} AS decision,
       CAST(least(100, coalesce(try_cast(nullif(regexp_extract(confidence, '(\d+)', 1), '') AS BIGINT), 50)) AS INT) AS confidence,
       CASE WHEN format_detected = 'unknown' THEN 'Failed to parse response' ELSE coalesce(reasoning, '') END AS reasoning,
-      coalesce(attack_scenario, '') AS attack_scenario, vote IS NOT NULL AS parse_success, format_detected, vote IS NULL AS needs_cleanup FROM parsed""",
+      coalesce(attack_scenario, '') AS attack_scenario, vote IS NOT NULL AS parse_success, format_detected, vote IS NULL AS needs_cleanup FROM parsed"""
 )
+
+
+@query("t5_vote_extraction", _T5_SQL)
 def t5(t):
     return E.extract_votes(t.vote_texts.select("vote_id", "text"))
 
 
+@query("t5_sql_table_function", _T5_SQL)
+def t5_sql(t):
+    table_functions.register(t.spark)
+    return t.spark.sql("SELECT * FROM extract_votes(TABLE({answers}))", answers=t.vote_texts.select("vote_id", "text"))
+
+
 _CAT = """CASE WHEN contains(l, 'vote:') OR contains(l, 'verdict:') THEN CASE WHEN contains(l, 'false_positive') OR contains(l, 'false positive') THEN 'FALSE_POSITIVE'
   WHEN contains(l, 'real') THEN 'REAL' WHEN contains(l, 'needs_verified') OR contains(l, 'needs verified') THEN 'NEEDS_VERIFIED' WHEN contains(l, 'weakness') THEN 'WEAKNESS' END END"""
 
