@@ -6,9 +6,10 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import assembly as A, chunking as C, context as X, graph as G, rules as R, search as Q, symbols as S
+from auditlake.operators import assembly as A, chunking as C, context as X, graph as G, postings as O, rules as R, search as Q, symbols as S
 from auditlake.plans.filters import LANG, quote
 from auditlake.plans.registry import query
+from auditlake.session import scratch_path
 
 SAFE_RULES = [r for r in R.DEFAULT_RULES if r.rule_id not in R.BACKREFERENCE_RULES]
 BACK_RULES = [r for r in R.DEFAULT_RULES if r.rule_id in R.BACKREFERENCE_RULES]
@@ -265,6 +266,20 @@ def c12(t):
     return Q.search_code(t.code_files, r"fn_[0-9]a\s*\(", limit=None)
 
 
+def _index(t):
+    return O.build_index(t.code_files.select("file_id", "content"), scratch_path(t.spark, "postings"))
+
+
+@query("c12_indexed_search", f"WITH {_CODE_LINES} SELECT file_id, CAST(n AS INT) AS line_number, line FROM cl WHERE regexp_matches(line, 'fn_[0-9]a\\s*\\(')")
+def c12_indexed(t):
+    return O.search_index(t.spark, _index(t), r"fn_[0-9]a\s*\(")
+
+
+@query("c12_indexed_references", f"WITH {_CODE_LINES} SELECT file_id, CAST(n AS INT) AS line_number, line FROM cl WHERE regexp_matches(line, '\\bfn_aa\\b')")
+def c12_indexed_refs(t):
+    return O.search_index(t.spark, _index(t), r"\bfn_aa\b")
+
+
 @query("c12_bounded_search", f"WITH {_CODE_LINES} SELECT file_id, CAST(n AS INT) AS line_number, line FROM cl WHERE regexp_matches(line, 'malloc') ORDER BY file_id, n LIMIT 50")
 def c12_bounded(t):
     return Q.search_code(t.code_files, "malloc")

@@ -16,7 +16,7 @@ from auditlake.plans.relations import _LOWER_LANG, _REVIEWS, _STREAK
 from auditlake.plans.views import VIEWS
 from auditlake.session import scratch_path
 from auditlake.sources import files as SF, sinks as SK
-from auditlake.streaming import jobs as SJ
+from auditlake.streaming import jobs as SJ, sessions as SS
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 LINES = (
@@ -192,6 +192,23 @@ def x3(t):
     return newest.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(
+    "x3_sessions",
+    """WITH n AS (SELECT *, CASE WHEN created_at < lag(created_at) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM llm_log
+        WINDOW w AS (PARTITION BY model_name ORDER BY created_at)),
+      s AS (SELECT *, sum(first) OVER (PARTITION BY model_name ORDER BY created_at) AS no FROM n)
+    SELECT model_name, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_seen,
+      count(*) AS calls, max(status) AS highest FROM s GROUP BY model_name, no""",
+)
+def x3_sessions(t):
+    """Runs of requests of a model without a break of half an hour; rows behind the watermark are in the side table."""
+    log = _stream(t, "llm_log", EVENTS).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    measures = {"calls": ("count", "*"), "highest": ("max", "status")}
+    state = SS.session_job(log, ["model_name"], "created_at", "30 minutes", "1 day", measures, scratch_path(t.spark, "sessions"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return SS.stored_sessions(t.spark, state).select("model_name", shown("session_start"), shown("last_seen"), "calls", "highest")
+
+
 @query("x4_pause_signals", f"WITH {_STREAK} SELECT model_name, log_id, streak FROM st WHERE streak = 5")
 def x4(t):
     log = _stream(t, "llm_log", EVENTS).select("log_id", "model_name", "created_at", "parse_success")
