@@ -193,13 +193,14 @@ def features_of(rows: DataFrame, extra: str = "") -> DataFrame:
             out = []
             for row in batch.select(["payload", "manifest", "own", "parts"]).to_pylist():
                 data = rebuild(row["manifest"], row["own"], {p["seq"]: p["bytes"] for p in row["parts"] or []})
-                digest = hashlib.sha256(data)
+                digest, form = hashlib.sha256(data), hashlib.sha256(row["manifest"])
+                form.update(data)  # the stored form: the chunk list, then its chunks in order
                 if digest.digest() != row["payload"]:
                     raise ValueError("a payload differs from what was written")
                 samples = np.frombuffer(data, np.uint8)
                 counts = np.bincount(samples, minlength=256)
                 feature = f"chunks={(len(row['manifest']) - 12) // 36};sum={int(samples.sum(dtype=np.int64))};values={int((counts > 0).sum())};mode={int(counts.argmax())}"
-                out.append((row["payload"], len(data), digest.hexdigest(), zlib.crc32(data[-32:]), len(row["manifest"]), hashlib.sha256(row["manifest"]).hexdigest(), feature))
+                out.append((row["payload"], len(data), digest.hexdigest(), zlib.crc32(data[-32:]), len(row["manifest"]) + len(data), form.hexdigest(), feature))
             columns = list(zip(*out)) if out else [[]] * 7
             kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = [c.split()[0] for c in FEATURES.split(", ")]
@@ -213,23 +214,27 @@ def features_of(rows: DataFrame, extra: str = "") -> DataFrame:
 def read_media(spark, path: str) -> DataFrame:
     """doc_id, n_bytes and the features of every stored payload, rebuilt from its chunk list.
 
-    Payloads without shared chunks are rebuilt where they are read. The others are rebuilt once a
-    distinct payload: their chunk lists meet the chunk table by digest, the chunks meet their list
-    by payload, and the copies get the result by payload. A hot digest or payload is a row on one
-    side, so an adaptive skew join splits the other.
+    Payloads without shared chunks are rebuilt where they are read. Of the others, each row's own stored
+    bytes (chunk list, own chunks, shared places, digest) are read and hashed, and rows of equal bytes
+    are rebuilt once: their chunk lists meet the chunk table by digest, the chunks meet their list
+    by that hash, and the copies get the result by it. A damaged copy has a hash of its own, so it is
+    rebuilt by itself and fails. A hot digest or hash is a row on one side, so an adaptive skew join
+    splits the other. ``media_bytes`` and ``media_sha256`` are of the chunk list and its chunks.
     """
     media, chunks = spark.read.parquet(f"{path}/media"), spark.read.parquet(f"{path}/chunks")
     kind = media.schema["doc_id"].dataType.simpleString()
     empty = F.array().cast("array<struct<seq int, bytes binary>>")
     single = media.where(F.size("shared") == 0).withColumn("parts", empty)
-    mixed = media.where(F.size("shared") > 0)
-    once = mixed.select("payload", "manifest", "own", "shared").dropDuplicates(["payload"])
-    wanted = once.select("payload", F.explode("shared").alias("c")).select("payload", "c.seq", "c.digest")
-    parts = wanted.join(chunks, "digest").groupBy("payload").agg(F.collect_list(F.struct("seq", "bytes")).alias("parts"))
-    rebuilt = features_of(once.drop("shared").join(parts, "payload"))
+    places = F.hex(F.xxhash64("shared"))
+    stored = F.concat_ws(":", F.hex("payload"), F.sha2("manifest", 256), F.sha2("own", 256), places)
+    mixed = media.where(F.size("shared") > 0).withColumn("stored", stored)
+    once = mixed.select("stored", "payload", "manifest", "own", "shared").dropDuplicates(["stored"])
+    wanted = once.select("stored", F.explode("shared").alias("c")).select("stored", "c.seq", "c.digest")
+    parts = wanted.join(chunks, "digest").groupBy("stored").agg(F.collect_list(F.struct("seq", "bytes")).alias("parts"))
+    rebuilt = features_of(once.drop("shared").join(parts, "stored"), "stored string")
     names = [c.split()[0] for c in FEATURES.split(", ")]
     ours = features_of(single.drop("shared"), f"doc_id {kind}, n_bytes bigint").select("doc_id", "n_bytes", *names)
-    theirs = mixed.select("doc_id", "n_bytes", "payload").join(rebuilt, "payload", "left").select("doc_id", "n_bytes", *names)
+    theirs = mixed.select("doc_id", "n_bytes", "stored").join(rebuilt, "stored", "left").select("doc_id", "n_bytes", *names)
     # A payload that no chunks were found for fails the job and is not left out.
     proven = theirs.withColumn("payload_sha256", F.coalesce("payload_sha256", F.raise_error(F.lit("a payload was not rebuilt"))))
     return ours.unionByName(proven).drop("payload")
