@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from auditlake.functions import scalars as S
 from auditlake.functions import text as X
@@ -215,12 +216,28 @@ def resolve_sources(scans: DataFrame) -> DataFrame:
 
 
 def matching_subscriptions(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Enabled subscriptions to each alert's event; findings must reach the minimum severity."""
-    wants = subscriptions.where("enabled").select(
-        "webhook_id", "min_severity", F.explode(F.array_distinct("events")).alias("event")
+    """Enabled subscriptions to each alert's event; findings must reach the minimum severity.
+
+    A subscription to findings is unfolded to the ranks that it takes, so alerts meet subscriptions by
+    event and rank, and no pair is made that is not returned. There are few such keys: alerts carry a salt, and each
+    subscription goes to every salt (its rows are those of the table times at most five ranks and the
+    salts). Null or unknown events match nothing; repeated alerts and subscriptions are kept.
+    """
+    salts = int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = max(S.SEVERITY_RANK.values())
+    finding = F.col("event") == "finding"
+    ranks = F.when(finding, F.sequence(S.severity_rank("min_severity"), F.lit(top))).otherwise(F.array(F.lit(-1)))
+    wants = (
+        subscriptions.where("enabled")
+        .select("webhook_id", "min_severity", F.explode(F.array_distinct("events")).alias("event"))
+        .withColumn("_rank", F.explode(ranks))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    plain = [f.name for f in alerts.schema.fields if not isinstance(f.dataType, MapType)]
+    keyed = alerts.withColumn("_rank", F.when(finding, S.severity_rank("severity")).otherwise(-1)).withColumn(
+        "_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
     )
-    reached = (F.col("event") != "finding") | P.meets_threshold("severity", "min_severity")
-    return alerts.join(wants, "event").where(reached)
+    return keyed.join(wants, ["event", "_rank", "_salt"]).drop("_rank", "_salt")
 
 
 def _trigrams(text: Column) -> Column:

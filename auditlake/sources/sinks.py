@@ -69,8 +69,14 @@ def sign(secret: str) -> Callable[[Column | str], Column]:
     return signed
 
 
-def alert_payloads(findings: DataFrame, subscriptions: DataFrame, secret: str) -> DataFrame:
-    """One signed delivery row per finding and matching subscription."""
+def alert_payloads(findings: DataFrame, subscriptions: DataFrame, secret: str, run: str = "") -> DataFrame:
+    """One signed delivery row per finding and matching subscription.
+
+    The payload names a ``delivery_id`` made from ``run``, webhook, event and finding: a task that is repeated
+    sends the same id again, another run sends a new one.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("webhook_id", "event", "scan_id", "finding_id")]
+    delivery = F.sha2(F.concat_ws(":", F.lit(run), *parts), 256)
     flagged = findings.withColumn("indicators", X.malicious_categories("title", "snippet")).withColumn(
         "event", F.lit("finding")
     )
@@ -80,22 +86,23 @@ def alert_payloads(findings: DataFrame, subscriptions: DataFrame, secret: str) -
             F.struct("finding_id", "scan_id", "title", "severity").alias("finding"),
             (F.size("indicators") > 0).alias("is_malicious"),
             "indicators",
+            "delivery_id",
         )
     )
-    matched = matching_subscriptions(flagged, subscriptions)
+    matched = matching_subscriptions(flagged, subscriptions).withColumn("delivery_id", delivery)
     return matched.select(
-        "finding_id", "scan_id", "webhook_id", "event", (F.size("indicators") > 0).alias("is_malicious"), payload.alias("payload")
+        "delivery_id", "finding_id", "scan_id", "webhook_id", "event", (F.size("indicators") > 0).alias("is_malicious"), payload.alias("payload")
     ).withColumn("signature", sign(secret)("payload"))
 
 
 def deliver(payloads: DataFrame, transport: Callable[[str, str], int], path: str, mode: str = "append") -> None:
     """Hand payloads to ``transport(payload, signature) -> status code`` in tasks; record the outcome."""
-    schema = "finding_id bigint, scan_id bigint, webhook_id bigint, event string, status_code int, status string"
+    schema = "delivery_id string, finding_id bigint, scan_id bigint, webhook_id bigint, event string, status_code int, status string"
 
     def send(batches):
         for batch in batches:
             codes = [transport(p, s) for p, s in zip(batch["payload"], batch["signature"])]
-            out = batch[["finding_id", "scan_id", "webhook_id", "event"]].copy()
+            out = batch[["delivery_id", "finding_id", "scan_id", "webhook_id", "event"]].copy()
             out["status_code"] = codes
             out["status"] = ["delivered" if 200 <= c < 300 else "failed" for c in codes]
             yield out

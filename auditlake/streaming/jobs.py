@@ -181,7 +181,7 @@ def alerts(stream: DataFrame, subscriptions: DataFrame, secret: str, transport:
     out = f"{state_dir}/deliveries"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        deliver(alert_payloads(batch, subscriptions, secret), transport, f"{out}/batch_id={batch_id}", "overwrite")
+        deliver(alert_payloads(batch, subscriptions, secret, str(batch_id)), transport, f"{out}/batch_id={batch_id}", "overwrite")
 
     run_available(stream, each, state_dir)
     return out
