@@ -58,3 +58,18 @@ def test_bounds_of_a_call(spark):
         a=spark.createDataFrame([(1, "no issues"), (2, None), (3, "x")], "id int, text string"),
     )
     assert rows(joined) == [("none", 2)]
+
+
+def test_rows_pass_in_batches_of_rows(spark):
+    """A function that analyzes its input and takes Arrow builds a frame for every row: four times the time of a parse."""
+    TF.register(spark)
+    answers = spark.createDataFrame([(1, "VOTE: REAL")], "id int, text string")
+    for call in ("extract_drafts", "extract_votes"):
+        plan = spark.sql(f"SELECT * FROM {call}(TABLE({{a}}))", a=answers)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
+@pytest.mark.parametrize("names, unclosed", [(("thinking", "think"), False), (("thinking", "think", "reasoning", "reflection"), True)])
+def test_texts_without_a_tag_are_left_alone(names, unclosed):
+    assert TF._without_tags("a > b think>", names, unclosed) == "a > b think>"
+    assert TF._without_tags("a <THINK>b</THINK> c <think>d", names, unclosed).strip() == ("a  c" if unclosed else "a  c d")
