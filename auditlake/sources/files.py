@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 
@@ -77,26 +78,42 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
     return extract_archives(raw.where(F.lower("path").rlike(r"\.(zip|tar\.gz|tgz)$")))
 
 
+def _array_files(lines: DataFrame) -> list[str]:
+    """Paths of the files whose first mark is a bracket; the driver lists the files of a folder anyway."""
+    placed = lines.withColumn("no", F.monotonically_increasing_id()).where("line <> ''")  # lines of a block are read in order
+    first = placed.groupBy("path").agg(F.min_by(F.col("line").startswith("["), F.struct("start", "no")).alias("array"))
+    return [r.path for r in first.where("array").select("path").collect()]
+
+
 def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Result files, a JSON array (on any number of lines) or JSON lines per model.
 
     The model is the folder or file name. Elements that are no valid objects have null fields and
-    are left out; a folder that is missing or empty gives no rows. A result file is one row while
-    it is parsed.
+    are left out; a folder that is missing or empty gives no rows. Files of JSON lines are read by
+    blocks, a line a row; a file that is an array is one row while it is parsed.
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     row = f"struct<{','.join(part.strip().replace(' ', ':', 1) for part in schema.split(','))}>"
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], f"{schema}, model_name string")
-    name = F.regexp_extract("path", r"(?:model_name=([^/]+)/[^/]*|([^/]+?)(?:_results)?\.json)$", 0)
+    ending = F.substring_index("path", "/", -2)  # all that the pattern can match
+    name = F.regexp_extract(ending, r"(?:model_name=([^/]+)/[^/]*|([^/]+?)(?:_results)?\.json)$", 0)
     model = F.regexp_replace(F.regexp_replace(name, r"^model_name=([^/]+)/.*$", "$1"), r"(_results)?\.json$", "")
-    text = F.trim(F.col("content").cast("string"), F.lit(" \t\r\n"))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
-    parsed = F.when(text.startswith("["), F.from_json(text, f"array<{row}>")).otherwise(
-        F.transform(lines, lambda line: F.from_json(line, row))
+    blank = F.lit(" \t\r\n")
+    reader = lambda kind: spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))  # as a file listing has it
+    lines = reader("text").option("lineSep", "\n").load(root).select(
+        path.alias("path"), F.trim("value", blank).alias("line"), F.col("_metadata.file_block_start").alias("start")
     )
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
-    found = files.select(model.alias("model_name"), F.explode(parsed).alias("r"))
+    arrays = _array_files(lines)
+    if arrays:
+        lines = lines.where(~F.col("path").isin(arrays))
+    # A generator, so that a line is parsed once and not for every field that is read.
+    found = lines.where("line <> ''").select(model.alias("model_name"), F.explode(F.array(F.from_json("line", row))).alias("r"))
+    if arrays:
+        text = F.trim(F.col("content").cast("string"), blank)
+        files = reader("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in arrays])
+        found = found.unionByName(files.select(model.alias("model_name"), F.explode(F.from_json(text, f"array<{row}>")).alias("r")))
     any_field = F.coalesce(*[F.col(f"r.{f}").cast("string") for f in spark.createDataFrame([], schema).columns])
     return found.where(any_field.isNotNull()).select("r.*", "model_name")
 

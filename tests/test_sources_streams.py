@@ -127,3 +127,23 @@ def test_result_files(spark, tmp_path):
     got = {tuple(r) for r in SF.read_results(spark, str(tmp_path), "id bigint, vote string").collect()}
     assert got == {(1, "REAL", "gpt"), (2, None, "gpt"), (3, "x", "phi"), (4, None, "phi")}
     assert SF.read_results(spark, str(tmp_path / "none"), "id bigint, vote string").collect() == []
+
+
+def test_result_lines_are_read_by_blocks(spark, tmp_path):
+    """A file of JSON lines is cut into blocks and lines; files that begin with a bracket are arrays, odd names included."""
+    folder = tmp_path / "model_name=a b%3Ac+d"
+    folder.mkdir()
+    (folder / "part-[0] 1.json").write_text("\r\n \t\n" + "".join(f'{{"id": {i}, "vote": "v"}}\r\n' for i in range(5000)) + '[1]\n{"id": 5000}')
+    (tmp_path / "x{y}*_results.json").write_text('\n \n [{"id": 1},\n{"id": 2, "vote": "w"}]')
+    (tmp_path / "skipped.txt").write_text('{"id": 9}')
+    blocks = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        found = SF.read_results(spark, str(tmp_path), "id bigint, vote string")
+        got = list(map(tuple, found.collect()))
+        tasks = found.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", blocks)
+    want = [(i, "v", "a b%3Ac+d") for i in range(5000)] + [(5000, None, "a b%3Ac+d"), (1, None, "x{y}*"), (2, "w", "x{y}*")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert tasks > 5  # the one file of 5,001 lines alone
