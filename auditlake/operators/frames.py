@@ -1,4 +1,4 @@
-"""Window frames over groups of any size: RANGE frames by halo exchange, ranks from counts before, tiles."""
+"""Window frames over groups of any size: RANGE frames from running aggregates of blocks, ranks from counts before, tiles."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.operators.intervals import overlap_join
 from auditlake.operators.scale import RANGE, exact_row_number, offsets_before, ordered_ranges
 
 KEY = "_key"  # the keys as one struct, in which nulls are equal to each other
@@ -48,10 +47,10 @@ def range_frame(
     """``df`` with ``aggs`` over the rows of equal keys whose ``at`` lies in [at - before, at + after].
 
     ``aggs`` maps a name to (count, sum, min or max; a column or expression). Rows are first added up to
-    one a position, so a position that most rows share is one row. Positions are dealt to sampled ranges of (keys, at); a
-    position also goes to each other range that holds one whose frame it is in, found from the ranges' first and
-    last. Then each range has its frames whole, and rows take the frame of their position. A key of any size fills
-    many tasks; what is sent twice grows with the frame's width over a range's.
+    one a position, so a position that most rows share is one row. Positions are cut into blocks as long as a
+    frame, so a frame is the end of one block and the start of the next one, or a whole block. A position asks for both ends of its
+    frame; all ends are answered by running aggregates inside blocks, so the work does not grow with what a frame holds.
+    Positions and ends are dealt to sampled ranges of (keys, at), and blocks that lie in several ranges are carried across them.
     Null keys are equal to each other. Rows without a position frame each other, as in SQL. Rows may repeat;
     an empty table gives an empty one. Names of ``aggs`` that ``df`` has already are refused.
     """
@@ -66,26 +65,36 @@ def range_frame(
     )
     parts = {f"_m{i}": MERGED[kind] for i, (kind, _) in enumerate(aggs.values())}
     summed = measured.groupBy(KEY, "_at").agg(*[within(m).alias(m) for m, (within, _) in parts.items()])
-    ranged = ordered_ranges(summed.where("_at IS NOT NULL"), [KEY], ["_at"])
-    borders = ranged.groupBy(KEY, RANGE).agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
-    seen_from = borders.select(
-        KEY, F.col(RANGE).alias("_own"), (F.col("_low") - ahead).alias("_first"), (F.col("_high") + back).alias("_last")
+    # A position comes three times: as the start of its frame (_side 0), with its values (1) and as the end of its frame (2).
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("_side"), (F.col("_at") + d).alias("_place")) for k, d in enumerate((-back, 0, ahead))]))
+    placed = summed.where("_at IS NOT NULL").select(KEY, "_at", *parts, sides.alias("_s")).select(
+        KEY, "_at", "_s.*", *[F.when(F.col("_s._side") == 1, F.col(m)).alias(m) for m in parts]
     )
-    met = overlap_join(seen_from, borders.withColumnRenamed(RANGE, "_to"), [KEY], ("_first", "_last"), ("_low", "_high"))
-    others = met.where(F.col("_own") != F.col("_to")).groupBy(KEY, F.col("_own").alias(RANGE)).agg(
-        F.collect_list(F.struct("_to", "_low", "_high")).alias("_others")  # at most one a range
-    )
-    reached = F.filter(
-        F.coalesce("_others", F.array().cast("array<struct<_to:int,_low:bigint,_high:bigint>>")),
-        lambda o: (o["_high"] >= F.col("_at") - ahead) & (o["_low"] <= F.col("_at") + back),
-    )
-    places = F.concat(F.array(RANGE), F.transform(reached, lambda o: o["_to"]))
-    sent = ranged.join(others, [KEY, RANGE], "left").select(
-        KEY, "_at", *parts, F.col(RANGE).alias("_home"), F.explode(places).alias(RANGE)
-    )
-    frame = Window.partitionBy(KEY, RANGE).orderBy("_at").rangeBetween(-back, ahead)
-    framed = sent.select(KEY, "_at", RANGE, "_home", *[over(m).over(frame).alias(m) for m, (_, over) in parts.items()])
-    frames = framed.where(F.col(RANGE) == F.col("_home")).select(KEY, "_at", *parts).unionByName(summed.where("_at IS NULL"))
+    length = back + ahead + 1
+    block = F.expr(f"_place div {length}L - if(_place % {length}L < 0, 1, 0)")
+    ranged = ordered_ranges(placed.withColumn("_block", block), [KEY], ["_place", "_side", "_at"])
+    own = {m: over(m) for m, (_, over) in parts.items()}
+    totals = ranged.where("_side = 1").groupBy(KEY, "_block", RANGE).agg(*[c.alias(m) for m, c in own.items()])
+    spans = ranged.select(KEY, "_block", RANGE).distinct().join(totals, [KEY, "_block", RANGE], "left")
+    inside, across = Window.partitionBy(KEY, "_block", RANGE), Window.partitionBy(KEY, "_block")
+    upto = {  # running aggregates of a block, from its start up to an end of a frame and from a start of one to its end
+        2: (inside.orderBy("_place", "_side"), across.orderBy(RANGE)),
+        0: (inside.orderBy(F.desc("_place"), F.desc("_side")), across.orderBy(F.desc(RANGE))),
+    }
+    answers = None
+    for side, (near, far) in upto.items():
+        running = ranged.select("*", *[over(m).over(near.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_r{m}") for m, (_, over) in parts.items()])
+        running = running.where(F.col("_side") == side)
+        if side == 0:  # a frame that is a whole block is answered by its end
+            running = running.where(F.col("_place") % length != 0)
+        carried = spans.select(
+            KEY, "_block", RANGE, *[over(m).over(far.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c{m}") for m, (_, over) in parts.items()]
+        )
+        found = running.join(carried, [KEY, "_block", RANGE])
+        for label in ("_r", "_c"):
+            one = found.select(KEY, "_at", *[F.col(f"{label}{m}").alias(m) for m in parts])
+            answers = one if answers is None else answers.unionByName(one)
+    frames = answers.groupBy(KEY, "_at").agg(*[c.alias(m) for m, c in own.items()]).unionByName(summed.where("_at IS NULL"))
     held = F.struct("_at").alias("_held")  # null positions are equal to each other
     placed = rows.select(KEY, "_row", F.struct(_position(df, at, "_row.").alias("_at")).alias("_held"))
     return placed.join(frames.select(KEY, held, *parts), [KEY, "_held"]).select(

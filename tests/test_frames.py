@@ -80,3 +80,15 @@ def test_tiles(calls, n):
     assert rows_of(got) == rows_of(calls.dropDuplicates().select("*", F.ntile(n).over(w)))
     with pytest.raises(ValueError):
         tiles(calls, ["model"], ["id"], 0)
+
+
+def test_work_of_a_frame_does_not_grow_with_what_it_holds(spark):
+    """Frames are made of running aggregates; a sliding window would add up every frame anew."""
+    many = spark.range(3_000).selectExpr("id", "id % 2 AS model", "id - 1500 AS at", "cast(null AS bigint) AS none")
+    aggs = {"n": ("count", F.lit(1)), "s": ("sum", "id"), "low": ("min", "id"), "high": ("max", "id"), "e": ("sum", "none")}
+    got = range_frame(many, ["model"], "at", 700, 300, aggs)
+    assert "RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
+    frame = Window.partitionBy("model").orderBy("at").rangeBetween(-700, 300)
+    kinds = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    want = many.select("*", *[kinds[k](c).over(frame).alias(n) for n, (k, c) in aggs.items()])
+    assert rows_of(got) == rows_of(want)
