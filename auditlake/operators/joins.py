@@ -40,10 +40,16 @@ def enclosing_chunk(findings: DataFrame, chunks: DataFrame, bucket: int = 64) ->
 
 
 def draft_chain(drafts: DataFrame, chunks: DataFrame, files: DataFrame, scans: DataFrame) -> DataFrame:
-    """Drafts with chunk and file where there are any, and always their scan."""
+    """Drafts with chunk and file where there are any, and always their scan.
+
+    Chunks meet their files first: drafts without a chunk have no file to look up, and as one null key
+    they would all meet in one task.
+    """
+    placed = chunks.select("chunk_id", "start_line", "end_line", F.col("file_id").alias("chunk_file")).join(
+        files.select(F.col("file_id").alias("chunk_file"), F.col("file_path").alias("full_path")), "chunk_file", "left"
+    )
     return (
-        drafts.join(chunks.select("chunk_id", "start_line", "end_line", F.col("file_id").alias("chunk_file")), "chunk_id", "left")
-        .join(files.select(F.col("file_id").alias("chunk_file"), F.col("file_path").alias("full_path")), "chunk_file", "left")
+        drafts.join(placed, "chunk_id", "left")
         .join(scans.select("scan_id", "target"), "scan_id")
         .withColumn("path", F.coalesce("draft_path", "full_path", F.lit("unknown")))
     )
