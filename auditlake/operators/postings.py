@@ -26,17 +26,20 @@ def _bucket(gram: Column | str, buckets: int) -> Column:
 
 
 def _grams(files: DataFrame) -> DataFrame:
-    """Distinct (file_id, gram): blocks of a text are read apart, so a long text is many short lists."""
+    """Distinct (file_id, gram). The grams of a text of one block are distinct in its row, and where no other row has its
+    id there is nothing more to do; only longer texts and repeated ids are made distinct across rows. Blocks of a
+    text are read apart, so a long text is many short lists."""
     low = F.translate("content", UPPER, LOWER)
     starts = F.sequence(F.lit(0), F.floor(F.length("low") / BLOCK).cast("int"))
     block = F.substring("low", F.col("b") * BLOCK + 1, F.lit(BLOCK + 2))
     # A look-ahead gives the three characters at every place in one pass.
-    grams = F.array_distinct(F.regexp_extract_all("block", F.lit(r"(?=([^\n]{3}))"), F.lit(1)))
-    return (
-        files.where(F.col("content").isNotNull()).select("file_id", low.alias("low"))
-        .select("file_id", "low", F.explode(starts).alias("b")).select("file_id", block.alias("block"))
-        .select("file_id", F.explode(grams).alias("gram")).distinct()
-    )
+    listed = lambda text: F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?=([^\n]{3}))"), F.lit(1)))).alias("gram")
+    texts = files.where(F.col("content").isNotNull())
+    again = texts.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("file_id").alias("_id"), F.lit(True).alias("_again"))
+    told = texts.join(again, F.col("file_id").eqNullSafe(F.col("_id")), "left").withColumn("_single", F.col("_again").isNull() & (F.length("content") < BLOCK))
+    short = told.where("_single").select("file_id", listed(low))
+    blocks = told.where("not _single").select("file_id", low.alias("low")).select("file_id", "low", F.explode(starts).alias("b"))
+    return short.unionByName(blocks.select("file_id", block.alias("block")).select("file_id", listed("block")).distinct())
 
 
 def build_index(files: DataFrame, path: str, parts: int = 64, buckets: int = 64) -> str:

@@ -73,3 +73,17 @@ def test_grams_are_in_every_match(pattern):
         found = compiled.search(text)
         if found:
             assert all(g in found.group().lower() for g in grams)
+
+
+def test_single_short_texts_need_no_aggregate(spark, monkeypatch):
+    """Postings of repeated ids and long texts are made distinct across rows; those of others are so in their row."""
+    monkeypatch.setattr(O, "BLOCK", 8)
+    rows = [(1, "abcabc"), (2, "abcd"), (2, "bcde"), (None, "xyz"), (None, "xyzw"), (3, "abcabcabcabc\nabcabc"), (4, None), (5, ""), (6, "ABCD")]
+    files = spark.createDataFrame(rows, "file_id int, content string")
+    grams = O._grams(files)
+    got = [tuple(r) for r in grams.collect()]
+    low = [(i, t.lower()) for i, t in rows if t]
+    want = {(i, line[k : k + 3]) for i, t in low for line in t.split("\n") for k in range(len(line) - 2)}
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = grams._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")  # the distinct step is over one of the two sides
