@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
@@ -24,8 +25,8 @@ PERMUTATIONS, BANDS, ROWS = 36, 24, 3
 FOLD = 1 << 14
 #: Words (64 bits each) of a parity sketch.
 WORDS = 8
-#: Members that are checked against one copy of their pivot; bits of the largest set of nodes (32 MiB).
-SHARE, MOST_BITS = 512, 1 << 28
+#: Members that are checked against one copy of their pivot; bits of a set for each of its contents, and of the largest set (32 MiB).
+SHARE, SPARSE, MOST_BITS = 512, 64, 1 << 28
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -106,13 +107,30 @@ def _bit_set(contents: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
+def set_bits(count: int) -> int:
+    """Bits of a set of ``count`` contents: so many that few others seem to be in it, up to MOST_BITS."""
+    return 1 << min(max((SPARSE * count).bit_length(), 15), MOST_BITS.bit_length() - 1)
+
+
+def may_hold(contents: DataFrame, content: Column) -> Column:
+    """False only where ``content`` is not among the ``contents`` (content), told without a shuffle."""
+    bits = set_bits(contents.count())
+    shared = contents.sparkSession.sparkContext.broadcast(_bit_set(contents, bits))
+
+    @F.pandas_udf("boolean")
+    def held(own: pd.Series) -> pd.Series:
+        place = own.to_numpy() & (bits - 1)
+        return pd.Series((np.frombuffer(shared.value, np.uint8)[place >> 3] >> (place & 7) & 1).astype(bool))
+
+    return held(content)
+
+
 def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """node, hashes (the shingle set) of ``nodes`` (node, digest, content), read from the texts again.
 
     Only texts whose content may be wanted are cut into shingles; the join with ``nodes`` tells for sure.
     """
-    wanted = 8 * nodes.count()
-    bits = 1 << min(max(wanted.bit_length(), 15), MOST_BITS.bit_length() - 1)
+    bits = set_bits(nodes.count())
     shared = docs.sparkSession.sparkContext.broadcast(_bit_set(nodes.select("content"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,27 +153,31 @@ def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 
 def wanted_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, known: DataFrame | None) -> DataFrame:
-    """The shingle sets of all nodes in ``pairs``; those not yet ``known`` are read from the texts."""
+    """The shingle sets of all nodes in ``pairs``, and those ``known``; sets not yet known are read from the texts."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if known is None:
         return cut(sets_of(cut(nodes.select("node", "digest", "content").join(used, "node")), docs, size))
     fresh = cut(nodes.select("node", "digest", "content").join(used.join(known.select("node"), "node", "left_anti"), "node"))
-    again = known.join(used, "node", "left_semi")
-    return again if fresh.isEmpty() else again.unionByName(cut(sets_of(fresh, docs, size)))
+    return known if fresh.isEmpty() else known.unionByName(cut(sets_of(fresh, docs, size)))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets (node, hashes) are alike enough.
 
     Members ``a`` meet the set of their pivot ``b``, one row at a time; a pivot of many members is copied,
-    one copy for every SHARE of them.
+    one copy for every SHARE of them. Sets of nodes that are no member, or no pivot, are not shuffled to there.
     """
+
+    def sets_in(name: str) -> DataFrame:
+        used = pairs.select(F.xxhash64(name).alias("content")).distinct()
+        return sets.where(may_hold(used, F.xxhash64("node")))
+
     copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("copies"))
     members = (
         pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies"))).drop("copies")
-        .join(sets.withColumnRenamed("node", "a"), "a")
+        .join(sets_in("a").withColumnRenamed("node", "a"), "a")
     )
-    pivots = copies.join(sets.toDF("b", "others"), "b").select(
+    pivots = copies.join(sets_in("b").toDF("b", "others"), "b").select(
         "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"), "others"
     )
     both = F.size(F.array_intersect("hashes", "others"))
