@@ -60,9 +60,11 @@ def contracted(edges: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFra
 
 def _graph(edges: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls (u, v) that chains can take, entries (node) among the functions, and the entries' own rows."""
+    # The edges may be a whole pass over texts: they are made once, and small after that.
+    edges = cut(edges.select("caller", "callee").distinct())
     calls = edges.where("caller is not null and callee is not null and caller != callee").select(
         F.col("caller").alias("u"), F.col("callee").alias("v")
-    ).distinct()
+    )
     names = edges.select(F.col("caller").alias("node")).union(edges.select("callee")).where("node is not null").distinct()
     starts = cut(names.join(entries.select(F.col("function").alias("node")), "node", "left_semi"))
     # An entry ends its chain: nothing is followed into it.

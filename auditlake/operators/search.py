@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.scalars import lookup
+from auditlake.functions.scalars import contains_any, lookup
 from auditlake.operators.scale import first_n
 from auditlake.operators.symbols import NO_CALLEES, code_lines
 from auditlake.session import cut
@@ -20,6 +20,11 @@ ENTRY_PATTERNS = [
     (r"open\s*\(|fopen\s*\(|ifstream", "File input", "medium"),
     (r"getenv|os\.environ", "Environment variable", "medium"),
 ]
+# Words of which a line holds one wherever the pattern at the same place matches.
+ENTRY_WORDS = [
+    ["@app.route", "@router.", "(request"], ["@api_view", "@action"], ["socket.accept", "recv(", "recvfrom("],
+    ["main"], ["argv", "argparse"], ["open", "ifstream"], ["getenv", "os.environ"],
+]
 ENTRY_CALLS = [
     (r"recv\s*\(", "Network input (recv)"),
     (r"recvfrom\s*\(", "Network input (recvfrom)"),
@@ -58,8 +63,11 @@ def entry_points(files: DataFrame) -> DataFrame:
     hits = F.array_compact(
         F.array(
             *[
-                F.when(F.col("line").rlike(p), F.struct(F.lit(kind).alias("type"), F.lit(risk).alias("risk")))
-                for p, kind, risk in ENTRY_PATTERNS
+                F.when(
+                    contains_any(F.col("line"), words) & F.col("line").rlike(p),
+                    F.struct(F.lit(kind).alias("type"), F.lit(risk).alias("risk")),
+                )
+                for (p, kind, risk), words in zip(ENTRY_PATTERNS, ENTRY_WORDS)
             ]
         )
     )

@@ -42,9 +42,9 @@ def code_lines(files: DataFrame) -> DataFrame:
 
 
 def _definition(line: Column) -> Column:
-    """The name a line defines; null for other lines, most of which hold no parenthesis."""
+    """The name a line defines; null for other lines, most of which hold no parenthesis or start with a blank."""
     names = F.array(*[F.regexp_extract(line, p, 1) for p in DEFINITIONS])
-    return F.when(line.contains("("), F.get(F.filter(names, lambda n: n != ""), F.lit(0)))
+    return F.when(line.contains("(") & ~line.startswith(" ") & ~line.startswith("\t"), F.get(F.filter(names, lambda n: n != ""), F.lit(0)))
 
 
 def function_spans(files: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def call_table(files: DataFrame) -> DataFrame:
 
     Calls of a function inside itself, its definition line among them, drop out. Map-only.
     """
-    none = F.lit(None).cast("string")
+    none, none_called = F.lit(None).cast("string"), F.array().cast("array<string>")
     gaps = F.transform(
         F.sequence(F.lit(0), F.size("_spans")),
         lambda i: F.struct(
@@ -141,7 +141,7 @@ def call_table(files: DataFrame) -> DataFrame:
             _lines_of(
                 s,
                 lambda line, n: F.transform(
-                    F.regexp_extract_all(line, F.lit(CALL), F.lit(1)),
+                    F.when(line.contains("("), F.regexp_extract_all(line, F.lit(CALL), F.lit(1))).otherwise(none_called),
                     lambda c: F.struct(
                         s["name"].alias("function"), F.when(s["name"].isNotNull(), s["start"]).alias("start_line"),
                         n.alias("line_number"), c.alias("callee"),

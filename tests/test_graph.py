@@ -68,3 +68,18 @@ def test_a_deep_cycle_and_a_hub(spark):
     assert len(rows) == n + 3
     want = {(17 + k) % n: k + 1 for k in range(n)} | {n: 2, n + 1: 0, n + 2: 3}
     assert {r.function: r.depth for r in rows} == want
+
+
+def test_edges_are_made_once(spark):
+    """The edges may cost a pass over all texts."""
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "e")], "caller string, callee string")
+    starts = spark.createDataFrame([("a",)], "function string")
+    rows = entry_reach(edges.mapInArrow(make, edges.schema), starts).collect()
+    assert {(r.function, r.depth) for r in rows} == {("a", 0), ("b", 1), ("c", 1)} and made.value == 4
