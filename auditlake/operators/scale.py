@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from auditlake.session import cut
 
 RANGE = "_range"
+#: Rows that a task groups or sorts at a time.
+ROWS_A_TASK = 1 << 19
+
+
+def spread_by_rows(keys: list[str], *frames: DataFrame) -> list[DataFrame]:
+    """The frames dealt by ``keys`` to as many partitions as the rows of the longest ask for.
+
+    A later join or grouping on ``keys`` (and more) stays in these partitions, so what a task holds does not
+    grow with the input, whatever the number of shuffle partitions. For keys without hot groups.
+    """
+    most = max(frame.count() for frame in frames)
+    parts = max(-(-most // ROWS_A_TASK), frames[0].sparkSession.sparkContext.defaultParallelism)
+    return [frame.repartition(parts, *keys) for frame in frames]
 
 
 def ordered_ranges(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

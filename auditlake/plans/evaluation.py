@@ -22,6 +22,10 @@ def judged(t):
     return T.judged(t.tuning_results, t.tuning_cases)
 
 
+def judged_by_case(t):
+    return T.judged_by_case(t.tuning_results, t.tuning_cases)
+
+
 @query(
     "a21_chunk_stats",
     """SELECT scan_id, count(DISTINCT file_id) AS files_scanned, count(*) AS total_chunks, avg(length(content) // 4) AS avg_tokens,
@@ -252,12 +256,12 @@ def a32(t):
     SELECT *, CASE WHEN accuracy < 40 THEN 'HARD' WHEN accuracy < 70 THEN 'MEDIUM' ELSE 'EASY' END AS difficulty FROM a""",
 )
 def a32_cases(t):
-    return T.case_difficulty(judged(t))
+    return T.case_difficulty(judged_by_case(t))
 
 
 @query("a33_case_prompt_accuracy", f"WITH {JUDGED} {_acc('case_id, prompt_id')}")
 def a33(t):
-    return T.accuracy_by(judged(t), "case_id", "prompt_id")
+    return T.accuracy_by(judged_by_case(t), "case_id", "prompt_id")
 
 
 @query(
