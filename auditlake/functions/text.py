@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditlake.functions.scalars import col, contains_any, lookup
+from auditlake.functions.scalars import col, contains_any, let, lookup
 
 # Look-alike characters and their ASCII form, position by position.
 UNICODE_FROM = "：﹕—–−‐‑＊⁎∗“”‘’    "
@@ -186,6 +186,10 @@ PY_FUNCTION = r"def\s+(\w+)\s*\("
 C_FUNCTION = r"(?:void|int|char|bool|float|double|[\w\*]+)\s+(\w+)\s*\("
 
 
+# What \s stands for, and line ends beside it, before which a $ holds too.
+SPACES, LINE_ENDS = " \t\n\x0b\f\r", ["\u0085", "\u2028", "\u2029"]
+
+
 def strip_spaces(text: Column) -> Column:
     """Remove white space of every kind from both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -216,7 +220,8 @@ def strip_reasoning(text: Column | str) -> Column:
         out = F.regexp_replace(out, rf"(?is)<{tag}>.*?</{tag}>", "")
     for tag in ("thinking", "think"):
         out = F.regexp_replace(out, rf"(?is)<{tag}>.*$", "")
-    return F.regexp_replace(out, r"(?i)</?(?:thinking|think|reasoning|reflection)>", "")
+    out = F.regexp_replace(out, r"(?i)</?(?:thinking|think|reasoning|reflection)>", "")
+    return F.when(col(text).contains("<"), out).otherwise(col(text))
 
 
 def strip_outer_fence(text: Column | str) -> Column:
@@ -246,9 +251,14 @@ def normalize_unicode(text: Column | str) -> Column:
 
 
 def preprocess(text: Column | str) -> Column:
-    """Tags off, look-alikes to ASCII, fence off, line ends to newline."""
-    out = strip_first_last_fence(normalize_unicode(strip_reasoning(text)))
-    return strip_spaces(F.regexp_replace(out, r"\r\n?", "\n"))
+    """Tags off, look-alikes to ASCII, fence off, line ends to newline; no regex where a text shows that none changes it."""
+
+    def rest(t: Column) -> Column:
+        plain = (F.octet_length(t) == F.char_length(t)) & ~t.contains("```") & ~t.contains("\r")
+        out = strip_spaces(F.regexp_replace(strip_first_last_fence(normalize_unicode(t)), r"\r\n?", "\n"))
+        return F.when(plain, F.btrim(t, F.lit(SPACES))).otherwise(out)
+
+    return let(strip_reasoning(text), rest)
 
 
 def vote_decision(text: Column | str) -> Column:
