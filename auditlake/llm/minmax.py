@@ -11,6 +11,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from auditlake.llm.common import by_bytes, components
 from auditlake.llm.registry import query, table
@@ -25,6 +26,8 @@ PERMUTATIONS, BANDS, ROWS = 36, 24, 3
 FOLD = 1 << 14
 #: Words (64 bits each) of a parity sketch.
 WORDS = 8
+#: Members of a set from which on it has wide parities beside its sketch.
+WIDE = 512
 #: Members that are checked against one copy of their pivot; bits of a set for each of its contents, and of the largest set (32 MiB).
 SHARE, SPARSE, MOST_BITS = 512, 64, 1 << 28
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -69,8 +72,27 @@ def parity_sketch(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_parity(hashes: np.ndarray) -> np.ndarray:
+    """Parities of a set that is too large for the fixed sketches: about a bit for each member; none of a smaller set."""
+    return parity_sketch(hashes, 1 << (len(hashes) // 64).bit_length()) if len(hashes) > WIDE else np.empty(0, np.int64)
+
+
+def wide_apart(one: np.ndarray, two: np.ndarray) -> int:
+    """Differing bits of two wide parities, at most as many as their sets differ in members: the longer one is folded to the shorter."""
+    words = min(len(one), len(two))
+    if not words:
+        return 0
+    folded = [np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in (one, two)]
+    return int(np.bitwise_count((folded[0] ^ folded[1]).view(np.uint64)).sum())
+
+
+@F.pandas_udf(LongType())
+def wide_apart_of(one: pd.Series, two: pd.Series) -> pd.Series:
+    return pd.Series([wide_apart(np.asarray(x, np.int64), np.asarray(y, np.int64)) for x, y in zip(one, two)], dtype="int64")
+
+
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, digest (of the shingle set; null if empty), content (of the text), n, keys (a band each), sketch; map-only."""
+    """doc_id, digest (of the shingle set; null if empty), content (of the text), n, keys (a band each), sketch, wide; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
@@ -87,12 +109,13 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 [
                     batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     batch.column("content"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
+                    pa.array(map(wide_parity, sets), pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "digest", "content", "n", "keys", "sketch"],
+                names=["doc_id", "digest", "content", "n", "keys", "sketch", "wide"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, digest binary, content bigint, n bigint, keys array<bigint>, sketch array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, digest binary, content bigint, n bigint, keys array<bigint>, sketch array<bigint>, wide array<bigint>")
 
 
 def _bit_set(contents: DataFrame, bits: int) -> bytes:
@@ -112,9 +135,9 @@ def set_bits(count: int) -> int:
     return 1 << min(max((SPARSE * count).bit_length(), 15), MOST_BITS.bit_length() - 1)
 
 
-def may_hold(contents: DataFrame, content: Column) -> Column:
-    """False only where ``content`` is not among the ``contents`` (content), told without a shuffle."""
-    bits = set_bits(contents.count())
+def may_hold(contents: DataFrame, content: Column, count: int | None = None) -> Column:
+    """False only where ``content`` is not among the ``contents`` (content; ``count`` rows at most), told without a shuffle."""
+    bits = set_bits(contents.count() if count is None else count)
     shared = contents.sparkSession.sparkContext.broadcast(_bit_set(contents, bits))
 
     @F.pandas_udf("boolean")
@@ -125,6 +148,14 @@ def may_hold(contents: DataFrame, content: Column) -> Column:
     return held(content)
 
 
+def one_of_each(marked: DataFrame) -> DataFrame:
+    """A row of each digest; only rows whose digest may come again are shuffled."""
+    own = F.xxhash64("digest").alias("content")
+    again = cut(marked.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(own))
+    held = may_hold(again, own)
+    return marked.where(~held).unionByName(marked.where(held).dropDuplicates(["digest"]))
+
+
 def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """node, hashes (the shingle set) of ``nodes`` (node, digest, content), read from the texts again.
 
@@ -168,17 +199,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one copy for every SHARE of them. Sets of nodes that are no member, or no pivot, are not shuffled to there.
     """
 
+    count = pairs.count()
+
     def sets_in(name: str) -> DataFrame:
-        used = pairs.select(F.xxhash64(name).alias("content")).distinct()
-        return sets.where(may_hold(used, F.xxhash64("node")))
+        return sets.where(may_hold(pairs.select(F.xxhash64(name).alias("content")), F.xxhash64("node"), count))
 
-    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("copies"))
+    # At most a row for every SHARE pairs.
+    many = F.broadcast(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("copies")).where("copies > 1"))
+    copies = F.coalesce("copies", F.lit(1).cast("bigint"))
     members = (
-        pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies"))).drop("copies")
+        pairs.join(many, "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), copies)).drop("copies")
         .join(sets_in("a").withColumnRenamed("node", "a"), "a")
     )
-    pivots = copies.join(sets_in("b").toDF("b", "others"), "b").select(
-        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"), "others"
+    pivots = sets_in("b").toDF("b", "others").join(many, "b", "left").select(
+        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)).alias("copy"), "others"
     )
     both = F.size(F.array_intersect("hashes", "others"))
     alike = WHOLE * both >= PART * (F.size("hashes") + F.size("others") - both)
@@ -192,54 +226,63 @@ def may_link(n: Column, sketch: list[Column], n2: Column, sketch2: list[Column])
 
 
 def linked(
-    nodes: DataFrame, docs: DataFrame, size: int, sketch: list[Column], may: Callable[[Column, list[Column], Column, list[Column]], Column]
+    nodes: DataFrame, docs: DataFrame, size: int, sketch: list[Column], may: Callable[[Column, list[Column], Column, list[Column]], Column],
+    proposed: DataFrame | None = None,
 ) -> DataFrame:
-    """node, component of the nodes (node, digest, content, n, keys) that are linked with others.
+    """node, component of the nodes (node, digest, content, n, keys, wide) that are linked with others.
 
-    ``may(n, sketch, n2, sketch2)`` tells pairs that cannot be linked from their sizes and sketches. All pairs
+    ``may(n, sketch, n2, sketch2)`` tells pairs that cannot be linked from their sizes and sketches, or from
+    any first words of these. All pairs
     that meet in a band are checked, or known to be in one component, or shown by ``may`` to be too
     different. First a band's members are checked against one of them, so a group of copies costs its
     size: the one whose bands are shared most, which is what copies were made from, as each of
-    them lacks other parts of it. Members that do not stand under the same text as most of their band
-    then meet the band's members under others.
+    them lacks other parts of it; beside them the pairs (a, b) ``proposed``. Members of bands of three or more that do not stand under the
+    same text as most of their band then meet the band's members under others. Rows that meet by band carry the first word
+    of their sketch only; the others follow for the pairs that it leaves.
     """
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     met = cut(keyed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1"))
     mine, other = ["n", *(f"s{i}" for i in range(len(sketch)))], ["n2", *(f"t{i}" for i in range(len(sketch)))]
-    score = met.groupBy("node").agg(F.sum("members").alias("score"))
-    sketched = cut(nodes.join(score, "node").select("node", "n", *[x.alias(f"s{i}") for i, x in enumerate(sketch)], "score"))
-    met = cut(met.select("key", "node", "n").join(sketched.select("node", "score"), "node"))
+    listed = met.groupBy("node").agg(F.sum("members").alias("score"), F.collect_list(F.struct("key", "members")).alias("bands"))
+    sketched = cut(nodes.drop("keys").join(listed, "node").select("node", "n", *[x.alias(f"s{i}") for i, x in enumerate(sketch)], "wide", "score", "bands"))
+    met = sketched.select("node", "n", "s0", "score", F.inline("bands")).repartition("key")
     fits = may(F.col("n"), [F.col(c) for c in mine[1:]], F.col("n2"), [F.col(c) for c in other[1:]])
-    alike = WHOLE * F.least("n", "n2") >= PART * F.greatest("n", "n2")
+    alike = may(F.col("n"), [F.col("s0")], F.col("n2"), [F.col("t0")])
+    sketched = sketched.drop("bands")
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) whose whole sketches and wide parities fit; rank is the score of b."""
+        near = pairs.repartition("a").dropDuplicates(["a", "b"]).join(sketched.drop("score").toDF("a", *mine, "wide"), "a")
+        met_both = near.join(sketched.toDF("b", *other, "wide2", "rank"), "b").where(fits)
+        return met_both.where(wide_apart_of("wide", "wide2") * (WHOLE + PART) <= (WHOLE - PART) * (F.col("n") + F.col("n2"))).select("a", "b", "rank")
 
     # Against the best of each band: linear in its members.
-    pivots = met.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("p")).select(
-        "key", F.col("p.node").alias("b"), F.col("p.n").alias("n2")
-    )
-    near = met.withColumnRenamed("node", "a").join(pivots, "key").where(alike & (F.col("a") != F.col("b"))).select("a", "b")
-    near = near.repartition("a").dropDuplicates(["a", "b"]).join(sketched.drop("score").toDF("a", *mine), "a")
-    tested = cut(near.join(sketched.toDF("b", *other, "rank"), "b").where(fits).select("a", "b", "rank"))
+    by_key = Window.partitionBy("key")
+    best = met.select(F.col("node").alias("a"), "n", "s0", F.max(F.struct("score", "node", "n", "s0")).over(by_key).alias("p"))
+    near = best.select("a", "n", "s0", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), F.col("p.s0").alias("t0")).where("a != b").where(alike)
+    near = near.select("a", "b")
+    tested = cut(fitting(near if proposed is None else near.unionByName(proposed)))
     sets = wanted_sets(tested, nodes, docs, size, None)
     links = cut(confirmed(tested, sets))
 
     # Each member stands under the best that it is linked with, or the best that this one is linked with.
     above = links.groupBy("a").agg(F.max(F.struct("rank", "b"))["b"].alias("b"))
     labels = above.join(above.toDF("b", "c"), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("label"))
-    tagged = met.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    by_key = Window.partitionBy("key")
+    # Of a band with two members the one pair was met above.
+    crowd = met.where("members > 2").select("key", "node", "n", "s0")
+    tagged = crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key")
     shared = tagged.withColumn("share", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
     ruled = shared.select(
-        "key", "node", "label", F.max(F.struct("share", "label")).over(by_key)["label"].alias("main"),
+        "key", "node", "label", "n", "s0", F.max(F.struct("share", "label")).over(by_key)["label"].alias("main"),
         F.min("label").over(by_key).alias("low"), F.max("label").over(by_key).alias("high"),
     )
     open_ = cut(ruled.where("low < high").drop("low", "high"))
-    plain = sketched.drop("score")
-    left = open_.where("label != main").join(plain, "node").select("key", F.col("node").alias("a"), F.col("label").alias("own"), *mine)
-    right = open_.select(F.col("key").alias("key2"), "node", "label").join(plain.toDF("node", *other), "node")
-    left_out = left.join(right, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("label")) & alike & fits)
-    fresh = left_out.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    left = open_.where("label != main").select("key", F.col("node").alias("a"), F.col("label").alias("own"), "n", "s0")
+    right = open_.select(F.col("key").alias("key2"), F.col("node").alias("b"), "label", F.col("n").alias("n2"), F.col("s0").alias("t0"))
+    left_out = left.join(right, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("label")) & alike)
+    fresh = left_out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     both_ways = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    fresh = cut(fresh.join(both_ways, ["a", "b"], "left_anti"))
+    fresh = cut(fitting(fresh).select("a", "b").join(both_ways, ["a", "b"], "left_anti"))
     sets = wanted_sets(fresh, nodes, docs, size, sets)
     return components(links.select("a", "b").unionByName(confirmed(fresh, sets)))
 
@@ -255,7 +298,7 @@ def near_copies(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marked = cut(signatures(texts, size))
-    one = marked.where("digest is not null").dropDuplicates(["digest"]).drop("doc_id")
+    one = one_of_each(marked.where("digest is not null")).drop("doc_id")
     nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
     labels = linked(nodes, texts, size, [F.get("sketch", F.lit(i)) for i in range(WORDS)], may_link)
     placed = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

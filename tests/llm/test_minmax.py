@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from auditlake.llm import minmax
-from auditlake.llm.minmax import min_max, near_copies, parity_sketch, shingle_set
+from auditlake.llm.common import components
+from auditlake.llm.minmax import min_max, near_copies, parity_sketch, shingle_set, wide_apart, wide_parity
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -112,3 +113,48 @@ def test_values_estimate_similarity():
     b = shingle_set(" ".join(f"w{i}" for i in range(200, 1201)))
     alike = np.mean([np.mean(min_max(a ^ np.uint64(s)) == min_max(b ^ np.uint64(s))) for s in range(40)])
     assert len(a) == 1000 and abs(alike - 800 / 1200) < 0.04
+
+
+def test_wide_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (600, 1000, 1030, 5000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: rng.integers(n // 2, n)], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)])
+        assert 64 * len(wide_parity(a)) >= n
+        assert wide_apart(wide_parity(a), wide_parity(b)) <= len(np.setxor1d(a, b))
+        assert wide_apart(wide_parity(a), wide_parity(a[: n // 2])) > n // 9 or n <= 1030
+    assert not len(wide_parity(a[:512])) and wide_apart(wide_parity(a), wide_parity(a[:512])) == 0
+
+
+def test_long_texts_that_share_half_are_told_apart_without_their_sets(make_docs, monkeypatch):
+    """Sets of thousands of shingles fill fixed sketches, which then tell nothing; such pairs used to fetch whole sets."""
+    rng = random.Random(9)
+    shared = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(shared + [f"v{i}_{k}" for k in range(2000 + rng.randint(0, 200))])) for i in range(8)]
+    rows.append((90, rows[3][1] + " end"))
+    paired = []
+    near = minmax.confirmed
+    monkeypatch.setattr(minmax, "confirmed", lambda pairs, *rest: (paired.append(pairs.count()), near(pairs, *rest))[1])
+    check(make_docs([(i, t, "en", "s") for i, t in rows]), rows)
+    assert 1 <= sum(paired) <= 2
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 230)] + [(i, 300) for i in range(270, 300)]
+    links += [(rng.randint(400, 500), rng.randint(400, 500)) for _ in range(60)] + [(7, 7), (8, None)]
+    root = {i: i for pair in links for i in pair if i is not None}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        if b is not None:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    linked = {i for a, b in links if b is not None and a != b for i in (a, b)}
+    rng.shuffle(links)
+    got = [tuple(r) for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()]
+    assert sorted(got) == sorted((i, top(i)) for i in linked)
