@@ -52,18 +52,20 @@ def features(text: str) -> np.ndarray:
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
     """Weights of a linear SVM with hinge loss by dual coordinate descent; y is +1 or -1.
 
-    The constant last column of ``x`` acts as the bias. Classes are weighted to count alike.
+    The constant last column of ``x`` acts as the bias. Classes are weighted to count alike. Rows are widened
+    to doubles one at a time, so that ``x`` may be of 32-bit floats.
     """
     weights, alpha = np.zeros(x.shape[1]), np.zeros(len(y))
-    norm = (x * x).sum(1)
+    norm = np.array([np.square(row, dtype=float).sum() for row in x])
     top = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * len(y) / 2 * cost
     order = np.random.RandomState(11)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(y)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ weights) - 1) / norm[i], 0.0), top[i])
+            row = x[i].astype(float)
+            new = min(max(alpha[i] - (y[i] * (row @ weights) - 1) / norm[i], 0.0), top[i])
             if new != alpha[i]:
-                weights += (new - alpha[i]) * y[i] * x[i]
+                weights += (new - alpha[i]) * y[i] * row
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -88,7 +90,7 @@ class Model:
 
 
 def pairs_of(x: np.ndarray, y: np.ndarray, classes: int) -> dict[tuple[int, int], np.ndarray]:
-    """One SVM for each pair of classes."""
+    """One SVM for each pair of classes; rows of no class have -1."""
     out = {}
     for a in range(classes):
         for b in range(a + 1, classes):
@@ -116,6 +118,27 @@ def with_bias(x: np.ndarray) -> np.ndarray:
     return np.append(x, np.ones((*x.shape[:-1], 1)), axis=-1)
 
 
+def learn(rows: list) -> Model:
+    """A model of rows (lang, x), x the bytes of a feature vector, in any order.
+
+    The vectors are held once, in 32 bits as they come; a pair of classes copies no more than its own.
+    """
+    rows = sorted(rows, key=lambda r: (r[0], bytes(r[1])))
+    x = np.ones((len(rows), FEATURES + 1), np.float32)
+    for i, (_, vector) in enumerate(rows):
+        x[i, :-1] = np.frombuffer(vector, np.float32)
+    langs = np.array([lang for lang, _ in rows])
+    family = np.array([FAMILY_OF.get(lang, lang) for lang in langs])
+    families = tuple(sorted(set(family)))
+    languages = {f: tuple(sorted(set(langs[family == f]))) for f in families}
+    index = np.array([families.index(f) for f in family])
+    inside = {}
+    for f in families:
+        own = np.array([languages[f].index(v) if g == f else -1 for v, g in zip(langs, family)])
+        inside[f] = pairs_of(x, own, len(languages[f]))
+    return Model(families, languages, pairs_of(x, index, len(families)), inside)
+
+
 def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model | None:
     """Learn from rows (doc_id, text, lang); None if no row has a language and a letter.
 
@@ -142,19 +165,7 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model | None
             vectors = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(vectors, pa.binary())], names=["lang", "x"])
 
-    rows = texts.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r.lang, bytes(r.x)))
-    x = with_bias(np.array([np.frombuffer(r.x, np.float32) for r in rows], float))
-    langs = np.array([r.lang for r in rows])
-    family = np.array([FAMILY_OF.get(lang, lang) for lang in langs])
-    families = tuple(sorted(set(family)))
-    languages = {f: tuple(sorted(set(langs[family == f]))) for f in families}
-    index = np.array([families.index(f) for f in family])
-    inside = {}
-    for f in families:
-        own = family == f
-        inside[f] = pairs_of(x[own], np.array([languages[f].index(v) for v in langs[own]]), len(languages[f]))
-    return Model(families, languages, pairs_of(x, index, len(families)), inside)
+    return learn(texts.select("lang", "text").mapInArrow(run, "lang string, x binary").collect())
 
 
 def held_out(doc_id: Column) -> Column:
