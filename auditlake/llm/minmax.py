@@ -28,6 +28,8 @@ FOLD = 1 << 14
 WORDS = 8
 #: Members of a set from which on it has wide parities beside its sketch.
 WIDE = 512
+#: Jobs that fetch a bit set, so that the driver holds a part of it at a time, but needs no job for each partition.
+FETCHES = 8
 #: Members that are checked against one copy of their pivot; bits of a set for each of its contents, and of the largest set (32 MiB).
 SHARE, SPARSE, MOST_BITS = 512, 64, 1 << 28
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -125,7 +127,7 @@ def _bit_set(contents: DataFrame, bits: int) -> bytes:
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
     )
     out = bytearray(bits // 8)
-    for row in maps.toLocalIterator():  # at most bits / 32768 rows of 4 KiB
+    for row in maps.coalesce(FETCHES).toLocalIterator():  # at most bits / 32768 rows of 4 KiB
         out[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits[: len(out)]
     return bytes(out)
 
@@ -237,8 +239,9 @@ def linked(
     different. First a band's members are checked against one of them, so a group of copies costs its
     size: the one whose bands are shared most, which is what copies were made from, as each of
     them lacks other parts of it; beside them the pairs (a, b) ``proposed``. Members of bands of three or more that do not stand under the
-    same text as most of their band then meet the band's members under others. Rows that meet by band carry the first word
-    of their sketch only; the others follow for the pairs that it leaves.
+    same text as most of their band then meet the band's members under others. Rows that meet the best of their band carry
+    the first word of their sketch only; the others follow for the pairs that it leaves. Where members meet members, one
+    word would leave about the square of a crowd, so there rows carry whole sketches.
     """
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     met = cut(keyed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1"))
@@ -269,17 +272,17 @@ def linked(
     above = links.groupBy("a").agg(F.max(F.struct("rank", "b"))["b"].alias("b"))
     labels = above.join(above.toDF("b", "c"), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("label"))
     # Of a band with two members the one pair was met above.
-    crowd = met.where("members > 2").select("key", "node", "n", "s0")
+    crowd = met.where("members > 2").select("key", "node")
     tagged = crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).repartition("key")
     shared = tagged.withColumn("share", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
     ruled = shared.select(
-        "key", "node", "label", "n", "s0", F.max(F.struct("share", "label")).over(by_key)["label"].alias("main"),
+        "key", "node", "label", F.max(F.struct("share", "label")).over(by_key)["label"].alias("main"),
         F.min("label").over(by_key).alias("low"), F.max("label").over(by_key).alias("high"),
     )
-    open_ = cut(ruled.where("low < high").drop("low", "high"))
-    left = open_.where("label != main").select("key", F.col("node").alias("a"), F.col("label").alias("own"), "n", "s0")
-    right = open_.select(F.col("key").alias("key2"), F.col("node").alias("b"), "label", F.col("n").alias("n2"), F.col("s0").alias("t0"))
-    left_out = left.join(right, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("label")) & alike)
+    open_ = cut(ruled.where("low < high").select("key", "node", "label", "main").join(sketched.select("node", *mine), "node"))
+    left = open_.where("label != main").select("key", F.col("node").alias("a"), F.col("label").alias("own"), *mine)
+    right = open_.select("key", F.col("node").alias("b"), "label", *[F.col(x).alias(y) for x, y in zip(mine, other)]).withColumnRenamed("key", "key2")
+    left_out = left.join(right, (F.col("key") == F.col("key2")) & (F.col("own") != F.col("label")) & fits)
     fresh = left_out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     both_ways = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     fresh = cut(fitting(fresh).select("a", "b").join(both_ways, ["a", "b"], "left_anti"))
