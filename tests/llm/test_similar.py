@@ -6,7 +6,9 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from auditlake.llm import similar
+from auditlake.llm.minmax import shingle_set
 
 
 def plain_shingles(text):
@@ -105,3 +107,29 @@ def test_simhashes_on_the_ring_propose_pairs(spark, make_docs, monkeypatch):
     want = {frozenset((heads[a], heads[b])) for a in heads for b in heads if a < b and apart(a, b) <= 2}
     want |= {frozenset((r.node, heads[r.sketch[0]])) for r in nodes if r.node != heads[r.sketch[0]]}
     assert len(want) > 10 and want == {frozenset(p) for p in map(tuple, pairs)}
+
+
+def pulled_apart(words):
+    """Two texts whose common start leaves every bit of a SimHash undecided, and whose few last words decide it in two ways."""
+
+    def ones(text):
+        hashes = shingle_set(" ".join(text), 5)
+        return 2 * np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0).astype(int) - len(hashes)
+
+    def grown(text, count, cost):
+        for _ in range(count):
+            total = ones(text)
+            text = [*text, min(words, key=lambda w: cost(total + ones([*text[-4:], w])))]
+        return text
+
+    start = grown(words[:8], 76, lambda n: (n**2).sum())
+    return " ".join(grown(start, 9, lambda n: -np.minimum(n, 2).sum())), " ".join(grown(start, 9, lambda n: np.maximum(n, -1).sum()))
+
+
+def test_near_copies_whose_simhashes_are_far_apart(spark, make_docs):
+    one, two = pulled_apart([f"w{i}" for i in range(300)])
+    prints = [similar.simhash(shingle_set(text, 5)) for text in (one, two)]
+    assert ((prints[0] ^ prints[1]) & (1 << 64) - 1).bit_count() > 40
+    rows = [(1, one), (2, two), (3, "another text of a few words"), (4, one[: len(one) // 2])]
+    assert plain_kept(rows) == {1, 3, 4}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, make_docs([(i, t, "en", "s") for i, t in rows]), "").collect()} == {1, 3, 4}
