@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import joins as J, ordering as O, rules as R, sampling as SA, scale, tuning
+from auditlake.operators import joins as J, ordering as O, rules as R, sampling as SA, scale, search as Q, tuning
 from auditlake.operators.scale import exact_row_number, first_n, paired_with_each
 
 
@@ -110,3 +111,30 @@ def test_groups_of_a_case_have_tasks_by_rows(spark, monkeypatch):
     plain = tuning.accuracy_by(tuning.judged(results, cases), "case_id", "prompt_id")
     assert found.rdd.getNumPartitions() == 10
     assert sorted(found.collect()) == sorted(plain.collect()) and found.count() == 150
+
+
+def test_join_in_blocks_equals_the_join(spark, monkeypatch):
+    """Hot, rare, null and one-sided keys, equal rows on both sides, empty sides."""
+    monkeypatch.setattr(scale, "BLOCK", 16, raising=False)
+    rng = random.Random(4)
+    keys = ["hot"] * 6 + ["warm"] * 2 + [None, *(f"k{i}" for i in range(12))]
+    left = spark.createDataFrame([(rng.choice(keys), rng.randint(0, 90)) for _ in range(500)] + [("left", 1)], "k string, a int").repartition(3)
+    right = spark.createDataFrame([(rng.choice(keys), rng.randint(0, 90)) for _ in range(300)] + [("right", 1)], "k string, b int").repartition(2)
+    for x, y in ((left, right), (right.withColumnRenamed("b", "c"), left), (left.limit(0), right), (left, right.limit(0))):
+        found = scale.joined_in_blocks(x, y, "k")
+        assert found.columns == x.join(y, "k").columns
+        assert Counter(map(tuple, found.collect())) == Counter(map(tuple, x.join(y, "k").collect()))
+
+
+def most_in_a_task(rows):
+    return max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_callers_of_a_hot_name_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scale, "BLOCK", 32, raising=False)
+    calls = spark.range(600).selectExpr("'hot' AS callee", "id AS file_id", "'f' AS function", "1 AS start_line", "CAST(id AS int) AS line_number")
+    symbols = spark.range(800).selectExpr("'hot' AS name", "id % 400 AS file_id")
+    rows = Q.callers(calls, symbols)
+    assert rows.columns == ["callee", "target_file", "file_id", "function", "line_number"]
+    assert rows.count() == 240_000 == rows.distinct().count()
+    assert most_in_a_task(rows) < 24_000
