@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import chunking as C, joins as J, rules as R, search as Q, symbols as S
+from auditlake.operators import chunking as C, joins as J, rules as R, scale, search as Q, symbols as S
 from auditlake.functions.scalars import totals_before
 from auditlake.operators import extraction as E
 
@@ -183,6 +184,23 @@ def test_mentions_match_brute_force(spark):
     assert got == want
 
 
+def test_all_mentions_of_a_hot_name_are_made_by_many_tasks(spark, monkeypatch):
+    """A name stands in each file and has each as a home; a home named twice counts twice; lines without a parenthesis call nothing."""
+    monkeypatch.setattr(scale, "BLOCK", 16, raising=False)
+    texts = [("a.c", "hot (x); hot(y)\nhot\nhot\n(z)\nrare(hot(1))" if i % 2 else "hot(x)\n\nodd()") for i in range(120)]
+    homes = [(h, "hot") for h in range(120)] + [(3, "rare"), (3, "rare"), (5, "nowhere"), (6, None)]
+    names = spark.createDataFrame(homes, "file_id bigint, name string")
+    rows = Q.mentions(files_frame(spark, texts), names)
+    want = Counter()
+    for home, name in homes:
+        for i, (_, text) in enumerate(texts):
+            for k, line in enumerate(text.split("\n"), 1):
+                want[name, i, k, home] += i != home and name is not None and re.search(rf"\b{name}\s*\(", line) is not None
+    assert rows.columns == ["name", "file_id", "line_number", "home"]
+    assert Counter(map(tuple, rows.collect())) == +want and sum(want.values()) > 20_000
+    assert max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) < sum(want.values()) / 8
+
+
 def test_enclosing_chunk_matches_brute_force(spark):
     rng = random.Random(4)
     chunks = [(f, f * 100 + i, i, s, s + rng.randint(0, 300)) for f in range(3) for i, s in enumerate(range(1, 500, 37))]
